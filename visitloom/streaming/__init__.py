@@ -1,0 +1 @@
+"""Reserved.  No streaming source, operator or sink is in scope; every operator is a batch one."""
