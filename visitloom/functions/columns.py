@@ -50,11 +50,11 @@ def event(spec: VisitSpec, columns: Iterable[str]) -> Column:
     return hit.cast("int")
 
 
-def plus_days(df: DataFrame, name: str, days: int) -> Column:
+def plus_days(df: DataFrame, name: str, days: int | Column) -> Column:
     """A date or timestamp column moved by whole days."""
     if isinstance(df.schema[name].dataType, T.DateType):
         return F.date_add(F.col(name), days)
-    return F.col(name) + F.make_dt_interval(days=F.lit(days))
+    return F.col(name) + F.make_dt_interval(days=days if isinstance(days, Column) else F.lit(days))
 
 
 def uniform(seed: int, *parts: str | Column) -> Column:
