@@ -26,22 +26,22 @@ def score_counts(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str] = (), *,
                       rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Adds positives and negatives above each score, and the group totals P and N."""
+    """Adds positives and negatives above each score, and the group totals."""
     return running(
         counts, by, [F.col("p").desc()], [-F.col("p")],
         before={"tp0": ("sum", F.col("pos")), "fp0": ("sum", F.col("neg"))},
-        group={"P": ("sum", F.col("pos")), "N": ("sum", F.col("neg"))}, rows_per_task=rows_per_task)
+        group={"all_pos": ("sum", F.col("pos")), "all_neg": ("sum", F.col("neg"))}, rows_per_task=rows_per_task)
 
 
 def roc_points(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", **kw) -> DataFrame:
     """``threshold, tp, fp, tpr, fpr`` per distinct score, and the origin with a NULL threshold."""
-    cum = cumulative_counts(score_counts(df, by, y, p), by, **kw).filter("P > 0 AND N > 0")
+    cum = cumulative_counts(score_counts(df, by, y, p), by, **kw).filter("all_pos > 0 AND all_neg > 0")
     tp, fp = F.col("tp0") + F.col("pos"), F.col("fp0") + F.col("neg")
     points = cum.select(*by, F.col("p").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
-                        (tp / F.col("P")).alias("tpr"), (fp / F.col("N")).alias("fpr"))
+                        (tp / F.col("all_pos")).alias("tpr"), (fp / F.col("all_neg")).alias("fpr"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("double")
     origin = (score_counts(df, by, y, p).groupBy(*by)
-              .agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).filter("P > 0 AND N > 0")
+              .agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")).filter("all_pos > 0 AND all_neg > 0")
               .select(*by, none.alias("threshold"), zero.alias("tp"), zero.alias("fp"),
                       F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")))
     return points.unionByName(origin)
@@ -49,11 +49,11 @@ def roc_points(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p"
 
 def pr_points(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", **kw) -> DataFrame:
     """``threshold, precision, recall`` per distinct score, and the anchor (recall 0, precision 1)."""
-    cum = cumulative_counts(score_counts(df, by, y, p), by, **kw).filter("P > 0")
+    cum = cumulative_counts(score_counts(df, by, y, p), by, **kw).filter("all_pos > 0")
     tp, fp = F.col("tp0") + F.col("pos"), F.col("fp0") + F.col("neg")
     points = cum.select(*by, F.col("p").alias("threshold"), (tp / (tp + fp)).alias("precision"),
-                        (tp / F.col("P")).alias("recall"))
-    anchor = (score_counts(df, by, y, p).groupBy(*by).agg(F.sum("pos").alias("P")).filter("P > 0")
+                        (tp / F.col("all_pos")).alias("recall"))
+    anchor = (score_counts(df, by, y, p).groupBy(*by).agg(F.sum("pos").alias("all_pos")).filter("all_pos > 0")
               .select(*by, F.lit(None).cast("double").alias("threshold"),
                       F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
     return points.unionByName(anchor)
@@ -62,7 +62,7 @@ def pr_points(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p",
 def _auroc() -> Column:
     """Area under the ROC steps: each negative counts the positives above it, ties half."""
     area = F.sum(F.col("neg") * (F.col("tp0") + F.col("pos") / 2.0))
-    p, n = F.max("P"), F.max("N")
+    p, n = F.max("all_pos"), F.max("all_neg")
     return F.when((p > 0) & (n > 0), area / (p.cast("double") * n))
 
 
@@ -72,7 +72,7 @@ def _auprc() -> Column:
     here = (tp0 + pos) / (tp0 + pos + fp0 + neg)
     before = F.when(tp0 == 0, 1.0).otherwise(tp0 / F.when(tp0 > 0, tp0 + fp0))
     area = F.sum(pos * (here + before) / 2.0)
-    p, n = F.max("P"), F.max("N")
+    p, n = F.max("all_pos"), F.max("all_neg")
     return F.when((p > 0) & (n > 0), area / p)
 
 
@@ -157,13 +157,13 @@ def f1_by_threshold(df: DataFrame, candidates: Sequence[float] = F1_CANDIDATES,
         F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
     pos, neg = F.col("_pos"), F.col("_neg")
     sums = per.groupBy(*by).agg(
-        F.sum(pos).alias("_P"),
+        F.sum(pos).alias("_all"),
         F.array(*[F.struct(F.lit(float(c)).alias("threshold"),
                            F.sum(F.when(F.col("_level") > i, pos).otherwise(0)).alias("tp"),
                            F.sum(F.when(F.col("_level") > i, neg).otherwise(0)).alias("fp"))
                   for i, c in enumerate(levels)]).alias("_c"))
-    flat = sums.select(*by, "_P", F.inline("_c"))
-    f1 = rates(F.col("tp"), F.col("fp"), F.lit(0), F.col("_P") - F.col("tp"))["f1"]
+    flat = sums.select(*by, "_all", F.inline("_c"))
+    f1 = rates(F.col("tp"), F.col("fp"), F.lit(0), F.col("_all") - F.col("tp"))["f1"]
     return flat.select(*by, "threshold", f1.alias("f1"))
 
 

@@ -19,22 +19,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     """One row per group with one column per entry of ``probs``; NULL values are ignored."""
     keys = list(keys)
     counted = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-               .agg(F.count(F.lit(1)).alias("_c")))
+               .agg(F.count(F.lit(1)).alias("_q_count")))
     cum = running(counted, keys, [F.col(value)], [F.col(value).cast("double")],
-                  before={"_b": ("sum", F.col("_c"))}, group={"_n": ("sum", F.col("_c"))},
+                  before={"_q_before": ("sum", F.col("_q_count"))}, group={"_q_total": ("sum", F.col("_q_count"))},
                   rows_per_task=rows_per_task)
 
     def at(rank):
-        return F.max(F.when((F.col("_b") <= rank) & (rank < F.col("_b") + F.col("_c")), F.col(value)))
+        return F.max(F.when((F.col("_q_before") <= rank) & (rank < F.col("_q_before") + F.col("_q_count")), F.col(value)))
 
-    aggs = [F.max("_n").alias("_n")]
+    aggs = [F.max("_q_total").alias("_q_total")]
     for name, p in probs.items():
-        h = (F.col("_n") - 1) * F.lit(float(p))
+        h = (F.col("_q_total") - 1) * F.lit(float(p))
         aggs += [at(F.floor(h)).alias(f"_lo_{name}"), at(F.ceil(h)).alias(f"_hi_{name}")]
     picked = cum.groupBy(*keys).agg(*aggs)
 
     def blend(name, p):
-        h = (F.col("_n") - 1) * F.lit(float(p))
+        h = (F.col("_q_total") - 1) * F.lit(float(p))
         lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
         return (lo + (hi - lo) * (h - F.floor(h))).alias(name)
 

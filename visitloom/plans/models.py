@@ -43,7 +43,7 @@ def make_estimator(family: str, params: dict[str, Any], n_rows: int, n_features:
     """A Spark ML estimator; parameter names follow the usual ones of each family."""
     p = dict(params)
     seed = p.pop("seed", 42)
-    common = {"featuresCol": "features", "labelCol": "label", "probabilityCol": "probability"}
+    common = {"featuresCol": "features", "labelCol": "label"}
     if p.pop("class_weight", None) == "balanced":
         common["weightCol"] = "weight"
     if family == "logistic_regression":
