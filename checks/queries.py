@@ -736,14 +736,9 @@ def one_trial(family):
 
 
 def model_rows(spark, sf):
-    """Cohort observations, split and targets as tables that several fits can read."""
-    c = positional(spark, sf)
-    path = shared_folder(spark, "cohort")
-    split = sp.stratified_split(c.targets, N)
-    sp.with_split(c.observations, split, N).join(c.targets, "entity_id").write.parquet(path)
-    rows = spark.read.parquet(path)
-    return rows.drop("split", "target"), rows.groupBy("entity_id").agg(
-        F.max("target").alias("target"), F.max("split").alias("split"))
+    """Cohort observations with their split, and targets, as written tables."""
+    rows, who = tr.split_cohort(positional(spark, sf).with_written_audit())
+    return rows.drop("split"), who
 
 
 def fitted(spark, sf, family):

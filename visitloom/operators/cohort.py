@@ -9,11 +9,12 @@ entity is large.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import as_flag, event, plus_days, require_columns
+from ..sources.session import written
 from ..spec import CohortRules, DataError, LeakageError, VisitSpec
 from .guards import strip_leakage
 from .ordered import first_rows
@@ -29,14 +30,23 @@ NO_TARGET = "no_target"
 
 @dataclass
 class Cohort:
-    """``status`` has one row per entity; the other tables hold eligible entities only."""
+    """``status`` has one row per entity; ``audit`` and ``observations`` hold eligible entities only."""
 
     status: DataFrame
-    observations: DataFrame
     audit: DataFrame
+    observed: DataFrame      # kept observation rows of every entity, eligible or not
     spec: VisitSpec
     rules: CohortRules
 
+    @property
+    def observations(self) -> DataFrame:
+        e = self.spec.entity
+        return strip_leakage(self.observed.join(self.audit.select(e), e, "left_semi"), self.spec)
+
+    def with_written_audit(self) -> "Cohort":
+        """The audit as a written table, so that later steps do not derive it again."""
+        return replace(self, audit=written(self.audit, "cohort_audit"))
+
     @property
     def targets(self) -> DataFrame:
         return self.audit.select(self.spec.entity, self.spec.target)
@@ -102,8 +112,7 @@ def future_outcome_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = C
 
     if flagged:   # the most recent observation visits
         observed = first_rows(observed, [e], [c.desc() for c in order], rules.max_visits)
-    kept = observed.drop("_event", "_future", "_rank").join(eligible.select(e), e, "left_semi")
-    return Cohort(status, strip_leakage(kept, spec), audit, spec, rules)
+    return Cohort(status, audit, observed.drop("_event", "_future", "_rank"), spec, rules)
 
 
 def prelabeled_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = CohortRules()) -> Cohort:
@@ -134,8 +143,7 @@ def prelabeled_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = Cohor
     eligible = facts.filter(F.col("status") == ELIGIBLE)
     audit = eligible.select(
         e, F.col("_low").cast("int").alias(spec.target), F.col("n_obs").cast("int").alias("n_obs"), "cutoff")
-    kept = first.drop("_rank").join(eligible.select(e), e, "left_semi")
-    return Cohort(status, strip_leakage(kept, spec), audit, spec, rules)
+    return Cohort(status, audit, first.drop("_rank"), spec, rules)
 
 
 def exclusion_counts(status: DataFrame, spec: VisitSpec) -> DataFrame:

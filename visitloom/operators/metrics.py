@@ -24,18 +24,19 @@ def score_counts(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
 
 
-def cumulative_counts(counts: DataFrame, by: Sequence[str] = (), *,
-                      rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Adds positives and negatives above each score, and the group totals."""
+def cumulative_counts(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", *,
+                      rows_per_task: int = ROWS_PER_TASK, bounded: bool = False) -> DataFrame:
+    """Counts per score, positives and negatives above each score, and the group totals."""
     return running(
-        counts, by, [F.col("p").desc()], [-F.col("p")],
+        score_counts(df, by, y, p), by, [F.col("p").desc()], [-F.col("p")],
         before={"tp0": ("sum", F.col("pos")), "fp0": ("sum", F.col("neg"))},
-        group={"all_pos": ("sum", F.col("pos")), "all_neg": ("sum", F.col("neg"))}, rows_per_task=rows_per_task)
+        group={"all_pos": ("sum", F.col("pos")), "all_neg": ("sum", F.col("neg"))},
+        rows_per_task=rows_per_task, bounded=bounded, at_most=df.select(F.lit(1)))
 
 
 def roc_points(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", **kw) -> DataFrame:
     """``threshold, tp, fp, tpr, fpr`` per distinct score, and the origin with a NULL threshold."""
-    cum = cumulative_counts(score_counts(df, by, y, p), by, **kw).filter("all_pos > 0 AND all_neg > 0")
+    cum = cumulative_counts(df, by, y, p, **kw).filter("all_pos > 0 AND all_neg > 0")
     tp, fp = F.col("tp0") + F.col("pos"), F.col("fp0") + F.col("neg")
     points = cum.select(*by, F.col("p").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
                         (tp / F.col("all_pos")).alias("tpr"), (fp / F.col("all_neg")).alias("fpr"))
@@ -49,7 +50,7 @@ def roc_points(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p"
 
 def pr_points(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", **kw) -> DataFrame:
     """``threshold, precision, recall`` per distinct score, and the anchor (recall 0, precision 1)."""
-    cum = cumulative_counts(score_counts(df, by, y, p), by, **kw).filter("all_pos > 0")
+    cum = cumulative_counts(df, by, y, p, **kw).filter("all_pos > 0")
     tp, fp = F.col("tp0") + F.col("pos"), F.col("fp0") + F.col("neg")
     points = cum.select(*by, F.col("p").alias("threshold"), (tp / (tp + fp)).alias("precision"),
                         (tp / F.col("all_pos")).alias("recall"))
@@ -78,13 +79,13 @@ def _auprc() -> Column:
 
 def auroc(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", **kw) -> DataFrame:
     """Area under the ROC curve per group; NULL when a group has one class."""
-    cum = cumulative_counts(score_counts(df, by, y, p), by, **kw)
+    cum = cumulative_counts(df, by, y, p, **kw)
     return cum.groupBy(*by).agg(_auroc().alias("auroc"))
 
 
 def auprc(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", **kw) -> DataFrame:
     """Area under the precision-recall curve per group; NULL when a group has one class."""
-    cum = cumulative_counts(score_counts(df, by, y, p), by, **kw)
+    cum = cumulative_counts(df, by, y, p, **kw)
     return cum.groupBy(*by).agg(_auprc().alias("auprc"))
 
 
@@ -126,7 +127,7 @@ def brier(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") ->
 def metric_row(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), y: str = "y", p: str = "p",
                prefix: str = "", **kw) -> DataFrame:
     """Every metric of a group in one row, from one pass over counts per score."""
-    cum = cumulative_counts(score_counts(df, by, y, p), by, **kw)
+    cum = cumulative_counts(df, by, y, p, **kw)
     pos, neg, score = F.col("pos"), F.col("neg"), F.col("p")
     squares = F.sum(pos * F.pow(1 - score, 2) + neg * F.pow(score, 2))
     row = cum.groupBy(*by).agg(

@@ -92,15 +92,20 @@ def _cut_into_ranges(df: DataFrame, groups: list[str], cut: Column, bounds: Data
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cuts: Sequence[Column], *,
             before: dict[str, tuple[str, Column | None]],
             group: dict[str, tuple[str, Column]] | None = None,
-            rows_per_task: int = ROWS_PER_TASK, bounded: bool = False) -> DataFrame:
+            rows_per_task: int = ROWS_PER_TASK, bounded: bool = False,
+            at_most: DataFrame | None = None) -> DataFrame:
     """Add running values (rows strictly before, in ``order``) and group totals.
 
     ``before`` and ``group`` map a new column to ``(function, column)`` with function
     ``sum``, ``max`` or ``min``; ``before`` also takes ``("count", None)``, the
     0-based position.  ``cuts`` are numbers that never decrease along ``order``,
     the first for the first sort column and so on.  ``bounded=True`` says that the
-    caller knows every group fits one task, and saves the count.
+    caller knows every group fits one task, and saves the count.  ``at_most`` is a
+    table with at least as many rows as any group; when it is cheaper to count and
+    small enough, the groups need no counting.
     """
+    if at_most is not None and not bounded:
+        bounded = at_most.count() <= rows_per_task
     group = group or {}
     keys = list(keys)
     added = not keys

@@ -25,15 +25,15 @@ def split_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> tuple[list[st
     return numeric, [f.name for f in fields if f.name not in numeric]
 
 
-def summarise_long(long: DataFrame, feature: str = "feature", value: str = "value", **kw) -> DataFrame:
-    """Median, mean and scale per feature of a ``feature, value`` table."""
-    moments = long.groupBy(feature).agg(
-        F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
-    medians = exact_quantiles(long, [feature], value, {"_median": 0.5}, **kw)
-    return moments.join(medians, feature, "left").select(
-        feature, F.coalesce("_median", F.lit(0.0)).alias("median"),
-        F.coalesce("_mean", F.lit(0.0)).alias("mean"),
-        F.when(F.col("_std") > 0, F.col("_std")).otherwise(1.0).alias("std"))
+def summarise_long(long: DataFrame, feature: str = "feature", value: str = "value", *,
+                   features: list[str], **kw) -> DataFrame:
+    """Median, mean and scale per feature of a ``feature, value`` table; 0, 0, 1 without values."""
+    found = exact_quantiles(long, [feature], value, {"median": 0.5}, moments=True, **kw)
+    named = long.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return named.join(found, "feature", "left").select(   # a row per feature on both sides
+        "feature", F.coalesce("median", F.lit(0.0)).alias("median"),
+        F.coalesce("mean", F.lit(0.0)).alias("mean"),
+        F.when(F.col("std") > 0, F.col("std")).otherwise(1.0).alias("std"))
 
 
 def fit_numeric(train: DataFrame, columns: list[str], **kw) -> DataFrame:
@@ -41,7 +41,8 @@ def fit_numeric(train: DataFrame, columns: list[str], **kw) -> DataFrame:
     long = train.select(*[
         (F.col(c) if c in train.columns else F.lit(None)).cast("double").alias(c) for c in columns]
     ).unpivot([], columns, "feature", "value")
-    return summarise_long(long, **kw)
+    # A feature has at most as many distinct values as the table has rows.
+    return summarise_long(long, features=columns, at_most=train.select(F.lit(1)), **kw)
 
 
 def fit_categories(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,14 +66,18 @@ class Preprocessor:
 
     @classmethod
     def fit(cls, train: DataFrame, numeric: list[str], categorical: list[str], **kw) -> "Preprocessor":
-        stats = {r["feature"]: r for r in fit_numeric(train, numeric, **kw).collect()} if numeric else {}
+        train = train.select(*[c for c in (*numeric, *categorical) if c in train.columns]).persist()
+        try:   # read for the count, the statistics and the categories
+            stats = {r["feature"]: r for r in fit_numeric(train, numeric, **kw).collect()} if numeric else {}
+            rows = (fit_categories(train, categorical).limit(MAX_CATEGORIES + 1).collect()
+                    if categorical else [])
+        finally:
+            train.unpersist()
+        if len(rows) > MAX_CATEGORIES:
+            raise DataError(f"more than {MAX_CATEGORIES} categories to encode")
         cats: dict[str, list[str]] = {c: [] for c in categorical}
-        if categorical:
-            rows = fit_categories(train, categorical).limit(MAX_CATEGORIES + 1).collect()
-            if len(rows) > MAX_CATEGORIES:
-                raise DataError(f"more than {MAX_CATEGORIES} categories to encode")
-            for r in rows:
-                cats[r["feature"]].append(r["category"])
+        for r in rows:
+            cats[r["feature"]].append(r["category"])
         return cls(
             tuple((c, float(stats[c]["median"]), float(stats[c]["mean"]), float(stats[c]["std"]))
                   if c in stats else (c, 0.0, 0.0, 1.0) for c in numeric),
@@ -121,7 +126,8 @@ def fit_sequence_stats(packed: DataFrame, spec: VisitSpec, names: list[str], **k
             .filter(F.get("mask", F.col("_step")) == 1)
             .select(*[F.get("_v", F.lit(names.index(n))).alias(n) for n in numeric])
             .unpivot([], numeric, "feature", "value"))
-    return summarise_long(long, **kw)
+    return summarise_long(long, features=numeric, at_most=packed.select(
+        F.explode("mask").alias("real")), **kw)
 
 
 def apply_sequence_stats(packed: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:

@@ -33,12 +33,11 @@ def numeric_summary(df: DataFrame, spec: VisitSpec, **kw) -> DataFrame:
     present = [c for c in spec.numeric if c in df.columns]
     long = df.select(*[F.col(c).cast("double").alias(c) for c in present]).unpivot(
         [], present, "column", "value")
-    stats = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("missing"),
-        F.count(F.lit(1)).alias("_n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max")).filter(F.col("count") > 0)
-    q = exact_quantiles(long, ["column"], "value", {"p25": .25, "median": .5, "p75": .75}, **kw)
-    return stats.join(q, "column").select(
+    nulls = df.groupBy().agg(F.count(F.lit(1)).alias("_n"), *[
+        F.count_if(F.col(c).isNull()).alias(c) for c in present]).unpivot(["_n"], present, "column", "missing")
+    found = exact_quantiles(long, ["column"], "value", {"p25": .25, "median": .5, "p75": .75},
+                            moments=True, at_most=df.select(F.lit(1)), **kw)
+    return found.join(nulls, "column").select(   # a row per column on both sides
         "column", "count", "missing", F.round(F.col("missing") / F.col("_n"), 4).alias("missing_rate"),
         *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "median", "p75", "max")])
 

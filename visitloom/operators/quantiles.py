@@ -15,27 +15,41 @@ from .ordered import ROWS_PER_TASK, running
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """One row per group with one column per entry of ``probs``; NULL values are ignored."""
+                    moments: bool = False, rows_per_task: int = ROWS_PER_TASK,
+                    at_most: DataFrame | None = None) -> DataFrame:
+    """One row per group with one column per entry of ``probs``; NULL values are ignored.
+
+    With ``moments`` the row also has ``count``, ``mean``, ``std`` (sample), ``min`` and
+    ``max``, from the same counted values.  ``at_most``: see :func:`running`.
+    """
     keys = list(keys)
-    counted = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
+    counted = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_q_value"))
                .agg(F.count(F.lit(1)).alias("_q_count")))
-    cum = running(counted, keys, [F.col(value)], [F.col(value).cast("double")],
-                  before={"_q_before": ("sum", F.col("_q_count"))}, group={"_q_total": ("sum", F.col("_q_count"))},
-                  rows_per_task=rows_per_task)
+    v, c, b, n = (F.col(f"_q_{x}") for x in ("value", "count", "before", "total"))
+    group = {"_q_total": ("sum", c)}
+    if moments:
+        group["_q_sum"] = ("sum", v * c)
+    cum = running(counted, keys, [v], [v], before={"_q_before": ("sum", c)}, group=group,
+                  rows_per_task=rows_per_task, at_most=at_most)
 
     def at(rank):
-        return F.max(F.when((F.col("_q_before") <= rank) & (rank < F.col("_q_before") + F.col("_q_count")), F.col(value)))
+        return F.max(F.when((b <= rank) & (rank < b + c), v))
 
     aggs = [F.max("_q_total").alias("_q_total")]
     for name, p in probs.items():
-        h = (F.col("_q_total") - 1) * F.lit(float(p))
+        h = (n - 1) * F.lit(float(p))
         aggs += [at(F.floor(h)).alias(f"_lo_{name}"), at(F.ceil(h)).alias(f"_hi_{name}")]
+    if moments:   # squares around the known mean, so nothing cancels
+        mean = F.col("_q_sum") / n
+        aggs += [F.max(mean).alias("mean"), F.sum(c * F.pow(v - mean, 2)).alias("_q_squares"),
+                 F.min("_q_value").alias("min"), F.max("_q_value").alias("max")]
     picked = cum.groupBy(*keys).agg(*aggs)
 
     def blend(name, p):
-        h = (F.col("_q_total") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
+        h = (n - 1) * F.lit(float(p))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         return (lo + (hi - lo) * (h - F.floor(h))).alias(name)
 
-    return picked.select(*keys, *[blend(n, p) for n, p in probs.items()])
+    extra = [n.alias("count"), "mean", F.sqrt(F.col("_q_squares") / F.when(n > 1, n - 1)).alias("std"),
+             "min", "max"] if moments else []
+    return picked.select(*keys, *[blend(q, p) for q, p in probs.items()], *extra)

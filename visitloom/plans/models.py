@@ -29,9 +29,14 @@ def assemble(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     return df.select(*keep, array_to_vector(F.array(*[quoted(n).cast("double") for n in names])).alias("features"))
 
 
-def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
+def class_counts(df: DataFrame, label: str = "label") -> dict[float, int]:
+    """Rows per class (two rows)."""
+    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def balanced_weights(df: DataFrame, label: str = "label", counts: dict | None = None) -> DataFrame:
     """Adds ``weight`` = n / (classes * n_class)."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    counts = counts or class_counts(df, label)
     total = sum(counts.values())
     weight = F.lit(1.0)
     for value, n in counts.items():
@@ -99,12 +104,14 @@ class FittedModel:
 
 def fit(family: str, params: dict[str, Any], train: DataFrame) -> FittedModel:
     """Fit one family on ``features, label``."""
-    if params.get("class_weight") == "balanced":
-        train = balanced_weights(train)
-    first = train.select("features").head()
-    if first is None:
-        raise ValueError("no training rows")
-    est = make_estimator(family, params, train.count(), first[0].size)
-    return FittedModel(family, est.fit(train), dict(params))
-
-
+    train = train.select("features", "label").persist()   # iterative fits read it many times
+    try:
+        counts = class_counts(train)
+        if not counts:
+            raise ValueError("no training rows")
+        width = train.select("features").head()[0].size
+        est = make_estimator(family, params, sum(counts.values()), width)
+        balanced = params.get("class_weight") == "balanced"
+        return FittedModel(family, est.fit(balanced_weights(train, counts=counts) if balanced else train), dict(params))
+    finally:
+        train.unpersist()

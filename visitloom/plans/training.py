@@ -11,12 +11,11 @@ from ..operators.cohort import Cohort, future_outcome_cohort
 from ..operators.metrics import metric_row
 from ..operators.preprocess import Preprocessor, apply_sequence_stats, fit_sequence_stats
 from ..operators.sequence import collect_vocabulary, layout, sequences, vocabulary
-from ..operators.splits import (
-    TEST, TRAIN, VALIDATION, candidates, check_split, stratified_split, with_split,
-)
-from ..operators.wide import COUNT_COLUMN, wide_features
+from ..operators.guards import strip_leakage
+from ..operators.splits import TEST, TRAIN, VALIDATION, check_split, stratified_split, with_split
+from ..operators.wide import COUNT_COLUMN, catalogue, wide_features
 from ..sources.readers import complete_layout
-from ..sources.session import shared_folder
+from ..sources.session import written
 from ..sources.sinks import write_best_config, write_leaderboard, write_record
 from ..spec import CohortRules, DataError, SplitSizes, VisitSpec
 from .models import REPRESENTATION, SEQUENCE, WIDE, FittedModel, assemble, fit
@@ -25,7 +24,6 @@ from .search import SearchResult, Trial, run_search
 
 def wide_columns(spec: VisitSpec, max_waves: int) -> tuple[list[str], list[str]]:
     """Numeric and categorical columns of the wide table."""
-    from ..operators.wide import catalogue
     feats = catalogue(spec, max_waves=max_waves)
     return ([f.column for f in feats if f.kind != "categorical"],
             [f.column for f in feats if f.kind == "categorical"])
@@ -113,11 +111,20 @@ def labelled(artifact: Artifact, obs: DataFrame, targets: DataFrame) -> DataFram
     return artifact.features(obs, bounded=True).select(e, "features").join(label, e)
 
 
+def split_cohort(cohort: Cohort, sizes: SplitSizes = SplitSizes(), *, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Observation rows with their split, and ``entity, target, split``, both as written tables."""
+    spec = cohort.spec
+    # Every eligible entity has observation rows, so the audit is the candidate list.
+    split = written(stratified_split(cohort.targets, spec, sizes, seed=seed), "split")
+    rows = with_split(strip_leakage(cohort.observed, spec), split, spec)
+    return written(rows, "observations", "split"), split
+
+
 @dataclass
 class TrainingResult:
     cohort: Cohort
     split: DataFrame
-    observations: DataFrame      # written table: observation rows with target and split
+    observations: DataFrame      # written table: observation rows with their split
     search: SearchResult
     artifact: Artifact           # retrained on train and validation
     validation_metrics: dict
@@ -131,22 +138,15 @@ class TrainingResult:
         write_record(self.cohort.counts(), f"{folder}/cohort_counts")
 
 
-def train(spark: SparkSession, visits: DataFrame, spec: VisitSpec, trials: list[Trial], *,
+def train(spark: SparkSession, visits: DataFrame | None, spec: VisitSpec, trials: list[Trial], *,
           rules: CohortRules = CohortRules(), sizes: SplitSizes = SplitSizes(), seed: int = 42,
           threshold: float = 0.5, parallelism: int = 2, cohort: Cohort | None = None) -> TrainingResult:
     """The whole run.  Validation data choose the trial, test data are read once at the end."""
-    e, window = spec.entity, rules.max_visits
-    cohort = cohort or future_outcome_cohort(visits, spec, rules)
-    split = stratified_split(candidates(cohort.observations, cohort.targets, spec), spec, sizes, seed=seed)
-    # Everything below reads these rows many times; a written table cuts the lineage
-    # and outlives lost executors.
-    folder = shared_folder(spark, "training")
-    with_split(cohort.observations, split.select(e, "split", spec.target), spec).join(
-        split.select(e, F.col(spec.target).alias("_y")), e).write.partitionBy("split").parquet(folder)
-    rows = spark.read.parquet(folder)
-    part = {s: rows.filter(F.col("split") == s).drop("split", "_y") for s in (TRAIN, VALIDATION, TEST)}
-    targets = rows.groupBy(e).agg(F.max("_y").alias(spec.target), F.max("split").alias("split"))
+    window = rules.max_visits
+    cohort = (cohort or future_outcome_cohort(visits, spec, rules)).with_written_audit()
+    rows, targets = split_cohort(cohort, sizes, seed=seed)
     check_split(targets, spec)
+    part = {s: rows.filter(F.col("split") == s).drop("split") for s in (TRAIN, VALIDATION, TEST)}
 
     wanted = sorted({t.representation for t in trials})
     data, cached = {}, []
@@ -167,7 +167,7 @@ def train(spark: SparkSession, visits: DataFrame, spec: VisitSpec, trials: list[
     final = replace(final, model=fit(found.best.family, dict(found.best.params), ready))
     ready.unpersist()
     scored = final.model.predict_proba(labelled(final, part[TEST], targets))
-    return TrainingResult(cohort, split, rows, found, final, found.best_metrics,
+    return TrainingResult(cohort, targets, rows, found, final, found.best_metrics,
                           metric_row(scored, threshold, y="label", prefix="test_"))
 
 
