@@ -731,28 +731,20 @@ SMALL = {
 }
 
 
-def one_trial(family):
-    return [sr.Trial(0, family, tuple(SMALL[family].items()))]
-
-
-def model_rows(spark, sf):
-    """Cohort observations with their split, and targets, as written tables."""
-    rows, who = tr.split_cohort(positional(spark, sf).with_written_audit())
-    return rows.drop("split"), who
-
-
 def fitted(spark, sf, family):
-    obs, who = model_rows(spark, sf)
-    train = obs.join(who.filter("split = 'train'").select("entity_id"), "entity_id", "left_semi")
-    art = tr.fit_representation(train, N, tr.chosen_representation(family), 4)
-    model = mo.fit(family, SMALL[family], tr.labelled(art, train, who))
-    return replace(art, model=model), obs, who
+    """A model fitted on the training split, and the prepared tables."""
+    kind = tr.chosen_representation(family)
+    ready = tr.prepare(positional(spark, sf), representations=(kind,))
+    train = ready.table(kind, "train")
+    art = tr.fit_representation(train, N, kind, 4)
+    return replace(art, model=mo.fit(family, SMALL[family], tr.labelled(art, train, ready.targets))), ready
 
 
 def fit_and_score(family):
     def run(spark, sf):
-        art, obs, who = fitted(spark, sf, family)
-        return rounded(art.score(obs, bounded=True).join(who, "entity_id"))
+        art, ready = fitted(spark, sf, family)
+        scored = art.model.predict(art.features_of(ready.table(art.representation)), art.threshold)
+        return rounded(scored.select("entity_id", "n_visits", "p", "prediction").join(ready.targets, "entity_id"))
     return run
 
 
@@ -765,7 +757,7 @@ for _family in SMALL:
 @query
 def score_batch(spark, sf):
     """All visits of all entities scored with a saved and reloaded model."""
-    art, _, _ = fitted(spark, sf, "logistic_regression")
+    art, _ = fitted(spark, sf, "logistic_regression")
     path = shared_folder(spark, "artifact")
     art.save(spark, path)
     return rounded(tr.Artifact.load(spark, path, N).score(t.visits(spark, sf)))
@@ -789,20 +781,20 @@ def end_to_end_test_metrics(spark, sf):
 
 @query
 def robustness(spark, sf):
-    art, obs, who = fitted(spark, sf, "logistic_regression")
-    return rounded(robustness_sweep(obs, who, art, [
+    art, ready = fitted(spark, sf, "logistic_regression")
+    return rounded(robustness_sweep(ready.table(tr.SEQUENCE), ready.targets, art, [
         Condition(), Condition("remove_measurements", 0.3), Condition("remove_visits", 0.5),
         Condition("truncate_to_recent_visits", 2.0), Condition("jitter_visit_timing", 30.0)]))
 
 
 def explained(spark, sf, family="logistic_regression"):
-    art, obs, who = fitted(spark, sf, family)
-    return art, tr.labelled(art, obs, who), obs
+    art, ready = fitted(spark, sf, family)
+    return art, tr.labelled(art, ready.table(art.representation), ready.targets)
 
 
 @query
 def permutation_importance(spark, sf):
-    art, data, _ = explained(spark, sf)
+    art, data = explained(spark, sf)
     names = art.preprocessor.output_names
     imp = ex.permutation_importance(art.model, data, "entity_id", names, repeats=2)
     return rounded(ex.global_ranking(imp, readable_names(names, N), top=len(names)))
@@ -810,19 +802,20 @@ def permutation_importance(spark, sf):
 
 @query
 def linear_contributions(spark, sf):
-    art, data, _ = explained(spark, sf)
+    art, data = explained(spark, sf)
     return rounded(ex.linear_contributions(art.model, data, "entity_id", art.preprocessor.output_names))
 
 
 @query
 def ablation_contributions(spark, sf):
-    art, data, _ = explained(spark, sf, "random_forest")
+    art, data = explained(spark, sf, "random_forest")
     return rounded(ex.ablation_contributions(art.model, data, "entity_id", art.preprocessor.output_names))
 
 
 @query
 def temporal_occlusion(spark, sf):
-    art, obs, _ = fitted(spark, sf, "sequence_network")
+    art, ready = fitted(spark, sf, "sequence_network")
+    obs = ready.table(tr.SEQUENCE)
     names = se.layout(obs, N, art.vocab)
     x = pp.apply_sequence_stats(se.sequences(obs, N, art.vocab), art.sequence_stats, names)
 

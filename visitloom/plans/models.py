@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 WIDE, SEQUENCE = "wide", "sequence"
+ROWS_PER_FIT_TASK = 50_000
 REPRESENTATION = {
     "logistic_regression": WIDE, "random_forest": WIDE, "gradient_boosting": WIDE,
     "gradient_boosting_leafwise": WIDE, "sequence_network": SEQUENCE,
@@ -109,9 +110,11 @@ def fit(family: str, params: dict[str, Any], train: DataFrame) -> FittedModel:
         counts = class_counts(train)
         if not counts:
             raise ValueError("no training rows")
-        width = train.select("features").head()[0].size
-        est = make_estimator(family, params, sum(counts.values()), width)
-        balanced = params.get("class_weight") == "balanced"
-        return FittedModel(family, est.fit(balanced_weights(train, counts=counts) if balanced else train), dict(params))
+        n, width = sum(counts.values()), train.select("features").head()[0].size
+        est = make_estimator(family, params, n, width)
+        ready = balanced_weights(train, counts=counts) if params.get("class_weight") == "balanced" else train
+        # Every iteration is a job, so tasks should not be smaller than needed.
+        ready = ready.coalesce(max(1, math.ceil(n / ROWS_PER_FIT_TASK)))
+        return FittedModel(family, est.fit(ready), dict(params))
     finally:
         train.unpersist()

@@ -32,11 +32,17 @@ def perturb(obs: DataFrame, spec: VisitSpec, condition: Condition, *, seed: int
 
 def robustness_sweep(obs: DataFrame, targets: DataFrame, artifact: Artifact,
                      conditions: list[Condition], *, seed: int = 42) -> DataFrame:
-    """One metric row per condition, from one grouped aggregation over all scored entities."""
+    """One metric row per condition.
+
+    The perturbed tables are put under one another with (condition, entity) as the
+    entity, so all of them go through one feature and scoring plan.
+    """
     spec, e = artifact.spec, artifact.spec.entity
+    changed = [
+        perturb(obs, spec, c, seed=seed).withColumn(
+            e, F.struct(F.lit(c.kind).alias("kind"), F.lit(c.strength).cast("double").alias("strength"),
+                        F.col(e).alias("of"))) for c in conditions]
+    scored = artifact.score(reduce(DataFrame.unionByName, changed), bounded=True).select(
+        f"{e}.kind", f"{e}.strength", F.col(f"{e}.of").alias(e), "p")
     label = targets.select(e, F.col(spec.target).cast("double").alias("label"))
-    scored = [
-        artifact.score(perturb(obs, spec, c, seed=seed), bounded=True).join(label, e).select(
-            F.lit(c.kind).alias("kind"), F.lit(c.strength).cast("double").alias("strength"), "label", "p")
-        for c in conditions]
-    return metric_row(reduce(DataFrame.unionByName, scored), artifact.threshold, ["kind", "strength"], y="label")
+    return metric_row(scored.join(label, e), artifact.threshold, ["kind", "strength"], y="label")

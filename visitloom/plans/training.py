@@ -47,15 +47,20 @@ class Artifact:
         obs = complete_layout(obs, self.spec)
         e = self.spec.entity
         if self.representation == WIDE:
-            wide = wide_features(obs, self.spec, max_waves=self.window, bounded=bounded)
-            done = self.preprocessor.transform(
-                wide.withColumn("n_visits", F.col(COUNT_COLUMN).cast("int")), [e, "n_visits"])
-            return assemble(done, self.preprocessor.output_names, [e, "n_visits"])
+            return self.features_of(wide_features(obs, self.spec, max_waves=self.window, bounded=bounded))
         counts = obs.groupBy(e).agg(F.count(F.lit(1)).cast("int").alias("n_visits"))
         seq = sequences(obs, self.spec, self.vocab, self.window)
         names = layout(obs, self.spec, self.vocab)
         return flatten(apply_sequence_stats(seq, self.sequence_stats, names), e, ["mask"]).join(counts, e)
 
+    def features_of(self, table: DataFrame) -> DataFrame:
+        """The same from a table of :meth:`Prepared.table`: wide rows, or cohort observations."""
+        if self.representation == SEQUENCE:
+            return self.features(table, bounded=True)
+        keep = [self.spec.entity, "n_visits"]
+        done = self.preprocessor.transform(table.withColumn("n_visits", F.col(COUNT_COLUMN).cast("int")), keep)
+        return assemble(done, self.preprocessor.output_names, keep)
+
     def score(self, obs: DataFrame, *, bounded: bool = False) -> DataFrame:
         """``entity, n_visits, p, prediction``."""
         scored = self.model.predict(self.features(obs, bounded=bounded), self.threshold)
@@ -90,41 +95,63 @@ def flatten(packed: DataFrame, entity: str, extra: list[str], keep: tuple[str, .
     return packed.select(entity, *keep, array_to_vector(F.concat(*parts)).alias("features"))
 
 
-def fit_representation(train: DataFrame, spec: VisitSpec, representation: str, window: int,
+@dataclass
+class Prepared:
+    """A split cohort as written tables."""
+
+    spec: VisitSpec
+    window: int
+    observations: DataFrame        # observation rows and their split
+    targets: DataFrame             # entity, target, split
+    wide: DataFrame | None         # wide rows and their split
+
+    def table(self, representation: str, *splits: str) -> DataFrame:
+        """What a representation is fitted on: wide rows or observations, of the given splits (or all)."""
+        rows = self.wide if representation == WIDE else self.observations
+        return (rows.filter(F.col("split").isin(*splits)) if splits else rows).drop("split")
+
+
+def prepare(cohort: Cohort, sizes: SplitSizes = SplitSizes(), *, seed: int = 42,
+            representations: tuple[str, ...] = (WIDE, SEQUENCE)) -> Prepared:
+    """Split a cohort and write what the fits will read many times.
+
+    Written tables cut the lineage and outlive lost executors.
+    """
+    spec, window = cohort.spec, cohort.rules.max_visits
+    cohort = cohort.with_written_audit()
+    # Every eligible entity has observation rows, so the audit is the candidate list.
+    split = written(stratified_split(cohort.targets, spec, sizes, seed=seed), "split")
+    rows = complete_layout(with_split(strip_leakage(cohort.observed, spec), split, spec), spec)
+    rows = written(rows, "observations", "split")
+    wide = None
+    if WIDE in representations:
+        built = wide_features(rows.drop("split"), spec, max_waves=window, bounded=True)
+        wide = written(with_split(built, split, spec), "wide", "split")
+    return Prepared(spec, window, rows, split, wide)
+
+
+def fit_representation(table: DataFrame, spec: VisitSpec, representation: str, window: int,
                        threshold: float = 0.5) -> Artifact:
-    """Fit preprocessing on training observations; the model comes later."""
+    """Fit preprocessing on training rows of :meth:`Prepared.table`; the model comes later."""
     shell = Artifact(spec, representation, window, threshold, model=None)
     if representation == WIDE:
-        numeric, categorical = wide_columns(spec, window)
-        wide = wide_features(complete_layout(train, spec), spec, max_waves=window, bounded=True)
-        return replace(shell, preprocessor=Preprocessor.fit(wide, numeric, categorical))
-    train = complete_layout(train, spec)
-    vocab = collect_vocabulary(vocabulary(train, spec))
-    seq = sequences(train, spec, vocab, window)
-    return replace(shell, vocab=vocab, sequence_stats=fit_sequence_stats(seq, spec, layout(train, spec, vocab)))
+        return replace(shell, preprocessor=Preprocessor.fit(table, *wide_columns(spec, window)))
+    vocab = collect_vocabulary(vocabulary(table, spec))
+    seq = sequences(table, spec, vocab, window)
+    return replace(shell, vocab=vocab, sequence_stats=fit_sequence_stats(seq, spec, layout(table, spec, vocab)))
 
 
-def labelled(artifact: Artifact, obs: DataFrame, targets: DataFrame) -> DataFrame:
-    """``entity, features, label`` of observations; labels are joined by entity."""
+def labelled(artifact: Artifact, table: DataFrame, targets: DataFrame) -> DataFrame:
+    """``entity, features, label``; labels are joined by entity."""
     e = artifact.spec.entity
     label = targets.select(e, F.col(artifact.spec.target).cast("double").alias("label"))
-    return artifact.features(obs, bounded=True).select(e, "features").join(label, e)
-
-
-def split_cohort(cohort: Cohort, sizes: SplitSizes = SplitSizes(), *, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Observation rows with their split, and ``entity, target, split``, both as written tables."""
-    spec = cohort.spec
-    # Every eligible entity has observation rows, so the audit is the candidate list.
-    split = written(stratified_split(cohort.targets, spec, sizes, seed=seed), "split")
-    rows = with_split(strip_leakage(cohort.observed, spec), split, spec)
-    return written(rows, "observations", "split"), split
+    return artifact.features_of(table).select(e, "features").join(label, e)
 
 
 @dataclass
 class TrainingResult:
     cohort: Cohort
-    split: DataFrame
-    observations: DataFrame      # written table: observation rows with their split
+    prepared: Prepared
     search: SearchResult
     artifact: Artifact           # retrained on train and validation
     validation_metrics: dict
@@ -142,32 +169,30 @@ def train(spark: SparkSession, visits: DataFrame | None, spec: VisitSpec, trials
           rules: CohortRules = CohortRules(), sizes: SplitSizes = SplitSizes(), seed: int = 42,
           threshold: float = 0.5, parallelism: int = 2, cohort: Cohort | None = None) -> TrainingResult:
     """The whole run.  Validation data choose the trial, test data are read once at the end."""
-    window = rules.max_visits
-    cohort = (cohort or future_outcome_cohort(visits, spec, rules)).with_written_audit()
-    rows, targets = split_cohort(cohort, sizes, seed=seed)
+    cohort = cohort or future_outcome_cohort(visits, spec, rules)
+    wanted = tuple(sorted({t.representation for t in trials}))
+    ready = prepare(cohort, sizes, seed=seed, representations=wanted)
+    targets = ready.targets
     check_split(targets, spec)
-    part = {s: rows.filter(F.col("split") == s).drop("split") for s in (TRAIN, VALIDATION, TEST)}
 
-    wanted = sorted({t.representation for t in trials})
-    data, cached = {}, []
+    data = {}
     for representation in wanted:
-        shell = fit_representation(part[TRAIN], spec, representation, window, threshold)
-        pair = tuple(labelled(shell, part[s], targets).persist() for s in (TRAIN, VALIDATION))
-        cached += pair
-        data[representation] = pair
+        shell = fit_representation(ready.table(representation, TRAIN), spec, representation, ready.window, threshold)
+        data[representation] = tuple(
+            labelled(shell, ready.table(representation, s), targets).persist() for s in (TRAIN, VALIDATION))
     try:
         found = run_search(spark, trials, data, threshold=threshold, parallelism=parallelism)
     finally:
-        for df in cached:
-            df.unpersist()
-
-    both = part[TRAIN].unionByName(part[VALIDATION])
-    final = fit_representation(both, spec, found.best.representation, window, threshold)
-    ready = labelled(final, both, targets).persist()
-    final = replace(final, model=fit(found.best.family, dict(found.best.params), ready))
-    ready.unpersist()
-    scored = final.model.predict_proba(labelled(final, part[TEST], targets))
-    return TrainingResult(cohort, targets, rows, found, final, found.best_metrics,
+        for pair in data.values():
+            for df in pair:
+                df.unpersist()
+
+    chosen = found.best.representation
+    both = ready.table(chosen, TRAIN, VALIDATION)
+    final = fit_representation(both, spec, chosen, ready.window, threshold)
+    final = replace(final, model=fit(found.best.family, dict(found.best.params), labelled(final, both, targets)))
+    scored = final.model.predict_proba(labelled(final, ready.table(chosen, TEST), targets))
+    return TrainingResult(cohort, ready, found, final, found.best_metrics,
                           metric_row(scored, threshold, y="label", prefix="test_"))
 
 
@@ -177,4 +202,5 @@ def chosen_representation(family: str) -> str:
     return REPRESENTATION[family]
 
 
-__all__ = ["Artifact", "SEQUENCE", "TrainingResult", "WIDE", "fit_representation", "flatten", "labelled", "train"]
+__all__ = ["Artifact", "Prepared", "SEQUENCE", "TrainingResult", "WIDE", "fit_representation", "flatten",
+           "labelled", "prepare", "train"]
