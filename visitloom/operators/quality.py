@@ -27,7 +27,7 @@ def duplicate_groups(df: DataFrame, spec: VisitSpec) -> DataFrame:
 
 def unordered_entities(df: DataFrame, spec: VisitSpec, ordinal: str, **kw) -> DataFrame:
     """Entities whose dates go back in time along ``ordinal``, the order of arrival."""
-    rows = df.select(spec.entity, ordinal, F.col(spec.time).alias("_t"))
+    rows = df.select(spec.entity, ordinal, _as_date(df, spec.time).alias("_t"))
     seen = running(rows, [spec.entity], [F.col(ordinal)], sort_cuts(df, [ordinal]),
                    before={"_latest": ("max", F.col("_t"))}, **kw)
     return seen.filter(F.col("_latest") > F.col("_t")).select(spec.entity).distinct()

@@ -51,13 +51,12 @@ def spearman(a: DataFrame, b: DataFrame, **kw) -> DataFrame:
     """Rank correlation over shared keys; NULL below two keys or for a constant side."""
     both = shared_scores(a, b)
     ranked = average_ranks(average_ranks(both, "score_a", "_ra", **kw), "score_b", "_rb", **kw)
-    stats = ranked.groupBy().agg(
-        F.count(F.lit(1)).alias("shared_keys"), F.corr("_ra", "_rb").alias("_r"),
-        F.min("_ra").alias("_la"), F.max("_ra").alias("_ha"),
-        F.min("_rb").alias("_lb"), F.max("_rb").alias("_hb"))
-    varied = (F.col("shared_keys") >= 2) & (F.col("_la") < F.col("_ha")) & (F.col("_lb") < F.col("_hb"))
-    return stats.select("shared_keys", F.when(varied, F.greatest(
-        F.lit(-1.0), F.least(F.lit(1.0), F.col("_r")))).alias("spearman"))
+    # corr() raises on a constant side in ANSI mode, so the quotient is spelled out.
+    r = F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))
+    stats = ranked.groupBy().agg(F.count(F.lit(1)).alias("shared_keys"), r.alias("_r"))
+    clipped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_r")))
+    defined = (F.col("shared_keys") >= 2) & F.col("_r").isNotNull()
+    return stats.select("shared_keys", F.when(defined, clipped).alias("spearman"))
 
 
 def stability_report(a: DataFrame, b: DataFrame, k: int = 5, **kw) -> DataFrame:
