@@ -12,8 +12,8 @@ found with ``percentile_approx``, collected once and planted as constants, so a
 retried task sees the same ranges.  The answer is exact in both cases.
 
 What is collected and broadcast: only groups with more than ``rows_per_task``
-rows, so at most ``rows / rows_per_task`` of them, each with at most
-``MAX_RANGES`` bounds and never more than four bounds per ``rows_per_task`` rows.
+rows, so at most ``rows / rows_per_task`` of them, with two bounds for every
+``rows_per_task`` rows and at most ``MAX_RANGES`` per group.
 """
 
 from __future__ import annotations
@@ -63,9 +63,15 @@ def _large_groups(df: DataFrame, groups: list[str], cut: Column, rows_per_task:
     ranges = min(MAX_RANGES, max(2, 2 * math.ceil(largest / rows_per_task)))
     probs = [i / ranges for i in range(1, ranges)]
     marked = _attach(df.select(*groups, cut.alias("_cut")), hot.withColumn("_hot", F.lit(True)), groups)
+    # All groups share one list of probabilities; each keeps as many bounds as its own size asks for.
+    wanted = F.least(F.lit(ranges), F.greatest(
+        F.lit(2), F.ceil(F.lit(2.0) * F.col("_rows") / rows_per_task))).cast("int")
+    kept = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get(
+        "_quantiles", F.floor(i * F.lit(ranges) / wanted).cast("int") - 1))
     bounds = (marked.filter("_hot").groupBy(*groups)
-              .agg(F.percentile_approx("_cut", probs, 20 * ranges).alias("_bounds"))
-              .select(*groups, F.array_sort(F.array_distinct("_bounds")).alias("_bounds")).collect())
+              .agg(F.percentile_approx("_cut", probs, 20 * ranges).alias("_quantiles"),
+                   F.count(F.lit(1)).alias("_rows"))
+              .select(*groups, F.array_sort(F.array_distinct(kept)).alias("_bounds")).collect())
     doubles = T.ArrayType(T.DoubleType())
     schema = T.StructType(list(keys) + [T.StructField("_bounds", doubles), T.StructField("_coarse", doubles)])
     return spark.createDataFrame(

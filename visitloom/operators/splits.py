@@ -1,8 +1,8 @@
 """Splits of entities (never of rows) into train, validation and test.
 
 Assignment is a rank by a seeded hash inside each class.  The per-class sizes
-come from a table with one row per class, so exact sizes cost one ranking and a
-broadcast of two rows.
+come from a table with one row per class, checked to be small, so exact sizes cost one
+ranking and a broadcast of two rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from ..spec import DataError, SplitSizes, VisitSpec
 from .ordered import positions
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
+MAX_CLASSES = 1_000
 
 
 def candidates(obs: DataFrame, targets: DataFrame, spec: VisitSpec) -> DataFrame:
@@ -50,6 +51,14 @@ def class_sizes(labeled: DataFrame, target: str, sizes: SplitSizes) -> DataFrame
     return classes.select("_class", "_n", "_test", "_val")
 
 
+def _small(classes: DataFrame) -> DataFrame:
+    """The class table as constants, after a check that a target is not a continuous value."""
+    rows = classes.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise DataError(f"the target has more than {MAX_CLASSES} values")
+    return F.broadcast(classes.sparkSession.createDataFrame(rows, classes.schema))
+
+
 def stratified_split(labeled: DataFrame, spec: VisitSpec, sizes: SplitSizes = SplitSizes(), *,
                      seed: int = 42, stratify: bool = True, **kw) -> DataFrame:
     """``entity, target, split`` with exact sizes, classes shared out in proportion.
@@ -59,11 +68,10 @@ def stratified_split(labeled: DataFrame, spec: VisitSpec, sizes: SplitSizes = Sp
     e = spec.entity
     data = labeled.select(e, spec.target, (F.col(spec.target) if stratify else F.lit(0)).alias("_class"))
     data = data.withColumn("_u", uniform(seed, e))
-    sized = class_sizes(data, "_class", sizes)
+    small = _small(class_sizes(data, "_class", sizes).withColumnRenamed("_class", "_c"))
     ranked = positions(data, ["_class"], [F.col("_u"), F.col(e)],
                        [F.col("_u"), *sort_cuts(data, [e])], "_i", **kw)
-    small = sized.withColumnRenamed("_class", "_c")
-    joined = ranked.join(F.broadcast(small), ranked["_class"].eqNullSafe(small["_c"]))   # a row per class
+    joined = ranked.join(small, ranked["_class"].eqNullSafe(small["_c"]))
     return joined.select(
         e, spec.target,
         F.when(F.col("_i") < F.col("_test"), TEST)
@@ -82,7 +90,7 @@ def internal_split(labeled: DataFrame, spec: VisitSpec, fraction: float, *, seed
                .withColumn("_mixed", (F.min("_n").over(every) >= 2) & (F.count(F.lit(1)).over(every) >= 2)))
     n_val = F.greatest(F.lit(1), F.least(F.col("_all") - 1, F.bround(F.col("_all") * fraction).cast("long")))
     classes = _allocate(classes.withColumn("_size", n_val), F.col("_size"), F.col("_all"), "_n", "_val")
-    small = F.broadcast(classes.select("_class", "_val", "_mixed", "_size"))   # a row per class
+    small = _small(classes.select("_class", "_val", "_mixed", "_size"))
     data = data.join(small, data[spec.target].eqNullSafe(F.col("_class"))).withColumn(
         "_group", F.when(F.col("_mixed"), F.col("_class").cast("string")).otherwise("all"))
     ranked = positions(data, ["_group"], [F.col("_u"), F.col(e)],
