@@ -12,7 +12,8 @@ from visitloom.operators.names import readable_names
 from visitloom.operators.preprocess import apply_sequence_stats
 from visitloom.plans import explain as ex, models as mo, search as sr, training as tr
 from visitloom.plans.robustness import robustness_sweep
-from visitloom.spec import Condition
+from visitloom.sources import sinks
+from visitloom.spec import Condition, LeakageError
 
 SF = "/root/testdata/sf0.01"
 N = tables.NARROW
@@ -43,6 +44,24 @@ def test_run_adds_up(spark, result, tmp_path):
     result.save(spark, str(tmp_path))
     assert spark.read.csv(str(tmp_path / "leaderboard"), header=True).count() == len(board)
     assert spark.read.json(str(tmp_path / "best_config")).first().trial == board[0].trial
+    saved = sinks.read_record(spark, str(tmp_path / "test_metrics"), result.test_metrics).first()
+    assert saved == test
+    assert sinks.read_record(spark, str(tmp_path / "split_statistics")).count() == 3
+
+
+def test_threshold_chosen_on_validation(spark, result):
+    tuned = tr.train(spark, None, N, TRIALS[:1], cohort=result.cohort, threshold=None)
+    val = tuned.search.models[0].predict_proba(tr.labelled(
+        tr.fit_representation(tuned.prepared.table(tr.WIDE, "train"), N, tr.WIDE, 4),
+        tuned.prepared.table(tr.WIDE, "validation"), tuned.prepared.targets))
+    assert tuned.artifact.threshold == me.best_f1_threshold(val, y="label").first().threshold
+    assert tuned.test_metrics.first().test_threshold == tuned.artifact.threshold
+
+
+def test_scoring_refuses_future_columns(spark, result):
+    obs = result.prepared.table(tr.SEQUENCE)
+    with pytest.raises(LeakageError):
+        result.artifact.score(obs.withColumn("target", F.lit(1)))
 
 
 @pytest.mark.parametrize("trial", [0, 2])

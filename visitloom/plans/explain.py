@@ -17,9 +17,6 @@ from ..operators.metrics import auroc
 from ..operators.ordered import positions
 from .models import FittedModel
 
-DISCLAIMER = "Explains the model, not the patient; not medical advice."
-
-
 def permutation_importance(model: FittedModel, data: DataFrame, entity: str, names: list[str], *,
                            repeats: int = 5, seed: int = 42, **kw) -> DataFrame:
     """``feature, importance``: mean fall of AUROC when a feature is shuffled between entities.

@@ -8,12 +8,14 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.cohort import Cohort, future_outcome_cohort
-from ..operators.metrics import metric_row
+from ..operators.metrics import best_f1_threshold, metric_row
 from ..operators.preprocess import Preprocessor, apply_sequence_stats, fit_sequence_stats
 from ..operators.sequence import collect_vocabulary, layout, sequences, vocabulary
 from ..operators.guards import strip_leakage
-from ..operators.splits import TEST, TRAIN, VALIDATION, check_split, stratified_split, with_split
-from ..operators.wide import COUNT_COLUMN, catalogue, wide_features
+from ..operators.splits import (
+    TEST, TRAIN, VALIDATION, check_split, split_statistics, stratified_split, with_split,
+)
+from ..operators.wide import COUNT_COLUMN, catalogue, catalogue_frame, wide_features
 from ..sources.readers import complete_layout
 from ..sources.session import written
 from ..sources.sinks import write_best_config, write_leaderboard, write_record
@@ -163,12 +165,23 @@ class TrainingResult:
         write_best_config(self.search.leaderboard, f"{folder}/best_config")
         write_record(self.test_metrics, f"{folder}/test_metrics")
         write_record(self.cohort.counts(), f"{folder}/cohort_counts")
+        write_record(split_statistics(self.prepared.targets, self.artifact.spec), f"{folder}/split_statistics")
+        write_record(spark.createDataFrame([(k, float(v)) for k, v in self.validation_metrics.items()
+                                            if v is not None], "metric string, value double"),
+                     f"{folder}/validation_metrics")
+        if self.artifact.representation == WIDE:
+            write_record(catalogue_frame(spark, self.artifact.spec, max_waves=self.artifact.window),
+                         f"{folder}/feature_catalogue")
 
 
 def train(spark: SparkSession, visits: DataFrame | None, spec: VisitSpec, trials: list[Trial], *,
           rules: CohortRules = CohortRules(), sizes: SplitSizes = SplitSizes(), seed: int = 42,
-          threshold: float = 0.5, parallelism: int = 2, cohort: Cohort | None = None) -> TrainingResult:
-    """The whole run.  Validation data choose the trial, test data are read once at the end."""
+          threshold: float | None = 0.5, parallelism: int = 2, cohort: Cohort | None = None) -> TrainingResult:
+    """The whole run.  Validation data choose the trial, test data are read once at the end.
+
+    With ``threshold=None`` the best trial's F1 on validation chooses the threshold too.
+    """
+    tuned, threshold = threshold is None, 0.5 if threshold is None else threshold
     cohort = cohort or future_outcome_cohort(visits, spec, rules)
     wanted = tuple(sorted({t.representation for t in trials}))
     ready = prepare(cohort, sizes, seed=seed, representations=wanted)
@@ -182,6 +195,10 @@ def train(spark: SparkSession, visits: DataFrame | None, spec: VisitSpec, trials
             labelled(shell, ready.table(representation, s), targets).persist() for s in (TRAIN, VALIDATION))
     try:
         found = run_search(spark, trials, data, threshold=threshold, parallelism=parallelism)
+        if tuned:
+            val = found.models[found.best.number].predict_proba(data[found.best.representation][1])
+            best = best_f1_threshold(val, y="label").first()["threshold"]   # one row
+            threshold = threshold if best is None else best
     finally:
         for pair in data.values():
             for df in pair:

@@ -47,10 +47,16 @@ def write_best_config(board: DataFrame, path: str) -> None:
 
 
 def write_record(record: DataFrame, path: str) -> None:
-    """Small metric or summary tables as JSON."""
+    """Small tables as JSON: metrics, summaries, explanations."""
     record.coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_record(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """A table written by :func:`write_record`, with the types of ``like`` when given."""
+    reader = spark.read.schema(like.schema) if like is not None else spark.read
+    return reader.json(path)
+
+
 def invalid_runs(runs: DataFrame) -> DataFrame:
     """Run records that break a rule: empty id, another version, unnamed or non-finite metric."""
     names = F.map_keys("metrics")
