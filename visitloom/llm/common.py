@@ -113,10 +113,10 @@ def words_of(data: np.ndarray, breaks: np.ndarray, fold: bool) -> tuple[np.ndarr
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column and the rows' offsets in them; NULL is empty."""
-    column = column.cast(pa.large_string())
+    """All bytes of a string or binary column and the rows' offsets in them; NULL is empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, dtype=np.uint8)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .prefix_groups import jaccard_join
+from .run_index import remove_repeats
 from .target_ratio import RatioRules, quality_rules
 from .url_trie import Entry, filter_urls
 
@@ -22,6 +24,20 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op5_prefix_groups(spark, sf):
+    """Near copies of every document: similarity of five-word shingle sets of 0.8 or more."""
+    return jaccard_join(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_run_index(spark, sf):
+    """Every document without the bytes of strings of 200 bytes that also start elsewhere."""
+    out = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_target_ratio(spark, sf):
     """Base counts of every text and the verdict of the likelihood ratio."""
