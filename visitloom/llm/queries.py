@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .blob_ledger import listed, scan_history
 from .common import table
+from .conflict_packing import PackRules, pack_texts
 from .prefix_groups import jaccard_join
 from .run_index import remove_repeats
 from .target_ratio import RatioRules, quality_rules
@@ -24,6 +26,25 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_conflict_packing(spark, sf):
+    """Every document, in pieces of at most 2048 words, packed with at most one of a source in a bin."""
+    return pack_texts(table(spark, sf, "documents").select("doc_id", "text", "source"), rules=PackRules(2048))
+
+
+@query
+def op4_blob_ledger(spark, sf):
+    """Secrets of every document, each distinct text scanned once."""
+    found = scan_history(table(spark, sf, "documents").select("doc_id", "text"))
+
+    def spans(*kinds: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id", *[F.size(spans(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(listed(spans("assign", "access", "hex")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op5_prefix_groups(spark, sf):
     """Near copies of every document: similarity of five-word shingle sets of 0.8 or more."""
