@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import BASE, mix, powers, word_chunks
 from .shared import connected, kept
@@ -26,12 +26,13 @@ NONE = (1 << 63) - 1     # stands for a NULL id in comparisons
 class JoinRules:
     """Link when 100 * intersection >= percent * union. The other numbers change the work, not the answer:
     the order puts at most ``frequent`` shingles last, and ``star_rounds`` rounds of comparing every member of a
-    bucket with one pivot precede the comparison of all pairs that are still in different components."""
+    bucket of more than ``crowd`` with one pivot precede the comparison of all pairs that are still apart."""
     width: int = 5
     percent: int = 80
     frequent: int = 1 << 17
     least_frequency: int = 64
     star_rounds: int = 2
+    crowd: int = 256
 
 
 def shingles(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -130,10 +131,15 @@ def _sets(docs: DataFrame, key: str, text: str, rules: JoinRules) -> DataFrame:
         run, "id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of nodes (a, b) whose whole sets are similar enough."""
-    wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame, rules: JoinRules) -> DataFrame:
+    """The pairs of classes (a, b) whose whole sets are similar enough; only the sets of these classes are made."""
+    pairs = kept(pairs, "pairs")
+    wanted = classes.join(pairs.select("a").union(pairs.select("b")).distinct(), classes["cid"] == F.col("a"),
+                          "left_semi").select("cid", "least", "s1")
+    sets = kept(_whole_sets(docs, key, text, wanted, rules.width), "shingles")
+    wide = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    percent = rules.percent
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +151,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array(ok, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return wide.mapInArrow(check, f"a {kind}, b {kind}")
+    return wide.mapInArrow(check, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
@@ -159,45 +164,45 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     only where all keys of the component are NULL. n_texts counts the different sets of the component
     (0 without words). Rows with equal sets are one class whatever their number, so copies cost one row per
     task after the first scan; equal keys on different texts stay apart. An empty table gives no rows; other
-    columns are ignored. Only row counts, and at most ``frequent`` shingles, reach the driver.
+    columns are ignored. Only flags, and at most ``frequent`` shingles, reach the driver.
     """
     rows = kept(_sets(docs, key, text, rules), "sets")
     full = rows.filter("n > 0")
+    # numbers of classes and groups are given as these tables are written, and stay as written
+    groups = kept(full.groupBy("p1", "p2", "n").agg(F.first("prefix").alias("prefix")).withColumn(
+        "gid", F.monotonically_increasing_id()), "groups")
     classes = kept(full.groupBy("s1", "s2", "n", "p1", "p2").agg(
-        F.coalesce(F.min("id"), F.lit(NONE)).alias("least")).select(
-        F.struct("least", "s1").alias("node"), "s1", "s2", "n", "p1", "p2"), "classes")
-
-    # buckets: groups by each prefix shingle that two groups have; and each group of several classes by itself
-    groups = full.groupBy("p1", "p2", "n").agg(F.first("prefix").alias("prefix"))
-    tokens = groups.select("p1", "p2", "n", F.explode("prefix").alias("bucket"))
-    several = tokens.join(tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket"),
-                          "bucket")
-    members = classes.select("node", "p1", "p2", "n")
-    inside = members.groupBy("p1", "p2", "n").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(
-        F.xxhash64("p1", "p2", "n").alias("bucket"), "p1", "p2", "n", F.lit(False).alias("met"))
-    met = several.select("bucket", "p1", "p2", "n", F.lit(True).alias("met")).unionByName(inside)
-    members = kept(met.join(members, ["p1", "p2", "n"]).select("bucket", "met", "node", "n", "p1", "p2"), "members")
-
-    nodes = members.select("node").distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select("node", "s1")
-    sets = kept(_whole_sets(docs, key, text, wanted, rules.width), "shingles")
-
-    links = None
-    roots = nodes.select("node", F.col("node").alias("root"))
-    for step in range(rules.star_rounds + 1):
-        placed = members.join(roots, "node")
-        pairs = (_pivot_pairs(placed, step, rules) if step < rules.star_rounds else _open_pairs(placed, rules))
-        new = kept(_verified(pairs, sets, rules.percent), "links")
+        F.coalesce(F.min("id"), F.lit(NONE)).alias("least")).join(groups.drop("prefix"), ["p1", "p2", "n"]).select(
+        "s1", "s2", "n", "least", "gid", F.monotonically_increasing_id().alias("cid")), "classes")
+
+    # buckets: the groups of a prefix shingle that two groups have, and each group of several classes by itself
+    tokens = groups.select("gid", F.explode("prefix").alias("bucket"))
+    tokens = tokens.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("groups > 1")
+    inside = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(
+        "gid", F.col("gid").alias("bucket"), F.lit(False).alias("met"))
+    met = tokens.select("gid", "bucket", F.lit(True).alias("met")).unionByName(inside)
+    members = kept(met.join(classes.select("cid", "gid", "n"), "gid"), "members")
+
+    crowded = members.groupBy("bucket", "met").agg(F.count(F.lit(1)).alias("c")).filter(
+        F.col("c") > rules.crowd).select("bucket", "met")
+    crowded = kept(members.join(crowded, ["bucket", "met"]), "crowded")
+    roots, links = classes.select("cid", F.col("cid").alias("root")), None
+    stars = 0 if crowded.isEmpty() else rules.star_rounds
+    for step in range(stars + 1):
+        last = step == stars
+        pairs = (_open_pairs(members.join(roots, "cid"), rules) if last
+                 else _pivot_pairs(crowded.join(roots, "cid"), step, rules))
+        new = kept(_verified(pairs, docs, key, text, classes, rules), "links")
         links = new if links is None else links.union(new)
-        found = kept(connected(links, partly=step < rules.star_rounds), "roots")
-        roots = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-    joined = classes.join(found, "node", "left").select(
-        "s1", "s2", "n", F.coalesce("root", "node").alias("root"))
-    sizes = joined.groupBy("root").agg(F.count(F.lit(1)).alias("n_texts"))
-    joined = joined.join(sizes, "root").select(
-        "s1", "s2", "n", F.when(F.col("root.least") < NONE, F.col("root.least")).alias("component_id"), "n_texts")
-    out = rows.drop("prefix", "p1", "p2").join(joined, ["s1", "s2", "n"], "left")
+        found = kept(connected(links, partly=not last), "roots")
+        roots = classes.select("cid").join(found, F.col("cid") == F.col("node"), "left").select(
+            "cid", F.coalesce("root", "cid").alias("root"))
+
+    joined = classes.join(roots, "cid")
+    whole = joined.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n_texts"))
+    joined = joined.drop("least").join(whole, "root").select(
+        "s1", "s2", "n", F.when(F.col("least") < NONE, F.col("least")).alias("component_id"), "n_texts")
+    out = rows.select("id", "n", "s1", "s2").join(joined, ["s1", "s2", "n"], "left")
     return out.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
@@ -205,10 +210,9 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def _whole_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the wanted classes, each from one text that has its smallest key."""
+    """(cid, shingles) of the wanted classes, each from a text that has its smallest key."""
     least = F.coalesce(F.col(key).cast("long"), F.lit(NONE))
-    held = docs.select(least.alias("least"), text).join(
-        wanted.select(F.col("node.least").alias("least")).distinct().hint("shuffle_hash"), "least", "left_semi")
+    held = docs.select(least.alias("least"), text).join(wanted.select("least").distinct(), "least", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,8 +222,7 @@ def _whole_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width:
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["least", "s1", "shingles"])
 
     made = held.mapInArrow(run, "least long, s1 long, shingles binary")
-    return made.select(F.struct("least", "s1").alias("node"), "shingles").join(
-        wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return made.join(wanted, ["least", "s1"]).select("cid", "shingles").dropDuplicates(["cid"])
 
 
 def _fit(percent: int, a: str, b: str) -> F.Column:
@@ -230,28 +233,28 @@ def _fit(percent: int, a: str, b: str) -> F.Column:
 def _pivot_pairs(placed: DataFrame, step: int, rules: JoinRules) -> DataFrame:
     """Every member with the pivot of its bucket, where they are in different components."""
     pivots = placed.groupBy("bucket", "met").agg(
-        F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("h"), "node", "root", "n")).alias("v"),
+        F.min(F.struct(F.xxhash64(F.lit(step), "cid").alias("h"), "cid", "root", "n")).alias("v"),
         F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     met = placed.join(pivots.select("bucket", "met", "v"), ["bucket", "met"]).filter(
         (F.col("root") != F.col("v.root")) & _fit(rules.percent, "n", "v.n"))
-    return met.select(F.least("node", "v.node").alias("a"), F.greatest("node", "v.node").alias("b")).distinct()
+    return met.select(F.least("cid", "v.cid").alias("a"), F.greatest("cid", "v.cid").alias("b")).distinct()
 
 
 def _open_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
     """All pairs of a bucket that are in different components and share enough of their prefixes.
 
     Beyond its prefix a set has ceil(t n) - 1 shingles, so c shared prefix shingles allow an overlap
-    of at most c + max(ceil(t n) - 1); members of one group share their whole prefix.
+    of at most c + max(ceil(t n) - 1); members of one group share their whole prefix and meet in its own bucket.
     """
     open_ = placed.groupBy("bucket", "met").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(
         "lo <> hi").select("bucket", "met")
     left = placed.join(open_, ["bucket", "met"])
-    right = left.select("bucket", "met", F.col("node").alias("node2"), F.col("root").alias("root2"),
-                        F.col("n").alias("n2"), F.col("p1").alias("q1"), F.col("p2").alias("q2"))
+    right = left.select("bucket", "met", F.col("cid").alias("cid2"), F.col("root").alias("root2"),
+                        F.col("n").alias("n2"), F.col("gid").alias("gid2"))
     pairs = left.join(right, ["bucket", "met"]).filter(
-        (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _fit(rules.percent, "n", "n2")
-        & (~F.col("met") | (F.col("p1") != F.col("q1")) | (F.col("p2") != F.col("q2"))))
-    counted = pairs.groupBy(F.col("node").alias("a"), F.col("node2").alias("b"), "n", "n2").agg(
+        (F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2")) & _fit(rules.percent, "n", "n2")
+        & (~F.col("met") | (F.col("gid") != F.col("gid2"))))
+    counted = pairs.groupBy(F.col("cid").alias("a"), F.col("cid2").alias("b"), "n", "n2").agg(
         F.count_if("met").alias("shared"), F.count_if(~F.col("met")).alias("same_group"))
     t = rules.percent
     rest = F.ceil(t * F.greatest("n", "n2") / 100) - 1
