@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .block_max_search import SearchRules, search
 from .blob_ledger import listed, scan_history
 from .common import table
 from .conflict_packing import PackRules, pack_texts
+from .language_rank import RankRules, held_out, identify, learn
+from .ordinal_quality import OrdinalRules, fit, grade_texts, rated_rows
 from .prefix_groups import jaccard_join
 from .run_index import remove_repeats
+from .stream_pieces import decode_ids, encode_texts
 from .target_ratio import RatioRules, quality_rules
 from .url_trie import Entry, filter_urls
 
@@ -26,6 +30,27 @@ def query(fn: Query) -> Query:
     return fn
 
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op1_ordinal_quality(spark, sf):
+    """Expected grade and probability of the top grade of every document."""
+    docs, rules = table(spark, sf, "documents").select("doc_id", "text"), OrdinalRules()
+    model = fit(rated_rows(docs, table(spark, sf, "labels"), rules), rules)
+    return grade_texts(docs, model, rules).select("doc_id", "expected_grade", "p_top", "selected")
+
+
+@query
+def op2_language_rank(spark, sf):
+    """Language of every document, learned from the rows that are not held out."""
+    docs, rules = table(spark, sf, "documents").select("doc_id", "text", "lang"), RankRules()
+    out = held_out(F.col("doc_id"))
+    profiles = learn(docs.filter(~out), rules, "text", "lang")
+    return identify(docs.select("doc_id", "text", out.alias("held_out")), profiles, rules).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op3_conflict_packing(spark, sf):
     """Every document, in pieces of at most 2048 words, packed with at most one of a source in a bin."""
@@ -59,6 +84,13 @@ def op6_run_index(spark, sf):
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op7_block_max_search(spark, sf):
+    """The ten best rows for every document whose id is divisible by 100."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return search(docs, F.col("doc_id") % 100 == 0, rules=SearchRules())
+
+
 @query
 def op8_target_ratio(spark, sf):
     """Base counts of every text and the verdict of the likelihood ratio."""
@@ -71,3 +103,12 @@ def op9_url_trie(spark, sf):
     """Verdict of every page's url."""
     pages = table(spark, sf, "pages").select("page_id", "url")
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op10_stream_pieces(spark, sf):
+    """Ids of every document, and whether they decode to its text."""
+    ids = encode_texts(table(spark, sf, "documents").select("doc_id", "text"), PIECES)
+    back = decode_ids(ids, PIECES)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
