@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visitloom.llm.blob_ledger import redact, scan_history
-from visitloom.llm.common import prepare, table
+from visitloom.llm.common import WORD, prepare, table
 from visitloom.llm.conflict_packing import PackRules, pack_texts
 from visitloom.llm.prefix_groups import jaccard_join
 from visitloom.llm.run_index import remove_repeats
@@ -37,10 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 200 bytes that also start elsewhere; texts of which nothing is left go."""
     prepare(spark)
-    left = remove_repeats(docs).withColumn("text", F.decode("kept", "UTF-8"))
-    whole = F.regexp_replace("text", "\\uFFFD+", "")    # characters that a cut has split
-    text = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("text"))
-    return left.withColumn("text", text).filter("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").withColumn(
+    left = remove_repeats(docs)
+    # a cut may split a character: what is left of it goes
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�+", "")
+    left = left.withColumn("text", F.when(F.col("n_removed") > 0, whole).otherwise(F.col("text")))
+    return left.filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD)).withColumn(
         "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
