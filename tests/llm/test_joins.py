@@ -15,7 +15,7 @@ def key(row):
     return tuple((x is None, x) for x in row)
 
 
-@pytest.mark.parametrize("rules", [JoinRules(), JoinRules(crowd=1, least_frequency=4, star_rounds=1)])
+@pytest.mark.parametrize("rules", [JoinRules(), JoinRules(least_frequency=4, pivots=1)])
 def test_join_odd_rows(spark, rules):
     got = [tuple(r)[:3] for r in jaccard_join(odd(spark, n_shingles=1, component_id="x"), rules=rules).collect()]
     want = components([(r[0], r[1]) for r in odd_rows()])
@@ -36,7 +36,7 @@ def test_join_chains_and_ties(spark):
     more = [(50, " ".join(nine)), (51, " ".join(nine[:12] + ["z"])), (52, " ".join(nine[3:]))]
     rows = chain + more
     got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"),
-                       rules=JoinRules(crowd=2, star_rounds=2)).collect()
+                       rules=JoinRules(pivots=3)).collect()
     assert sorted(tuple(r)[:3] for r in got) == sorted(components(rows))
     assert {r.component_id for r in got if r.doc_id < 12} == {0}
 

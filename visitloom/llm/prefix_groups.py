@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import BASE, mix, powers, word_chunks
 from .shared import connected, kept
@@ -25,14 +25,13 @@ NONE = (1 << 63) - 1     # stands for a NULL id in comparisons
 @dataclass(frozen=True)
 class JoinRules:
     """Link when 100 * intersection >= percent * union. The other numbers change the work, not the answer:
-    the order puts at most ``frequent`` shingles last, and ``star_rounds`` rounds of comparing every member of a
-    bucket of more than ``crowd`` with one pivot precede the comparison of all pairs that are still apart."""
+    the order puts at most ``frequent`` shingles last, and every member of a bucket is compared with ``pivots`` of it
+    before all pairs that are then still apart."""
     width: int = 5
     percent: int = 80
     frequent: int = 1 << 17
     least_frequency: int = 64
-    star_rounds: int = 2
-    crowd: int = 256
+    pivots: int = 2
 
 
 def shingles(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -120,7 +119,7 @@ def _sets(docs: DataFrame, key: str, text: str, rules: JoinRules) -> DataFrame:
                     s_in_order = np.concatenate([s[~often], late])
                 else:
                     s_in_order = s
-                prefix = np.sort(s_in_order[:prefix_length(n, percent)]) if n else s
+                prefix = s_in_order[:prefix_length(n, percent)] if n else s
                 out.append((n, *signature(s), *signature(prefix), prefix.view(np.int64)))
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
@@ -175,28 +174,24 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         F.coalesce(F.min("id"), F.lit(NONE)).alias("least")).join(groups.drop("prefix"), ["p1", "p2", "n"]).select(
         "s1", "s2", "n", "least", "gid", F.monotonically_increasing_id().alias("cid")), "classes")
 
-    # buckets: the groups of a prefix shingle that two groups have, and each group of several classes by itself
-    tokens = groups.select("gid", F.explode("prefix").alias("bucket"))
+    # buckets: the groups of a prefix shingle that two groups have, and each group of several classes by itself;
+    # of a shingle, at: its place in the prefix, known: how many before it another group has too
+    tokens = groups.select("gid", F.posexplode("prefix").alias("at", "bucket"))
     tokens = tokens.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("groups > 1")
     inside = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(
-        "gid", F.col("gid").alias("bucket"), F.lit(False).alias("met"))
-    met = tokens.select("gid", "bucket", F.lit(True).alias("met")).unionByName(inside)
+        "gid", F.lit(0).alias("at"), F.col("gid").alias("bucket"), F.lit(False).alias("met"))
+    met = tokens.select("gid", "at", "bucket", F.lit(True).alias("met")).unionByName(inside)
+    met = met.withColumn("known", F.row_number().over(Window.partitionBy("gid", "met").orderBy("at")) - 1)
     members = kept(met.join(classes.select("cid", "gid", "n"), "gid"), "members")
 
-    crowded = members.groupBy("bucket", "met").agg(F.count(F.lit(1)).alias("c")).filter(
-        F.col("c") > rules.crowd).select("bucket", "met")
-    crowded = kept(members.join(crowded, ["bucket", "met"]), "crowded")
-    roots, links = classes.select("cid", F.col("cid").alias("root")), None
-    stars = 0 if crowded.isEmpty() else rules.star_rounds
-    for step in range(stars + 1):
-        last = step == stars
-        pairs = (_open_pairs(members.join(roots, "cid"), rules) if last
-                 else _pivot_pairs(crowded.join(roots, "cid"), step, rules))
-        new = kept(_verified(pairs, docs, key, text, classes, rules), "links")
-        links = new if links is None else links.union(new)
-        found = kept(connected(links, partly=not last), "roots")
-        roots = classes.select("cid").join(found, F.col("cid") == F.col("node"), "left").select(
-            "cid", F.coalesce("root", "cid").alias("root"))
+    own = members.withColumn("root", F.col("cid"))
+    links = kept(_verified(_pivot_pairs(own, rules), docs, key, text, classes, rules), "links")
+    found = kept(connected(links, partly=True), "roots")
+    placed = members.join(found, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    links = links.union(kept(_verified(_open_pairs(placed, rules), docs, key, text, classes, rules), "links"))
+    found = kept(connected(links), "roots")
+    roots = classes.select("cid").join(found, F.col("cid") == F.col("node"), "left").select(
+        "cid", F.coalesce("root", "cid").alias("root"))
 
     joined = classes.join(roots, "cid")
     whole = joined.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n_texts"))
@@ -212,7 +207,8 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def _whole_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
     """(cid, shingles) of the wanted classes, each from a text that has its smallest key."""
     least = F.coalesce(F.col(key).cast("long"), F.lit(NONE))
-    held = docs.select(least.alias("least"), text).join(wanted.select("least").distinct(), "least", "left_semi")
+    held = docs.select(least.alias("least"), text).join(
+        wanted.select("least").distinct().hint("shuffle_hash"), "least", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,19 +221,31 @@ def _whole_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width:
     return made.join(wanted, ["least", "s1"]).select("cid", "shingles").dropDuplicates(["cid"])
 
 
-def _fit(percent: int, a: str, b: str) -> F.Column:
-    """Sizes near enough for the wanted similarity."""
-    return (100 * F.least(F.col(a), F.col(b))) >= (percent * F.greatest(F.col(a), F.col(b)))
+def _near(met: Column, a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Whether two members of a bucket may be similar enough.
 
-
-def _pivot_pairs(placed: DataFrame, step: int, rules: JoinRules) -> DataFrame:
-    """Every member with the pivot of its bucket, where they are in different components."""
-    pivots = placed.groupBy("bucket", "met").agg(
-        F.min(F.struct(F.xxhash64(F.lit(step), "cid").alias("h"), "cid", "root", "n")).alias("v"),
-        F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    met = placed.join(pivots.select("bucket", "met", "v"), ["bucket", "met"]).filter(
-        (F.col("root") != F.col("v.root")) & _fit(rules.percent, "n", "v.n"))
-    return met.select(F.least("cid", "v.cid").alias("a"), F.greatest("cid", "v.cid").alias("b")).distinct()
+    A common shingle has at most min(known) common ones before it, as those of no other group are in no other
+    prefix that reaches this far, and at most min(n - at - 1) after it.
+    """
+    small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    most = F.least(a["known"], b["known"]) + 1 + F.least(a["n"] - a["at"], b["n"] - b["at"]) - 1
+    return (100 * small >= percent * large) & (~met | ((100 + percent) * most >= percent * (a["n"] + b["n"])))
+
+
+def _pivot_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
+    """Every member with the pivots of its bucket: those of least hash, for each of several hashes."""
+    me = {c: F.col(c) for c in ("n", "at", "known")}
+    pairs = []
+    pivots = placed.groupBy("bucket", "met").agg(*[
+        F.min(F.struct(F.xxhash64(F.lit(i), "cid").alias("h"), "cid", "n", "at", "known", "gid")).alias(f"v{i}")
+        for i in range(rules.pivots)], F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    met = placed.join(pivots, ["bucket", "met"])
+    for i in range(rules.pivots):
+        v = {c: F.col(f"v{i}.{c}") for c in ("n", "at", "known", "cid", "gid")}
+        ok = (F.col("cid") != v["cid"]) & (~F.col("met") | (F.col("gid") != v["gid"]))
+        pairs.append(F.when(ok & _near(F.col("met"), me, v, rules.percent), F.struct(
+            F.least("cid", v["cid"]).alias("a"), F.greatest("cid", v["cid"]).alias("b"))))
+    return met.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.a", "p.b").distinct()
 
 
 def _open_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
@@ -248,12 +256,13 @@ def _open_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
     """
     open_ = placed.groupBy("bucket", "met").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(
         "lo <> hi").select("bucket", "met")
-    left = placed.join(open_, ["bucket", "met"])
-    right = left.select("bucket", "met", F.col("cid").alias("cid2"), F.col("root").alias("root2"),
-                        F.col("n").alias("n2"), F.col("gid").alias("gid2"))
+    columns = ("cid", "root", "n", "gid", "at", "known")
+    left = placed.join(open_, ["bucket", "met"]).select("bucket", "met", *columns)
+    right = left.select("bucket", "met", *[F.col(c).alias(f"{c}2") for c in columns])
+    me, it = ({c: F.col(c + x) for c in columns} for x in ("", "2"))
     pairs = left.join(right, ["bucket", "met"]).filter(
-        (F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2")) & _fit(rules.percent, "n", "n2")
-        & (~F.col("met") | (F.col("gid") != F.col("gid2"))))
+        (F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2"))
+        & (~F.col("met") | (F.col("gid") != F.col("gid2"))) & _near(F.col("met"), me, it, rules.percent))
     counted = pairs.groupBy(F.col("cid").alias("a"), F.col("cid2").alias("b"), "n", "n2").agg(
         F.count_if("met").alias("shared"), F.count_if(~F.col("met")).alias("same_group"))
     t = rules.percent
