@@ -330,7 +330,7 @@ ORACLE |= {
 
 # --- metrics ------------------------------------------------------------------------------------
 
-PRED = """pred AS (SELECT l.doc_id, lang, source, quality AS y, LEAST(n_chars, 5000) / 5000.0::DOUBLE AS p
+PRED = """pred AS (SELECT l.doc_id, lang, source, quality AS y, n_chars / (n_chars + 5000.0::DOUBLE) AS p
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
 
 
@@ -598,3 +598,57 @@ ORACLE |= {
             FROM f GROUP BY entity_id)
         SELECT f.entity_id, visit_id, CAST(visit_date AS VARCHAR) AS visit_date, status FROM f JOIN s USING (entity_id)""",
 }
+
+
+# --- undefined values, and a scorer with fixed coefficients ----------------------------------------
+
+GAPS = "(SELECT * REPLACE (CASE WHEN visit_id % 5 = 0 THEN NULL ELSE amount END AS amount) FROM visits)"
+SCORED = OBSERVED + ", w AS (" + grouped("kept", summaries("amount"), summaries("quantity"), COUNT) + """)
+, x AS (SELECT w.entity_id, COALESCE(amount_latest / 150000.0::DOUBLE, 0.0) AS x0, COALESCE(amount_std / 80000.0::DOUBLE, 0.0) AS x1,
+    COALESCE(quantity_mean / 100.0::DOUBLE, 0.0) AS x2, n_obs_visits / 4.0::DOUBLE AS x3, hit AS label
+    FROM w JOIN facts USING (entity_id) WHERE status = 'eligible')
+, z AS (SELECT *, -0.4::DOUBLE + 0.9::DOUBLE * x0 - 0.7::DOUBLE * x1 + 0.35::DOUBLE * x2 - 0.25::DOUBLE * x3 AS z FROM x)
+, s AS (SELECT *, 1 / (1 + EXP(-z)) AS p FROM z)"""
+FIXED_FEATURES = [("amount_latest", "x0", 0.9, "Amount (latest)"), ("amount_std", "x1", -0.7, "Amount (std dev)"),
+                  ("quantity_mean", "x2", 0.35, "Quantity (mean)"),
+                  ("n_obs_visits", "x3", -0.25, "Number of Observation Visits")]
+PARTS = SCORED + ", parts AS (" + " UNION ALL ".join(
+    f"SELECT entity_id, '{f}' AS feature, '{name}' AS readable_name, {x} AS value, p,"
+    f" p - 1 / (1 + EXP(-(z - {w}::DOUBLE * {x}))) AS contribution FROM s" for f, x, w, name in FIXED_FEATURES) + ")"
+NUMERIC_NAMES = {"latest": "(latest)", "mean": "(mean)", "min": "(minimum)", "max": "(maximum)", "std": "(std dev)",
+                 "delta": "(change / delta)", "slope": "(trend / slope)",
+                 **{f"w{k}": f"at wave {k}" for k in range(1, 5)}}
+
+ORACLE |= {
+    "auroc_undefined_scores": curve("lang").replace(
+        "FROM pred GROUP", "FROM (SELECT * FROM pred WHERE doc_id % 10 <> 0 AND doc_id % 7 <> 0) GROUP")
+        + f" SELECT lang, ROUND({ROC}, 6) AS auroc, ROUND({PR}, 6) AS auprc FROM d GROUP BY lang",
+    "undefined_scores": "WITH " + PRED + """ SELECT lang, COUNT(*) AS n_rows,
+        COUNT(*) FILTER (doc_id % 10 = 0 OR doc_id % 7 = 0) AS n_no_score,
+        COUNT(*) FILTER (y IS NULL OR y NOT IN (0, 1)) AS n_no_label FROM pred GROUP BY lang""",
+    "wide_nan_input": "WITH " + RANKED.replace("FROM visits WINDOW", f"FROM {GAPS} WINDOW")
+        + grouped("ranked", summaries("amount")),
+    "fit_numeric_nan": "WITH " + VISITS + f", gap AS {GAPS}" + stats(
+        fit("gap", "amount") + " UNION ALL " + fit("gap", "quantity")),
+    "cohort_numeric_flag": FLAGGED + OUTCOME,
+    "score_fixed": SCORED + """ SELECT entity_id, ROUND(p, 6) AS p, CAST(p >= 0.5 AS INTEGER) AS prediction, label FROM s""",
+    "score_fixed_metrics": SCORED + """
+        SELECT ROUND((SELECT SUM(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END)
+            / (COUNT(DISTINCT a.entity_id) * COUNT(DISTINCT b.entity_id)) FROM s a, s b
+            WHERE a.label = 1 AND b.label = 0), 6) AS auroc,
+        ROUND(AVG((label - p) * (label - p)), 6) AS brier,
+        ROUND(AVG(CAST(CAST(p >= 0.5 AS INTEGER) = label AS INTEGER)), 6) AS accuracy FROM s""",
+    "ablation_fixed": PARTS + """ SELECT entity_id, feature, ROUND(value, 6) AS value,
+        ROUND(contribution, 6) AS contribution,
+        CASE WHEN contribution > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction FROM parts""",
+    "explanation_records_fixed": PARTS + """ SELECT entity_id, ROUND(p, 6) AS probability,
+        CAST(p >= 0.5 AS INTEGER) AS predicted_class, 0.5::DOUBLE AS threshold, feature, readable_name,
+        ROUND(contribution, 6) AS contribution FROM parts""",
+    "feature_names": "WITH " + RANKED + ", cats AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS c, ARG_MAX({v}, rn) AS v FROM ranked LEFT JOIN customer ON c_custkey = entity_id GROUP BY entity_id"
+        for c, v in (("status", "status"), ("priority", "priority"), ("segment", "c_mktsegment"))) + ")"
+        + " SELECT DISTINCT c || '_latest__' || v AS feature, upper(c[1]) || c[2:] || ' (most recent) = ' || v"
+        " AS readable_name FROM cats UNION ALL SELECT 'n_obs_visits', 'Number of Observation Visits'"
+        + "".join(f" UNION ALL SELECT '{c}_{k}', '{c.replace('_', ' ').title()} {text}'"
+                  for c in NUMERIC for k, text in NUMERIC_NAMES.items()),
+}

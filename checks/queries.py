@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visitloom.functions import as_flag, missing_to_null
@@ -168,7 +169,8 @@ def missing_tokens(spark, sf):
 
 @query
 def future_flags(spark, sf):
-    return untidy(spark, sf).select("visit_id", as_flag(F.col("flag")).cast("int").alias("is_future"))
+    rows = untidy(spark, sf)
+    return rows.select("visit_id", as_flag(rows, "flag").cast("int").alias("is_future"))
 
 
 @query
@@ -796,8 +798,9 @@ def explained(spark, sf, family="logistic_regression"):
 def permutation_importance(spark, sf):
     art, data = explained(spark, sf)
     names = art.preprocessor.output_names
-    imp = ex.permutation_importance(art.model, data, "entity_id", names, repeats=2)
-    return rounded(ex.global_ranking(imp, readable_names(names, N), top=len(names)))
+    imp = ex.permutation_importance(art.model, data, "entity_id", names, repeats=5)
+    listed = spark.createDataFrame([(n,) for n in names], "feature string")
+    return rounded(ex.global_ranking(imp, readable_names(listed, N), top=len(names)))
 
 
 @query
@@ -832,5 +835,119 @@ def feature_names(spark, sf):
     """Readable names of the processed columns that the data give rise to."""
     w = wide_all(spark, sf, segment=True)
     numeric, categorical = tr.wide_columns(S, 4)
-    names = pp.Preprocessor.fit(w, numeric, categorical).output_names
-    return spark.createDataFrame(sorted(readable_names(names, S).items()), "feature string, readable_name string")
+    encoded = pp.fit_categories(w, categorical).select(F.concat_ws("__", "feature", "category").alias("feature"))
+    listed = spark.createDataFrame([(c,) for c in numeric], "feature string").unionByName(encoded)
+    return readable_names(listed, S)
+
+
+# --- a scorer with fixed coefficients behind the models' contract --------------------------------
+
+class FixedScorer:
+    """P = 1 / (1 + exp(-(b + w . x))) with given coefficients; stands in for a fitted model."""
+
+    def __init__(self, intercept: float, weights: list[float]):
+        self.intercept, self.weights = intercept, weights
+
+    def predict_proba(self, df):
+        x = vector_to_array("features")
+        z = sum((F.lit(w) * F.get(x, F.lit(i)) for i, w in enumerate(self.weights)), F.lit(self.intercept))
+        return df.withColumn("p", 1 / (1 + F.exp(-z)))
+
+
+FIXED = FixedScorer(-0.4, [0.9, -0.7, 0.35, -0.25])
+FIXED_NAMES = ["amount_latest", "amount_std", "quantity_mean", "n_obs_visits"]
+
+
+def fixed_data(spark, sf):
+    """entity_id, features, label: four wide features brought near one scale, missing ones 0."""
+    cohort = positional(spark, sf)
+    wide = wi.wide_features(cohort.observations, N, bounded=True)
+    scale = {"amount_latest": 150000.0, "amount_std": 80000.0, "quantity_mean": 100.0, "n_obs_visits": 4.0}
+    x = [F.coalesce(F.col(c).cast("double") / s, F.lit(0.0)) for c, s in scale.items()]
+    rows = wide.select("entity_id", array_to_vector(F.array(*x)).alias("features"))
+    labels = cohort.status.filter("target is not null").select("entity_id", F.col("target").alias("label"))
+    return rows.join(labels, "entity_id")
+
+
+@query
+def score_fixed(spark, sf):
+    """Probability and class of every eligible entity under fixed coefficients."""
+    scored = FIXED.predict_proba(fixed_data(spark, sf))
+    return rounded(scored.select("entity_id", "p", (F.col("p") >= 0.5).cast("int").alias("prediction"), "label"))
+
+
+@query
+def score_fixed_metrics(spark, sf):
+    """AUROC, Brier score and accuracy of these scores."""
+    row = me.metric_row(FIXED.predict_proba(fixed_data(spark, sf)), 0.5, y="label")
+    return rounded(row.select("auroc", "brier", "accuracy"))
+
+
+def fixed_contributions(spark, sf):
+    data = fixed_data(spark, sf)
+    return ex.ablation_contributions(FIXED, data, "entity_id", FIXED_NAMES, top=4), data
+
+
+@query
+def ablation_fixed(spark, sf):
+    """Change of each entity's probability without each feature."""
+    return rounded(fixed_contributions(spark, sf)[0].select("entity_id", "feature", "value", "contribution", "direction"))
+
+
+@query
+def explanation_records_fixed(spark, sf):
+    """The same with probability, class, threshold and readable names."""
+    out, data = fixed_contributions(spark, sf)
+    names = readable_names(spark.createDataFrame([(n,) for n in FIXED_NAMES], "feature string"), N)
+    records = ex.explanation_records(out, FIXED.predict_proba(data), names, "entity_id", 0.5)
+    return rounded(records.select("entity_id", "probability", "predicted_class", "threshold", "feature",
+                                  "readable_name", "contribution"))
+
+
+# --- undefined values -----------------------------------------------------------------------------
+
+def gappy_predictions(spark, sf):
+    """Predictions in which every tenth score is NULL and every seventh NaN."""
+    i = F.col("doc_id")
+    return t.predictions(spark, sf).withColumn(
+        "p", F.when(i % 10 == 0, F.lit(None)).when(i % 7 == 0, F.lit(float("nan"))).otherwise(F.col("p")))
+
+
+@query
+def auroc_undefined_scores(spark, sf):
+    """Areas over the defined scores only."""
+    p = gappy_predictions(spark, sf)
+    return rounded(me.auroc(p, ["lang"]).join(me.auprc(p, ["lang"]), "lang"))
+
+
+@query
+def undefined_scores(spark, sf):
+    return me.undefined_scores(gappy_predictions(spark, sf), ["lang"])
+
+
+def gappy_visits(spark, sf):
+    """Visits in which every fifth amount is NaN."""
+    return t.visits(spark, sf).withColumn("amount", F.when(
+        F.col("visit_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("amount")))
+
+
+@query
+def wide_nan_input(spark, sf):
+    """Summaries in which NaN is a missing value."""
+    w = wi.wide_features(gappy_visits(spark, sf), N)
+    return rounded(w.select("entity_id", "amount_latest", "amount_mean", "amount_min", "amount_max", "amount_std",
+                            "amount_delta"))
+
+
+@query
+def fit_numeric_nan(spark, sf):
+    """Median, mean and scale over the values that are numbers."""
+    return rounded(pp.fit_numeric(gappy_visits(spark, sf), ["amount", "quantity"]))
+
+
+@query
+def cohort_numeric_flag(spark, sf):
+    """The flagged cohort with the future flag as a number, 2.0 for future visits."""
+    rows = t.visits(spark, sf)
+    late = F.col("visit_date") >= F.lit(t.FUTURE_FROM).cast("date")
+    return co.future_outcome_cohort(rows.withColumn("is_future_visit", F.when(late, 2.0).otherwise(0.0)), N).status

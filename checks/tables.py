@@ -61,7 +61,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     return table(spark, sf, "labels").join(docs, "doc_id").select(
         "doc_id", "lang", "source", F.col("quality").alias("y"),
-        (F.least(F.col("n_chars"), F.lit(5000)) / F.lit(5000.0)).alias("p"))
+        (F.col("n_chars") / (F.col("n_chars") + F.lit(5000.0))).alias("p"))
 
 
 def part_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -148,7 +148,8 @@ def test_permutation_importance(linear):
         F.array(*[F.max(F.col("x")[i]) for i in range(len(names))])).first())) if lo == hi]
     assert all(abs(imp[c]) < 1e-12 for c in const)
     assert max(imp, key=imp.get) in sorted(names, key=lambda n: -abs(weights[n]))[:25]
-    board = ex.global_ranking(art_frame(data.sparkSession, imp), readable_names(names, N), top=5).collect()
+    board = ex.global_ranking(art_frame(data.sparkSession, imp), readable_names(
+        data.sparkSession.createDataFrame([(n,) for n in names], "feature string"), N), top=5).collect()
     assert [r["rank"] for r in board] == [1, 2, 3, 4, 5]
 
 
@@ -185,8 +186,10 @@ def test_robustness(linear, result):
     assert len({r.n_samples for r in rows.values()}) == 1
 
 
-def test_names():
-    got = readable_names(["hba1c_w3", "bmi_delta", "n_obs_visits", "sex_latest__M", "odd_name", "x_slope"])
+def test_names(spark):
+    listed = ["hba1c_w3", "bmi_delta", "n_obs_visits", "sex_latest__M", "odd_name", "x_slope"]
+    features = spark.createDataFrame([(n,) for n in listed], "feature string")
+    got = {r.feature: r.readable_name for r in readable_names(features).collect()}
     assert got == {"hba1c_w3": "HbA1c at wave 3", "bmi_delta": "BMI (change / delta)",
                    "n_obs_visits": "Number of Observation Visits", "sex_latest__M": "Sex (latest) = M",
                    "odd_name": "Odd Name", "x_slope": "X (trend / slope)"}

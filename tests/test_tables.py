@@ -94,13 +94,15 @@ def test_trajectories(spark, tmp_path):
     (tmp_path / "two.json").write_text(json.dumps([{**visit, "visit_date": "2019-05-05"}]))
     df = readers.read_trajectories(spark, str(tmp_path), PLAIN)
     got = sorted((r.patient_id, r.visit_date.isoformat(), r.hba1c, r.sex) for r in df.collect() if r.hba1c)
-    assert got == [("P1", "2020-01-01", 5.6, "F"), ("UNKNOWN", "2019-05-05", 5.6, "F")]
+    assert got == [("P1", "2020-01-01", 5.6, "F"), ("two", "2019-05-05", 5.6, "F")]
     assert df.count() == 3 and "target" not in df.columns
 
 
 @pytest.mark.parametrize("doc,error", [
     ('{"patient_id": "A"}', DataError), ('{"visits": []}', DataError), ("not json", DataError),
-    ('[{"hba1c": 5}]', DataError), ('[{"visit_date": "2020-01-01", "target": 1}]', LeakageError)])
+    ('[{"hba1c": 5}]', DataError), ('[{"visit_date": "2020-01-01", "target": 1}]', LeakageError),
+    ('[{"visit_date": "2020-01-01", "target": null}]', LeakageError), ('[{"visit_date": "2020-01-01"}]', DataError),
+    ('{"patient_id": " ", "visits": [{"visit_date": "2020-01-01"}]}', DataError)])
 def test_bad_trajectories(spark, doc, error):
     with pytest.raises(error):
         readers.parse_trajectories(spark.createDataFrame([(doc,)], "value string"), "value", PLAIN)

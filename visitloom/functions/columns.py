@@ -27,10 +27,29 @@ def missing_to_null(col: Column) -> Column:
     return F.when(~is_missing(col), F.trim(col.cast("string")))
 
 
-def as_flag(col: Column) -> Column:
-    """Boolean from true/1/false/0 in any case or type; anything else is false."""
-    text = F.lower(F.trim(col.cast("string")))
-    return F.coalesce(text.isin("true", "1"), F.lit(False))
+def as_flag(df: DataFrame, name: str) -> Column:
+    """A flag column as boolean: numbers are true when not 0, text when it says true or 1, NULL and NaN are false."""
+    col, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
+        flag = col
+    elif isinstance(kind, T.NumericType):
+        flag = (col != 0) & ~F.isnan(col.cast("double"))
+    else:
+        flag = F.lower(F.trim(col.cast("string"))).isin("true", "1")
+    return F.coalesce(flag, F.lit(False))
+
+
+def number_or_null(col: Column) -> Column:
+    """A number, NULL for NaN: a measurement that is not there."""
+    number = col.cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def falling_cut(col: Column) -> Column:
+    """A number that never decreases along ``col`` in descending order, where NaN comes first and NULL last."""
+    number = col.cast("double")
+    return (F.when(number.isNull(), F.lit(float("nan"))).when(F.isnan(number), F.lit(float("-inf")))
+            .otherwise(-number))
 
 
 def try_date(col: Column, fmt: str | None = None) -> Column:

@@ -67,7 +67,7 @@ def future_outcome_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = C
     order = [F.col(c) for c in spec.order]
     visits = df.filter(F.col(e).isNotNull()).withColumn("_event", event(spec, df.columns))
     if flagged:
-        visits = visits.withColumn("_future", as_flag(F.col(spec.future)))
+        visits = visits.withColumn("_future", as_flag(visits, spec.future))
         seen = visits.groupBy(e).agg(
             F.count_if(~F.col("_future")).alias("_n"),
             F.max(F.when(~F.col("_future"), t)).alias("_cutoff"),

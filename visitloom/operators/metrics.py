@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import falling_cut, number_or_null
 from .ordered import ROWS_PER_TASK, running
 
 # The default thresholds tried for the best F1.
@@ -19,16 +20,26 @@ F1_CANDIDATES = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5,
 
 
 def score_counts(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
-    """Positives and negatives per group and distinct score."""
-    return df.groupBy(*by, F.col(p).cast("double").alias("p")).agg(
+    """Positives and negatives per group and distinct score; a NULL or NaN score is no score and is left out.
+
+    ``undefined_scores`` counts what is left out.
+    """
+    return df.filter(number_or_null(F.col(p)).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("p")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
 
 
+def undefined_scores(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
+    """Rows, and rows without a defined score or label, per group."""
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(number_or_null(F.col(p)).isNull()).alias("n_no_score"),
+        F.count_if(F.col(y).isNull() | ~F.col(y).isin(0, 1)).alias("n_no_label"))
+
+
 def cumulative_counts(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", *,
                       rows_per_task: int = ROWS_PER_TASK, bounded: bool = False) -> DataFrame:
     """Counts per score, positives and negatives above each score, and the group totals."""
     return running(
-        score_counts(df, by, y, p), by, [F.col("p").desc()], [-F.col("p")],
+        score_counts(df, by, y, p), by, [F.col("p").desc()], [falling_cut(F.col("p"))],
         before={"tp0": ("sum", F.col("pos")), "fp0": ("sum", F.col("neg"))},
         group={"all_pos": ("sum", F.col("pos")), "all_neg": ("sum", F.col("neg"))},
         rows_per_task=rows_per_task, bounded=bounded, at_most=df.select(F.lit(1)))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 ROWS_PER_TASK = 5_000_000
 MAX_RANGES = 1024
 STRIDE = 32
+GROUP_LIMIT = 1000         # spark.sql.optimizer.windowGroupLimitThreshold
 
 _MERGE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -179,11 +180,15 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cuts:
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-               name: str = "_rank") -> DataFrame:
+               name: str = "_rank", *, cuts: Sequence[Column] | None = None, **kw) -> DataFrame:
     """The first ``n`` rows of every group with their 1-based rank.
 
     Spark keeps at most ``n`` rows per key in each map task before the shuffle
-    (window group limit), so a key of any size reaches the reducer as few rows.
+    (window group limit), so a key of any size reaches the reducer as few rows.  Beyond the
+    ``GROUP_LIMIT`` of Spark the positions are counted over ranges instead; pass their ``cuts``.
     """
+    if n > GROUP_LIMIT and cuts is not None:
+        placed = positions(df, keys, order, cuts, name, **kw)
+        return placed.withColumn(name, F.col(name) + 1).filter(F.col(name) <= n)
     return (df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
             .filter(F.col(name) <= n))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions import missing_to_null
+from ..functions import missing_to_null, number_or_null
 from ..spec import MISSING_LABEL, DataError, VisitSpec
 from .quantiles import exact_quantiles
 
@@ -87,7 +87,7 @@ class Preprocessor:
         """``keep`` columns and one column per output name; unseen categories are all zero."""
         cols = []
         for c, median, mean, std in self.numeric:
-            x = F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
+            x = number_or_null(F.col(c)) if c in df.columns else F.lit(None).cast("double")
             cols.append(((F.coalesce(x, F.lit(median)) - F.lit(mean)) / F.lit(std)).alias(c))
         out = df
         for c, values in self.categories:
@@ -140,7 +140,7 @@ def apply_sequence_stats(packed: DataFrame, stats: DataFrame, names: list[str])
             x = F.get(vector, F.lit(j))
             if name in found:
                 r = found[name]
-                x = (F.coalesce(x, F.lit(r["median"])) - F.lit(r["mean"])) / F.lit(r["std"])
+                x = (F.coalesce(number_or_null(x), F.lit(r["median"])) - F.lit(r["mean"])) / F.lit(r["std"])
             cells.append(x)
         real = F.array(*cells)
         return F.when(F.get("mask", index) == 1, real).otherwise(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import missing_to_null
+from ..functions import missing_to_null, number_or_null
 from ..spec import VisitSpec
 from .ordered import first_rows
 from .quality import duplicate_groups
@@ -34,7 +34,7 @@ def numeric_summary(df: DataFrame, spec: VisitSpec, **kw) -> DataFrame:
     long = df.select(*[F.col(c).cast("double").alias(c) for c in present]).unpivot(
         [], present, "column", "value")
     nulls = df.groupBy().agg(F.count(F.lit(1)).alias("_n"), *[
-        F.count_if(F.col(c).isNull()).alias(c) for c in present]).unpivot(["_n"], present, "column", "missing")
+        F.count_if(number_or_null(F.col(c)).isNull()).alias(c) for c in present]).unpivot(["_n"], present, "column", "missing")
     found = exact_quantiles(long, ["column"], "value", {"p25": .25, "median": .5, "p75": .75},
                             moments=True, at_most=df.select(F.lit(1)), **kw)
     return found.join(nulls, "column").select(   # a row per column on both sides
@@ -70,10 +70,12 @@ def target_distribution(df: DataFrame, spec: VisitSpec, ordinal: list[str] | Non
 
 
 def missingness(df: DataFrame) -> DataFrame:
-    """NULL rate of every column that has NULLs, from one pass."""
+    """Missing rate of every column that has NULLs or NaNs, from one pass."""
     names = df.columns
+    numbers = {c for c, kind in df.dtypes if kind in ("double", "float")}
     counts = df.groupBy().agg(F.count(F.lit(1)).alias("_n"),
-                              *[F.count_if(F.col(c).isNull()).alias(c) for c in names])
+                              *[F.count_if((number_or_null(F.col(c)) if c in numbers else F.col(c)).isNull()).alias(c)
+                                for c in names])
     long = counts.unpivot(["_n"], names, "column", "n_missing").filter("n_missing > 0")
     return long.select("column", "n_missing", F.round(F.col("n_missing") / F.col("_n"), 4).alias("missing_rate"))
 
@@ -87,7 +89,7 @@ def duplicate_count(df: DataFrame, spec: VisitSpec) -> DataFrame:
 def dataset_metadata(df: DataFrame, spec: VisitSpec) -> DataFrame:
     """Entities, visits, realised prevalence and realised missing rate of numeric cells."""
     present = [c for c in spec.numeric if c in df.columns]
-    nulls = sum((F.col(c).isNull().cast("long") for c in present), F.lit(0))
+    nulls = sum((number_or_null(F.col(c)).isNull().cast("long") for c in present), F.lit(0))
     y = F.max(spec.target) if spec.target in df.columns else F.lit(None).cast("int")
     per = df.groupBy(spec.entity).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(nulls).alias("_null"), y.alias("_y"))

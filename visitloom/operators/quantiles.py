@@ -11,19 +11,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import number_or_null
 from .ordered import ROWS_PER_TASK, running
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
                     moments: bool = False, rows_per_task: int = ROWS_PER_TASK,
                     at_most: DataFrame | None = None) -> DataFrame:
-    """One row per group with one column per entry of ``probs``; NULL values are ignored.
+    """One row per group with one column per entry of ``probs``; NULL and NaN are ignored.
 
     With ``moments`` the row also has ``count``, ``mean``, ``std`` (sample), ``min`` and
     ``max``, from the same counted values.  ``at_most``: see :func:`running`.
     """
     keys = list(keys)
-    counted = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_q_value"))
+    counted = (df.filter(number_or_null(F.col(value)).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_q_value"))
                .agg(F.count(F.lit(1)).alias("_q_count")))
     v, c, b, n = (F.col(f"_q_{x}") for x in ("value", "count", "before", "total"))
     group = {"_q_total": ("sum", c)}

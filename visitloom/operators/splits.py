@@ -25,6 +25,12 @@ def candidates(obs: DataFrame, targets: DataFrame, spec: VisitSpec) -> DataFrame
     return targets.select(e, spec.target).join(obs.select(e).distinct(), e, "left_semi")
 
 
+def _enough(labeled: DataFrame, least: int) -> None:
+    found = labeled.limit(least).count()
+    if found < least:
+        raise DataError(f"need at least {least} entities for this split, got {found}")
+
+
 def _allocate(classes: DataFrame, size: Column, total: Column, share: str, name: str) -> DataFrame:
     """Largest-remainder shares of ``size`` over the classes (one row per class)."""
     every = Window.partitionBy("_one")
@@ -63,9 +69,10 @@ def stratified_split(labeled: DataFrame, spec: VisitSpec, sizes: SplitSizes = Sp
                      seed: int = 42, stratify: bool = True, **kw) -> DataFrame:
     """``entity, target, split`` with exact sizes, classes shared out in proportion.
 
-    ``stratify=False`` ranks all entities together by the same hash.
+    ``stratify=False`` ranks all entities together by the same hash.  Fewer than three entities raise.
     """
     e = spec.entity
+    _enough(labeled, 3)
     data = labeled.select(e, spec.target, (F.col(spec.target) if stratify else F.lit(0)).alias("_class"))
     data = data.withColumn("_u", uniform(seed, e))
     small = _small(class_sizes(data, "_class", sizes).withColumnRenamed("_class", "_c"))
@@ -80,8 +87,9 @@ def stratified_split(labeled: DataFrame, spec: VisitSpec, sizes: SplitSizes = Sp
 
 def internal_split(labeled: DataFrame, spec: VisitSpec, fraction: float, *, seed: int = 42,
                    **kw) -> DataFrame:
-    """Two-way train/validation split; random when a class has a single entity."""
+    """Two-way train/validation split; random when a class has a single entity.  Fewer than two entities raise."""
     e = spec.entity
+    _enough(labeled, 2)
     data = labeled.select(e, spec.target).withColumn("_u", uniform(seed, e))
     classes = data.groupBy(F.col(spec.target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
     classes = classes.withColumn("_one", F.lit(1))
@@ -101,8 +109,9 @@ def internal_split(labeled: DataFrame, spec: VisitSpec, fraction: float, *, seed
 
 def chronological_split(obs: DataFrame, labeled: DataFrame, spec: VisitSpec,
                         sizes: SplitSizes = SplitSizes(), **kw) -> DataFrame:
-    """Entities in order of their first visit: earliest to train, latest to test."""
+    """Entities in order of their first visit: earliest to train, latest to test.  Fewer than three raise."""
     e = spec.entity
+    _enough(labeled, 3)
     first = (obs.groupBy(e).agg(F.min(spec.time).alias("_first"))
              .join(labeled.select(e, spec.target), e))
     ranked = positions(first, [], [F.col("_first"), F.col(e)], sort_cuts(first, ["_first", e]),

@@ -50,15 +50,30 @@ def permutation_importance(model: FittedModel, data: DataFrame, entity: str, nam
         F.coalesce(F.avg(F.col("_base") - F.col("auroc")), F.lit(0.0)).alias("importance"))
 
 
-def global_ranking(importance: DataFrame, readable: dict[str, str], *, top: int = 20,
+def global_ranking(importance: DataFrame, readable: DataFrame, *, top: int = 20,
                    method: str = "permutation") -> DataFrame:
-    """``rank, feature, readable_name, importance, method`` of the top features (a row per feature comes in)."""
-    entries = [x for k, v in readable.items() for x in (F.lit(k), F.lit(v))]
-    names = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+    """``rank, feature, readable_name, importance, method`` of the top features (a row per feature comes in).
+
+    ``readable`` is ``feature, readable_name``.
+    """
     order = Window.partitionBy(F.lit(1)).orderBy(F.col("importance").desc(), "feature")
-    return (importance.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-            .select("rank", "feature", F.coalesce(F.try_element_at(names, F.col("feature")), F.col("feature"))
-                    .alias("readable_name"), "importance", F.lit(method).alias("method")))
+    ranked = importance.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return ranked.join(readable, "feature", "left").select(
+        "rank", "feature", F.coalesce("readable_name", "feature").alias("readable_name"), "importance",
+        F.lit(method).alias("method"))
+
+
+def explanation_records(contributions: DataFrame, scored: DataFrame, readable: DataFrame, entity: str,
+                        threshold: float = 0.5) -> DataFrame:
+    """Contributions with each entity's probability, class and threshold, and the features' readable names.
+
+    ``scored`` is ``entity, p``.  Entities without a score keep their rows, with NULLs.
+    """
+    known = scored.select(entity, F.col("p").alias("probability"), (F.col("p") >= threshold).cast("int").alias(
+        "predicted_class"))
+    return contributions.join(known, entity, "left").join(readable, "feature", "left").select(
+        entity, "probability", "predicted_class", F.lit(float(threshold)).alias("threshold"), "rank", "feature",
+        F.coalesce("readable_name", "feature").alias("readable_name"), "value", "contribution", "direction", "method")
 
 
 def _ranked(contributions: DataFrame, entity: str, top: int, method: str) -> DataFrame:

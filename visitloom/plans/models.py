@@ -14,7 +14,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 WIDE, SEQUENCE = "wide", "sequence"
-ROWS_PER_FIT_TASK = 50_000
+MAX_DEPTH = 30          # of Spark ML trees
+FIT_PARTITIONS = 8
 REPRESENTATION = {
     "logistic_regression": WIDE, "random_forest": WIDE, "gradient_boosting": WIDE,
     "gradient_boosting_leafwise": WIDE, "sequence_network": SEQUENCE,
@@ -59,7 +60,7 @@ def make_estimator(family: str, params: dict[str, Any], n_rows: int, n_features:
             maxIter=p.get("max_iter", 100), **common)
     if family == "random_forest":
         return RandomForestClassifier(
-            numTrees=p.get("n_estimators", 100), maxDepth=min(p.get("max_depth") or 30, 30),
+            numTrees=p.get("n_estimators", 100), maxDepth=_depth(p.get("max_depth") or MAX_DEPTH),
             minInstancesPerNode=p.get("min_samples_leaf", 1),
             featureSubsetStrategy=str(p.get("max_features", "sqrt")), seed=seed, **common)
     if family in ("gradient_boosting", "gradient_boosting_leafwise"):
@@ -68,14 +69,13 @@ def make_estimator(family: str, params: dict[str, Any], n_rows: int, n_features:
             leaves = math.ceil(math.log2(max(p.get("num_leaves", 31), 2)))
             depth = leaves if depth < 1 else min(depth, leaves)
         return GBTClassifier(
-            maxIter=p.get("n_estimators", 50), maxDepth=min(depth, 30), stepSize=p.get("learning_rate", 0.1),
+            maxIter=p.get("n_estimators", 50), maxDepth=_depth(depth), stepSize=p.get("learning_rate", 0.1),
             subsamplingRate=p.get("subsample", 1.0), featureSubsetStrategy=str(p.get("colsample", "all")),
             minInstancesPerNode=p.get("min_child_samples", 1), seed=seed, **common)
     if family == "sequence_network":
         common.pop("weightCol", None)
         return MultilayerPerceptronClassifier(
-            layers=[n_features, *p.get("hidden", [32]), 2], maxIter=p.get("epochs", 50),
-            stepSize=p.get("learning_rate", 0.03), seed=seed, **common)
+            layers=[n_features, *p.get("hidden", [32]), 2], maxIter=p.get("epochs", 50), seed=seed, **common)
     raise ValueError(f"unknown model family {family!r}")
 
 
@@ -103,9 +103,21 @@ class FittedModel:
         return cls(family, PipelineModel.load(path).stages[0], params or {})
 
 
-def fit(family: str, params: dict[str, Any], train: DataFrame) -> FittedModel:
-    """Fit one family on ``features, label``."""
-    train = train.select("features", "label").persist()   # iterative fits read it many times
+def _depth(depth: int) -> int:
+    if depth > MAX_DEPTH:
+        raise ValueError(f"trees are at most {MAX_DEPTH} deep, not {depth}")
+    return depth
+
+
+def fit(family: str, params: dict[str, Any], train: DataFrame, partitions: int = FIT_PARTITIONS) -> FittedModel:
+    """Fit one family on ``features, label``.
+
+    Rows are dealt by the hash of their content to ``partitions`` tasks and sorted there, so one seed gives one
+    model whatever the partitioning of ``train``; raise ``partitions`` for large training tables.
+    """
+    content = F.xxhash64(vector_to_array("features"), "label")
+    train = (train.select("features", "label", content.alias("_h")).repartition(partitions, "_h")
+             .sortWithinPartitions("_h").drop("_h").persist())   # iterative fits read it many times
     try:
         counts = class_counts(train)
         if not counts:
@@ -113,8 +125,6 @@ def fit(family: str, params: dict[str, Any], train: DataFrame) -> FittedModel:
         n, width = sum(counts.values()), train.select("features").head()[0].size
         est = make_estimator(family, params, n, width)
         ready = balanced_weights(train, counts=counts) if params.get("class_weight") == "balanced" else train
-        # Every iteration is a job, so tasks should not be smaller than needed.
-        ready = ready.coalesce(max(1, math.ceil(n / ROWS_PER_FIT_TASK)))
         return FittedModel(family, est.fit(ready), dict(params))
     finally:
         train.unpersist()

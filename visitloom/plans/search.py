@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.metrics import metric_row
@@ -38,8 +39,7 @@ SPACES: dict[str, dict[str, Any]] = {
         "n_estimators": (100, 800, "int"), "learning_rate": (0.01, 0.3, "log"), "num_leaves": (8, 128, "int"),
         "max_depth": (-1, 20, "int"), "min_child_samples": (5, 100, "int"),
         "subsample": (0.6, 1.0, "linear"), "colsample": (0.6, 1.0, "linear")},
-    "sequence_network": {"hidden": [[32], [64], [128], [64, 32]], "learning_rate": (1e-4, 3e-3, "log"),
-                         "epochs": [20, 50, 100]},
+    "sequence_network": {"hidden": [[32], [64], [128], [256], [64, 32], [128, 64]], "epochs": [20, 50, 100]},
 }
 
 
@@ -77,6 +77,11 @@ def draw_trials(n: int, families: list[str], seed: int = 42,
     return trials
 
 
+def _without_metrics(trial: Trial, state: str, reason: str) -> tuple:
+    known = {**dict(trial.params), **({"error": reason[:500]} if reason else {})}
+    return (trial.number, trial.family, trial.representation, state, *[None] * 10, json.dumps(known))
+
+
 @dataclass
 class SearchResult:
     leaderboard: DataFrame
@@ -90,7 +95,8 @@ def run_search(spark: SparkSession, trials: list[Trial], data: dict[str, tuple[D
     """Fit every trial on train and score it on validation; test rows are not an argument.
 
     ``data`` maps a representation to ``(train, validation)`` with ``features, label``.
-    Trials whose fit fails or whose AUROC is undefined are left off the board.
+    A trial that Spark or its parameters refuse is on the board as ``failed``, one whose AUROC is undefined as
+    ``undefined``, both without metrics; if the session itself is lost, the error is raised.
     ``parallelism`` trials run as concurrent Spark jobs.
     """
     def attempt(trial: Trial):
@@ -98,15 +104,17 @@ def run_search(spark: SparkSession, trials: list[Trial], data: dict[str, tuple[D
         start = time.perf_counter()
         try:
             model = fit(trial.family, dict(trial.params), train)
-        except Exception as exc:  # noqa: BLE001  a failed trial must not end the search
+        except (ValueError, PySparkException) as exc:
+            if spark.sparkContext._jsc.sc().isStopped():
+                raise
             log.warning("trial %d (%s) failed: %s", trial.number, trial.family, exc)
-            return None
+            return trial, None, None, _without_metrics(trial, "failed", str(exc))
         fitted = time.perf_counter()
         m = metric_row(model.predict_proba(val), threshold, y="label").first().asDict()   # one row
         done = time.perf_counter()
         if m["auroc"] is None:
             log.warning("trial %d has no defined validation AUROC", trial.number)
-            return None
+            return trial, None, None, _without_metrics(trial, "undefined", "")
         row = (trial.number, trial.family, trial.representation, "complete",
                *[m[k] for k in ("auroc", "auprc", "f1", "accuracy", "precision", "recall", "specificity", "brier")],
                round(fitted - start, 4), round((done - fitted) / max(m["n_samples"], 1), 6),
@@ -115,10 +123,11 @@ def run_search(spark: SparkSession, trials: list[Trial], data: dict[str, tuple[D
 
     usable = [t for t in trials if t.representation in data]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = [r for r in pool.map(attempt, usable) if r is not None]
+        tried = list(pool.map(attempt, usable))
+    results = [r for r in tried if r[1] is not None]
     if not results:
         raise DataError("no trial completed")
     best = max(results, key=lambda r: (r[2]["auroc"], -r[0].number))
-    board = spark.createDataFrame([r[3] for r in results], BOARD)
-    return SearchResult(board.orderBy(F.col("validation_auroc").desc(), "trial"), best[0], best[2],
+    board = spark.createDataFrame([r[3] for r in tried], BOARD)
+    return SearchResult(board.orderBy(F.col("validation_auroc").desc_nulls_last(), "trial"), best[0], best[2],
                         {r[0].number: r[1] for r in results})

@@ -94,42 +94,53 @@ def trajectory_schema(spec: VisitSpec) -> T.StructType:
                          T.StructField("visits", T.ArrayType(visit))])
 
 
-def parse_trajectories(docs: DataFrame, column: str, spec: VisitSpec, *, check: bool = True) -> DataFrame:
+def parse_trajectories(docs: DataFrame, column: str, spec: VisitSpec, *, check: bool = True,
+                       entity_column: str | None = None) -> DataFrame:
     """Visits of JSON documents, one document per row.
 
-    A document is an object with ``visits`` or a bare list of visits.  Documents that
-    do not parse, have no visits, lack a date or name a future column are refused.
+    A document is an object with an id and ``visits``.  A bare list of visits, or an object without
+    an id, belongs to the entity that the document column ``entity_column`` names; documents of nobody
+    are refused, and so are those that do not parse, have no visits, lack a date or have the key of a
+    future column, whatever its value.
     """
     schema = trajectory_schema(spec)
     text = F.regexp_replace(F.trim(F.col(column)), "^\\ufeff", "")
     as_object = F.when(text.startswith("["), F.concat(F.lit('{"visits":'), text, F.lit("}"))).otherwise(text)
-    parsed = docs.select(F.from_json(as_object, schema).alias("d"))
+    keys = F.from_json(as_object, "visits array<map<string,string>>")
+    given = F.col(entity_column).cast("string") if entity_column else F.lit(None).cast("string")
+    parsed = docs.select(F.from_json(as_object, schema).alias("d"), keys["visits"].alias("_keys"), given.alias("_given"))
+    owner = F.coalesce(missing_to_null(F.col(f"d.{spec.entity}")), missing_to_null(F.col("_given")))
     if check:
-        forbidden = F.exists("d.visits", lambda v: _names_future(v, spec))
+        named = [F.lower(F.trim(F.lit(c))) for c in spec.leakage]
+        forbidden = F.exists("_keys", lambda v: F.exists(F.map_keys(v), lambda k: F.lower(F.trim(k)).isin(*named)))
         undated = F.exists("d.visits", lambda v: try_date(v[spec.time]).isNull())
         r = parsed.groupBy().agg(
             F.count_if(F.coalesce(F.size("d.visits"), F.lit(0)) <= 0).alias("empty"),
             F.count_if(F.coalesce(undated, F.lit(False))).alias("undated"),
-            F.count_if(F.coalesce(forbidden, F.lit(False))).alias("forbidden")).first()
+            F.count_if(F.coalesce(forbidden, F.lit(False))).alias("forbidden"),
+            F.count_if((F.size("d.visits") > 0) & owner.isNull()).alias("nobody")).first()
         if r["empty"]:
             raise DataError(f"{r['empty']} documents are not JSON or have no visits")
         if r["undated"]:
             raise DataError(f"{r['undated']} documents have a visit without a readable {spec.time}")
         if r["forbidden"]:
             raise LeakageError(f"{r['forbidden']} documents name a future column")
-    visits = parsed.select(F.coalesce(f"d.{spec.entity}", F.lit("UNKNOWN")).alias(spec.entity),
+        if r["nobody"]:
+            raise DataError(f"{r['nobody']} documents have no {spec.entity}")
+    visits = parsed.select(owner.alias(spec.entity),
                            F.explode("d.visits").alias("v")).select(spec.entity, "v.*")
     return complete_layout(coerce(visits.drop(*spec.leakage), spec), spec)
 
 
-def _names_future(visit, spec: VisitSpec):
-    out = F.lit(False)
-    for c in spec.leakage:
-        out = out | visit[c].isNotNull()
-    return out
-
-
 def read_trajectories(spark: SparkSession, path: str, spec: VisitSpec = VisitSpec(), *,
                       lines: bool = False, check: bool = True) -> DataFrame:
-    """Trajectory files as visits: a document per file, or with ``lines`` a document per line."""
-    return parse_trajectories(spark.read.text(path, wholetext=not lines), "value", spec, check=check)
+    """Trajectory files as visits: a document per file, or with ``lines`` a document per line.
+
+    A file's document without an id is of the entity that the file is named after.
+    """
+    docs = spark.read.text(path, wholetext=not lines)
+    if lines:
+        return parse_trajectories(docs, "value", spec, check=check)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    return parse_trajectories(docs.select("value", stem.alias("_stem")), "value", spec, check=check,
+                              entity_column="_stem")

@@ -18,7 +18,7 @@ RUN_SCHEMA = (
 
 def observation_rows(timeline: DataFrame, spec: VisitSpec) -> DataFrame:
     """Rows that are not future visits, without future columns."""
-    rows = timeline.filter(~as_flag(F.col(spec.future))) if spec.future in timeline.columns else timeline
+    rows = timeline.filter(~as_flag(timeline, spec.future)) if spec.future in timeline.columns else timeline
     return strip_leakage(rows, spec)
 
 
