@@ -38,7 +38,7 @@ def test_positions_place_null_and_nan_as_the_sort_does(scores, falls):
     order = [F.col("p").desc() if falls else F.col("p").asc(), F.col("y"), F.col("g"), F.col("i")]
     rows = scores.withColumn("i", F.monotonically_increasing_id()).cache()
     cut = falling_cut(F.col("p")) if falls else F.when(F.col("p").isNull(), float("-inf")).otherwise(F.col("p"))
-    got = [{r.i: r.at for r in ordered.positions(rows, [], order, [cut, F.col("y"), F.col("g"), F.col("i")], "at",
+    got = [{r.i: r.at for r in ordered.positions(rows, [], order, [cut, *[F.col(c).cast("double") for c in ("y", "g", "i")]], "at",
                                                  rows_per_task=n).collect()} for n in (20, 10**6)]
     assert got[0] == got[1]
 
