@@ -89,7 +89,7 @@ def test_every_window_is_in_one_segment(monkeypatch, chunk):
         assert set(got) == {(i, k) for i, t in enumerate(texts) for k in range(len(t) - 19)}
 
 
-@pytest.mark.parametrize("crowd", [1024, 1])
+@pytest.mark.parametrize("crowd", [64, 1])
 def test_remove_repeats_odd_rows(spark, crowd):
     rules = ri.IndexRules(length=60, anchor=12, crowd=crowd)
     got = ri.remove_repeats(odd(spark, kept="x", spans=1, n_bytes="y"), rules=rules)

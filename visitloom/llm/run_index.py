@@ -33,7 +33,7 @@ class IndexRules:
     length: int = 200
     anchor: int = 24
     batch: int = 1 << 19
-    crowd: int = 1024
+    crowd: int = 64
 
 
 def anchors(grams: np.ndarray, width: int) -> np.ndarray:
