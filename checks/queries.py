@@ -784,14 +784,14 @@ def end_to_end_test_metrics(spark, sf):
 @query
 def robustness(spark, sf):
     art, ready = fitted(spark, sf, "logistic_regression")
-    return rounded(robustness_sweep(ready.table(tr.SEQUENCE), ready.targets, art, [
+    return rounded(robustness_sweep(ready.table(tr.SEQUENCE, "test"), ready.targets, art, [
         Condition(), Condition("remove_measurements", 0.3), Condition("remove_visits", 0.5),
         Condition("truncate_to_recent_visits", 2.0), Condition("jitter_visit_timing", 30.0)]))
 
 
 def explained(spark, sf, family="logistic_regression"):
     art, ready = fitted(spark, sf, family)
-    return art, tr.labelled(art, ready.table(art.representation), ready.targets)
+    return art, tr.labelled(art, ready.table(art.representation, "test"), ready.targets)
 
 
 @query
@@ -818,7 +818,7 @@ def ablation_contributions(spark, sf):
 @query
 def temporal_occlusion(spark, sf):
     art, ready = fitted(spark, sf, "sequence_network")
-    obs = ready.table(tr.SEQUENCE)
+    obs = ready.table(tr.SEQUENCE, "test")
     names = se.layout(obs, N, art.vocab)
     x = pp.apply_sequence_stats(se.sequences(obs, N, art.vocab), art.sequence_stats, names)
 
