@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import falling_cut, number_or_null
+from ..sources.session import written
 from .ordered import ROWS_PER_TASK, running
 
 # The default thresholds tried for the best F1.
@@ -38,11 +39,14 @@ def undefined_scores(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str
 def cumulative_counts(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", *,
                       rows_per_task: int = ROWS_PER_TASK, bounded: bool = False) -> DataFrame:
     """Counts per score, positives and negatives above each score, and the group totals."""
+    counts = score_counts(df, by, y, p)
+    if not bounded:
+        counts = written(counts, "score-counts")   # groups are counted first; the scores are made once
     return running(
-        score_counts(df, by, y, p), by, [F.col("p").desc()], [falling_cut(F.col("p"))],
+        counts, by, [F.col("p").desc()], [falling_cut(F.col("p"))],
         before={"tp0": ("sum", F.col("pos")), "fp0": ("sum", F.col("neg"))},
         group={"all_pos": ("sum", F.col("pos")), "all_neg": ("sum", F.col("neg"))},
-        rows_per_task=rows_per_task, bounded=bounded, at_most=df.select(F.lit(1)))
+        rows_per_task=rows_per_task, bounded=bounded, at_most=counts)
 
 
 def roc_points(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p", **kw) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import is_missing, missing_to_null, sort_cuts, try_date
+from ..sources.session import written
 from ..spec import VisitSpec
 from .guards import leakage_candidates
 from .ordered import running
@@ -59,17 +60,19 @@ def invalid_targets(df: DataFrame, spec: VisitSpec) -> DataFrame:
 
 def _listed(table: DataFrame, key: str, level: str, code: str) -> DataFrame:
     """One finding for a table of offenders: how many, and the first few."""
-    text = F.col(key).cast("string")
-    sample = table.select(text.alias("k")).orderBy("k").limit(SAMPLE)
+    table = written(table.select(F.col(key).cast("string").alias("k")), "offenders")   # counted and sampled
+    sample = table.orderBy("k").limit(SAMPLE)
     joined = sample.groupBy().agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("details"))
     count = table.groupBy().agg(F.count(F.lit(1)).alias("n"))
     both = count.withColumn("_k", F.lit(1)).join(joined.withColumn("_k", F.lit(1)), "_k")   # one row each
     return both.filter("n > 0").select(F.lit(level).alias("level"), F.lit(code).alias("code"), "n", "details")
 
 
-def _counted(table: DataFrame, total: Column, level: str, code: str) -> DataFrame:
-    return (table.groupBy().agg(F.coalesce(total, F.lit(0)).cast("long").alias("n")).filter("n > 0")
-            .select(F.lit(level).alias("level"), F.lit(code).alias("code"), "n", F.lit("").alias("details")))
+def _counted(df: DataFrame, bad: dict[str, Column]) -> DataFrame:
+    """Errors of single rows, by code, from one pass."""
+    counts = df.groupBy().agg(*[F.count_if(c).alias(code) for code, c in bad.items()])
+    return counts.unpivot([], list(bad), "code", "n").filter("n > 0").select(
+        F.lit(ERROR).alias("level"), "code", "n", F.lit("").alias("details"))
 
 
 def findings(df: DataFrame, spec: VisitSpec, *, expected: tuple[str, ...] = (), ordinal: str | None = None,
@@ -86,13 +89,18 @@ def findings(df: DataFrame, spec: VisitSpec, *, expected: tuple[str, ...] = (),
     if suspects:
         fixed.append((WARNING, "LEAKAGE_CANDIDATE_COLUMNS", len(suspects), ",".join(suspects)))
     out = [spark.createDataFrame(fixed, FINDING)]
+    rows = {}
     if spec.entity in have:
-        out.append(_counted(df, F.count_if(is_missing(F.col(spec.entity))), ERROR, "EMPTY_PATIENT_ID"))
+        rows["EMPTY_PATIENT_ID"] = is_missing(F.col(spec.entity))
     if spec.time in have:
-        out.append(_counted(df, F.count_if(_as_date(df, spec.time).isNull()), ERROR, "INVALID_VISIT_DATE"))
+        rows["INVALID_VISIT_DATE"] = _as_date(df, spec.time).isNull()
+    if rows:
+        out.append(_counted(df, rows))
     if {spec.entity, spec.time} <= have:
-        out.append(_counted(duplicate_groups(df, spec), F.sum("n_rows"),
-                            WARNING if allow_duplicates else ERROR, "DUPLICATE_PATIENT_DATE"))
+        total = duplicate_groups(df, spec).groupBy().agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"))
+        out.append(total.filter("n > 0").select(
+            F.lit(WARNING if allow_duplicates else ERROR).alias("level"),
+            F.lit("DUPLICATE_PATIENT_DATE").alias("code"), "n", F.lit("").alias("details")))
         if ordinal:
             out.append(_listed(unordered_entities(df, spec, ordinal, **kw), spec.entity, WARNING,
                                "NON_CHRONOLOGICAL_ORDER"))

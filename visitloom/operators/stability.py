@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import sort_cuts
+from ..sources.session import written
 from .ordered import running, positions
 
 
@@ -49,7 +50,7 @@ def shared_scores(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def spearman(a: DataFrame, b: DataFrame, **kw) -> DataFrame:
     """Rank correlation over shared keys; NULL below two keys or for a constant side."""
-    both = shared_scores(a, b)
+    both = written(shared_scores(a, b), "shared-scores")   # ranked twice and joined back
     ranked = average_ranks(average_ranks(both, "score_a", "_ra", **kw), "score_b", "_rb", **kw)
     # corr() raises on a constant side in ANSI mode, so the quotient is spelled out.
     r = F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))

@@ -64,8 +64,12 @@ def apply_changes(visits: DataFrame, log: DataFrame, spec: VisitSpec) -> Changes
     ``fields`` is a ``map<string,string>``: a key that is present is a supplied
     value, NULL or ``""`` clears it, and an absent key leaves the field alone.
     Only the owner of a visit may change it; an update or delete needs an earlier
-    add and no earlier delete.  Everything is aggregated per visit.
+    add and no earlier delete.  Stored visits that the log does not name pass
+    through as they are; the others are aggregated per visit.
     """
+    stored = visits
+    named = log.select(spec.visit_id).distinct()
+    visits = stored.join(named, spec.visit_id, "left_semi")
     e, v = spec.entity, spec.visit_id
     columns = [c for c in visits.columns if c not in (e, v)]
     types = dict(visits.dtypes)
@@ -98,7 +102,8 @@ def apply_changes(visits: DataFrame, log: DataFrame, spec: VisitSpec) -> Changes
 
     merged = good.groupBy(v).agg(F.max("_owner").alias(e), *[newest(c) for c in columns])
     rejected = known.filter(F.col("reason").isNotNull()).select("seq", "op", e, v, "reason")
-    return Changes(merged.select(*visits.columns), rejected)
+    untouched = stored.join(named, v, "left_anti").select(*stored.columns)
+    return Changes(untouched.unionByName(merged.select(*stored.columns)), rejected)
 
 
 def select_visits(selection: DataFrame, visits: DataFrame, spec: VisitSpec, window: int) -> DataFrame:
