@@ -22,13 +22,15 @@ U = np.uint64
 @dataclass(frozen=True)
 class OrdinalRules:
     """``buckets`` word features and a few for the text's form; fitted on at most ``sample`` rated rows, those of
-    least hash, by ``steps`` of gradient descent; a text is selected at a tail probability of ``least`` or more."""
-    buckets: int = 1 << 16
+    least hash, by ``steps`` of gradient descent; words of fewer than ``rows`` of these rows have no weight. A text is
+    selected at a tail probability of ``least`` or more."""
+    buckets: int = 1 << 18
     sample: int = 12_000
-    steps: int = 150
+    rows: int = 5
+    steps: int = 400
     rate: float = 0.5
-    decay: float = 1e-5
-    least: float = 0.5
+    decay: float = 1e-4
+    least: float = 0.35
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ def features(column: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.nd
 def fit(rated: DataFrame, rules: OrdinalRules, *, text: str = "text", grade: str = "grade") -> OrdinalModel:
     """Fit on at most ``rules.sample`` rows with a grade 0, 1, 2, ..; the features of these reach the driver.
 
-    Classes weigh the same whatever their size. With fewer than two grades all weights are 0.
+    With fewer than two grades all weights are 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,8 +91,9 @@ def fit(rated: DataFrame, rules: OrdinalRules, *, text: str = "text", grade: str
     slots = lists.flatten().to_numpy()
     values = rows.column("values").combine_chunks().flatten().to_numpy().astype(np.float64)
     owner = np.repeat(np.arange(len(y)), n_of)
-    weight = 1 / np.bincount(y, minlength=grades)[y]
-    weight /= weight.sum()
+    known = np.bincount(slots, minlength=size)[slots] >= rules.rows
+    slots, values, owner = slots[known], values[known], owner[known]
+    weight = np.full(len(y), 1 / len(y))
     w, gaps = np.zeros(size), np.log(np.expm1(np.ones(grades - 1)))
     first = -(grades - 1) / 2
     sums = [np.full(size, 1e-8), 1e-8, np.full(grades - 1, 1e-8)]

@@ -167,12 +167,13 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     rows = kept(_sets(docs, key, text, rules), "sets")
     full = rows.filter("n > 0")
-    # numbers of classes and groups are given as these tables are written, and stay as written
-    groups = kept(full.groupBy("p1", "p2", "n").agg(F.first("prefix").alias("prefix")).withColumn(
-        "gid", F.monotonically_increasing_id()), "groups")
+    # a group's number is a hash: should two groups share one, they only meet as members of one bucket more
+    gid = F.xxhash64("p1", "p2", "n").alias("gid")
+    groups = full.groupBy("p1", "p2", "n").agg(F.first("prefix").alias("prefix")).select(gid, "prefix")
+    # the numbers of classes are given as the table is written, and stay as written
     classes = kept(full.groupBy("s1", "s2", "n", "p1", "p2").agg(
-        F.coalesce(F.min("id"), F.lit(NONE)).alias("least")).join(groups.drop("prefix"), ["p1", "p2", "n"]).select(
-        "s1", "s2", "n", "least", "gid", F.monotonically_increasing_id().alias("cid")), "classes")
+        F.coalesce(F.min("id"), F.lit(NONE)).alias("least")).select(
+        "s1", "s2", "n", "least", gid, F.monotonically_increasing_id().alias("cid")), "classes")
 
     # buckets: the groups of a prefix shingle that two groups have, and each group of several classes by itself;
     # of a shingle, at: its place in the prefix, known: how many before it another group has too
