@@ -233,8 +233,24 @@ def _near(met: Column, a: dict[str, Column], b: dict[str, Column], percent: int)
     return (100 * small >= percent * large) & (~met | ((100 + percent) * most >= percent * (a["n"] + b["n"])))
 
 
+def _enough_shared(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows (a, b, n, n2, met) that met often enough to be similar.
+
+    Beyond its prefix a set has ceil(t n) - 1 shingles, so c shared prefix shingles allow an overlap
+    of at most c + max(ceil(t n) - 1); members of one group share their whole prefix and meet in its own bucket.
+    """
+    counted = pairs.groupBy("a", "b").agg(F.count_if("met").alias("shared"), F.count_if(~F.col("met")).alias("same_group"),
+                                          F.max("n").alias("n"), F.max("n2").alias("n2"))
+    rest = F.ceil(percent * F.greatest("n", "n2") / 100) - 1
+    need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
+    return counted.filter((F.col("same_group") > 0) | (F.col("shared") + rest >= need)).select("a", "b")
+
+
 def _pivot_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
-    """Every member with the pivots of its bucket: those of least hash, for each of several hashes."""
+    """Every member with the pivots of its bucket: those of least hash, for each of several hashes.
+
+    A pair is counted only where one is the other's pivot, so some similar pairs are left to ``_open_pairs``.
+    """
     me = {c: F.col(c) for c in ("n", "at", "known")}
     pairs = []
     pivots = placed.groupBy("bucket", "met").agg(*[
@@ -245,16 +261,14 @@ def _pivot_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
         v = {c: F.col(f"v{i}.{c}") for c in ("n", "at", "known", "cid", "gid")}
         ok = (F.col("cid") != v["cid"]) & (~F.col("met") | (F.col("gid") != v["gid"]))
         pairs.append(F.when(ok & _near(F.col("met"), me, v, rules.percent), F.struct(
-            F.least("cid", v["cid"]).alias("a"), F.greatest("cid", v["cid"]).alias("b"))))
-    return met.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.a", "p.b").distinct()
+            F.least("cid", v["cid"]).alias("a"), F.greatest("cid", v["cid"]).alias("b"),
+            F.least("n", v["n"]).alias("n"), F.greatest("n", v["n"]).alias("n2"))))
+    told = met.select("met", F.explode(F.array_distinct(F.array_compact(F.array(*pairs)))).alias("p"))
+    return _enough_shared(told.select("p.*", "met"), rules.percent)
 
 
 def _open_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
-    """All pairs of a bucket that are in different components and share enough of their prefixes.
-
-    Beyond its prefix a set has ceil(t n) - 1 shingles, so c shared prefix shingles allow an overlap
-    of at most c + max(ceil(t n) - 1); members of one group share their whole prefix and meet in its own bucket.
-    """
+    """All pairs of a bucket that are in different components and share enough of their prefixes."""
     open_ = placed.groupBy("bucket", "met").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(
         "lo <> hi").select("bucket", "met")
     columns = ("cid", "root", "n", "gid", "at", "known")
@@ -264,9 +278,5 @@ def _open_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
     pairs = left.join(right, ["bucket", "met"]).filter(
         (F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2"))
         & (~F.col("met") | (F.col("gid") != F.col("gid2"))) & _near(F.col("met"), me, it, rules.percent))
-    counted = pairs.groupBy(F.col("cid").alias("a"), F.col("cid2").alias("b"), "n", "n2").agg(
-        F.count_if("met").alias("shared"), F.count_if(~F.col("met")).alias("same_group"))
-    t = rules.percent
-    rest = F.ceil(t * F.greatest("n", "n2") / 100) - 1
-    need = F.ceil(t * (F.col("n") + F.col("n2")) / (100 + t))
-    return counted.filter((F.col("same_group") > 0) | (F.col("shared") + rest >= need)).select("a", "b")
+    return _enough_shared(pairs.select(F.col("cid").alias("a"), F.col("cid2").alias("b"), "n", "n2", "met"),
+                          rules.percent)
