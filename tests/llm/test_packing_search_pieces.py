@@ -98,7 +98,8 @@ def naive_search(rows, rules):
 @pytest.mark.parametrize("words", [2_000_000, 300])
 def test_search_documents(spark, words):
     """Scores equal those by brute force, for the query terms that the operator chose."""
-    docs, rules = documents(spark).limit(120).cache(), bs.SearchRules(k=5, terms=8, shard_words=words, block=4)
+    terms, checked = 4, 0
+    docs, rules = documents(spark).limit(120).cache(), bs.SearchRules(k=5, terms=terms, shard_words=words, block=4)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {}
     for r in bs.search(docs, F.col("doc_id") % 10 == 0, rules=rules).collect():
@@ -107,14 +108,34 @@ def test_search_documents(spark, words):
     for n, (i, t) in enumerate(rows):
         if i % 10:
             continue
-        ranked = sorted(set(tokens[n]), key=lambda w: -tokens[n].count(w) * idf[w])
-        edge = tokens[n].count(ranked[min(8, len(ranked)) - 1]) * idf[ranked[min(8, len(ranked)) - 1]]
-        if len(ranked) > 8 and abs(tokens[n].count(ranked[8]) * idf[ranked[8]] - edge) < 1e-12:
+        part = {w: idf[w] * tf * (rules.k1 + 1) / (tf + rules.k1) for w in set(tokens[n])
+                for tf in [tokens[n].count(w)]}
+        ranked = sorted(part, key=lambda w: -part[w])
+        if len(ranked) > terms and abs(part[ranked[terms]] - part[ranked[terms - 1]]) < 1e-9:
             continue                                     # a tie of terms goes by hash
-        want = sorted(((score(ranked[:8], m), -j) for m, (j, _) in enumerate(rows)), reverse=True)
+        checked += 1
+        want = sorted(((score(ranked[:terms], m), -j) for m, (j, _) in enumerate(rows)), reverse=True)
         want = [(s, -j) for s, j in want if s > 0][:5]
         have = [(s, j) for _, j, s in sorted(got[i])]
         assert [round(s, 9) for s, _ in have] == [round(s, 9) for s, _ in want]
+    assert checked or words == 300
+
+
+@pytest.mark.parametrize("words", [2_000_000, 300])
+def test_search_all_terms(spark, words):
+    """With as many terms as the longest text has, the answer is that of scoring every text for all words."""
+    docs = documents(spark).filter("n_chars < 900").limit(40).cache()
+    rules = bs.SearchRules(k=6, terms=10_000, shard_words=words, block=4)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {}
+    for r in bs.search(docs, F.col("doc_id") % 3 == 0, rules=rules).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["doc_id"], r["score"]))
+    tokens, _, score = naive_search(rows, rules)
+    for n, (i, _) in enumerate(rows):
+        if i % 3 == 0 and tokens[n]:
+            want = sorted(((score(sorted(set(tokens[n])), m), -j) for m, (j, _) in enumerate(rows)), reverse=True)
+            have = sorted(got[i])
+            assert [round(s, 8) for _, _, s in have] == [round(s, 8) for s, _ in want if s > 0][:6]
 
 
 def test_block_max_wand():
