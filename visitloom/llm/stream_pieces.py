@@ -10,6 +10,7 @@ and a bounded memory of earlier words is reused.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +34,8 @@ class Pieces:
     worst: float = 0.0
     joined: bool = False             # whether a piece has a space mark after another character
     known: dict[str, bytes] = field(default_factory=dict)
-    trie: dict = field(default_factory=dict)     # made where it is used
+    trie: dict = field(default_factory=dict)     # made where they are used
+    flat: list = field(default_factory=list)
 
     def __post_init__(self):
         self.longest = max(map(len, self.scores))
@@ -116,6 +118,53 @@ class Pieces:
             else:
                 yield self.unknown
 
+    def _flat(self) -> list:
+        """The same trie with nodes (score or None, id, children)."""
+        if not self.flat:
+            self.flat = [None, -1, {}]
+            for piece, score in self.scores.items():
+                node = self.flat
+                for c in piece:
+                    node = node[2].setdefault(c, [None, -1, {}])
+                node[0], node[1] = score, self.ids[piece]
+        return self.flat
+
+    def word_ids(self, word: str) -> bytes:
+        """The ids of ``path`` for a word shorter than the window, which needs no commit inside."""
+        root, worst = self._flat()[2], self.worst
+        n = len(word)
+        best, back, last = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here, kids, j, single = best[i], root, i, False
+            while j < n:
+                node = kids.get(word[j])
+                if node is None:
+                    break
+                j += 1
+                s, piece, kids = node
+                if s is not None:
+                    if j == i + 1:
+                        single = True
+                    if here + s > best[j]:
+                        best[j], back[j], last[j] = here + s, i, piece
+                if not kids:
+                    break
+            if not single and here + worst > best[i + 1]:
+                best[i + 1], back[i + 1], last[i + 1] = here + worst, i, -1
+        ids, j = [], n
+        while j:
+            i = back[j]
+            if last[j] >= 0:
+                ids.append(last[j])
+            elif self.byte_ids:
+                ids.extend(self.byte_ids[x] for x in reversed(word[i:j].encode()))
+            else:
+                ids.append(self.unknown)
+            j = i
+        ids.reverse()
+        return array("i", ids).tobytes()
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text. A space is written as the mark, and one comes before the text."""
         if not text:
@@ -126,8 +175,10 @@ class Pieces:
         for part in parts:
             ids = known.get(part)
             if ids is None:
-                ids = np.fromiter(self.ids_of(part), dtype=np.int32).tobytes()
-                if len(part) <= 64:
+                if len(part) >= 4 * self.longest:
+                    ids = np.fromiter(self.ids_of(part), dtype=np.int32).tobytes()
+                else:
+                    ids = self.word_ids(part)
                     if len(known) >= REMEMBER:
                         known.clear()
                     known[part] = ids
