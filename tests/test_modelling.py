@@ -38,8 +38,9 @@ def test_run_adds_up(spark, result, tmp_path):
     assert test.test_n_samples == split["test"] == test.test_TP + test.test_FP + test.test_TN + test.test_FN
     assert 0 <= test.test_auroc <= 1
     board = result.search.leaderboard.collect()
-    assert [r.trial for r in board] and 3 not in {r.trial for r in board}      # the failing trial is left off
-    scores = [r.validation_auroc for r in board]
+    assert {r.trial: r.state for r in board}[3] == "failed"      # on the board, last, without metrics
+    assert board[-1].trial == 3 and board[-1].validation_auroc is None
+    scores = [r.validation_auroc for r in board if r.state == "complete"]
     assert scores == sorted(scores, reverse=True) and board[0].trial == result.search.best.number
     result.save(spark, str(tmp_path))
     assert spark.read.csv(str(tmp_path / "leaderboard"), header=True).count() == len(board)
