@@ -60,7 +60,7 @@ def global_ranking(importance: DataFrame, readable: DataFrame, *, top: int = 20,
     ranked = importance.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.join(readable, "feature", "left").select(
         "rank", "feature", F.coalesce("readable_name", "feature").alias("readable_name"), "importance",
-        F.lit(method).alias("method"))
+        F.lit(method).alias("method")).orderBy("rank")   # a row per feature
 
 
 def explanation_records(contributions: DataFrame, scored: DataFrame, readable: DataFrame, entity: str,
