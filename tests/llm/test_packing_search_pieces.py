@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from llm_data import documents, empty, odd, odd_rows
 from visitloom.llm import block_max_search as bs, conflict_packing as cp, stream_pieces as sp
-from visitloom.llm.queries import PIECES
+from visitloom.llm.queries import PIECES, QUERIES
 
 
 def naive_pack(items, capacity):
@@ -138,6 +139,39 @@ def test_search_all_terms(spark, words):
             assert [round(s, 8) for _, _, s in have] == [round(s, 8) for s, _ in want if s > 0][:6]
 
 
+def test_search_query_scores_every_word(spark):
+    """The registered query against scoring every row for all distinct words of the query text."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, Counter(re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(
+        {c: c + 32 for c in range(65, 91)})))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rules, df, holds = bs.SearchRules(), Counter(w for _, t in rows for w in t), {}
+    mean = sum(t.total() for _, t in rows) / len(rows)
+    for n, (_, t) in enumerate(rows):
+        norm = rules.k1 * (1 - rules.b + rules.b * t.total() / mean)
+        for w, tf in t.items():
+            idf = math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5))
+            holds.setdefault(w, []).append((n, idf * tf * (rules.k1 + 1) / (tf + norm)))
+    got = {}
+    for r in QUERIES["op7_block_max_search"](spark, sf).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["doc_id"], r["score"]))
+    asked = [(i, t) for i, t in rows if i % 100 == 0 and t]
+    assert set(got) == {i for i, _ in asked} and any(len(t) > 24 for _, t in asked)
+    for i, t in asked:
+        total = Counter()
+        for w in t:
+            for n, part in holds[w]:
+                total[n] += part
+        want = sorted(((round(s, 8), -rows[n][0]) for n, s in total.items()), reverse=True)[:rules.k]
+        assert [(round(s, 8), -j) for _, j, s in sorted(got[i])] == want
+
+
+def test_search_blocks_of_terms(spark):
+    docs = documents(spark).cache()
+    whole, parts = ([sorted(map(tuple, bs.search(docs, F.col("doc_id") % 20 == 0, rules=r).collect()))]
+                    for r in (bs.SearchRules(), bs.SearchRules(term_block=700, shard_words=4000, block=8)))
+    assert [r[:3] for r in whole[0]] == [r[:3] for r in parts[0]]
+
+
 def test_block_max_wand():
     rng = random.Random(3)
     for _ in range(300):
