@@ -209,6 +209,23 @@ def test_ordinal_accuracy_and_odd_rows(spark):
     assert oq.grade_texts(odd(spark), none, rules).filter("expected_grade <> 0").count() == 0
 
 
+def test_ordinal_selects_few_toxic_rows(spark):
+    """On rows that the fit has not seen: few good but toxic ones are selected, clean ones stay."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels_ = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    rules = oq.OrdinalRules()
+    model = oq.fit(oq.rated_rows(docs.filter(~held), labels_, rules), rules)
+    got = oq.grade_texts(docs.filter(held), model, rules).join(labels_, "doc_id").collect()
+    rate = [0.0, 0.0, 0.0]
+    for g in range(3):
+        mine = [r.selected for r in got if g == (0 if r.quality == 0 else 2 - r.toxic)]
+        rate[g] = sum(mine) / len(mine)
+    print("selected by grade", rate, "told by the fit", model.least, model.rates)
+    assert rate[1] < 0.2 and rate[2] > 0.95 and rate[0] < 0.05
+    assert all(abs(a - b) < 0.1 for a, b in zip(rate, model.rates))
+
+
 def test_ordinal_bound(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels_ = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

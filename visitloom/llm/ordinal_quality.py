@@ -1,13 +1,14 @@
 """Quality classifier: cumulative-link (proportional odds) regression on graded ratings.
 
 P(grade <= j) = sigmoid(threshold_j - w . x) with one weight vector w over hashed words for all grades and
-thresholds in increasing order. The expected grade and the probability of a high grade rank and select texts.
+thresholds in increasing order. The expected grade and the probability of a high grade rank and select texts; the
+probability from which a text is selected comes from rated rows outside the fold that was fitted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -23,20 +24,26 @@ U = np.uint64
 class OrdinalRules:
     """``buckets`` word features and a few for the text's form; fitted on at most ``sample`` rated rows, those of
     least hash, by ``steps`` of gradient descent; words of fewer than ``rows`` of these rows have no weight. A text is
-    selected at a tail probability of ``least`` or more."""
+    selected from the probability of the highest grade that a share ``stay`` of the rows of this grade reaches when
+    each of ``folds`` parts is judged by a fit on the others."""
     buckets: int = 1 << 18
     sample: int = 12_000
     rows: int = 5
     steps: int = 400
     rate: float = 0.5
     decay: float = 1e-4
-    least: float = 0.35
+    folds: int = 3
+    stay: float = 0.97
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
+    """``least`` is the probability of the highest grade from which a text is selected, ``rates`` the share of the rows of
+    each grade, held out from the fit, that reach it."""
     weights: np.ndarray
     thresholds: np.ndarray
+    least: float = 0.35
+    rates: tuple[float, ...] = ()
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > j) for every text and threshold."""
@@ -67,7 +74,8 @@ def features(column: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.nd
 def fit(rated: DataFrame, rules: OrdinalRules, *, text: str = "text", grade: str = "grade") -> OrdinalModel:
     """Fit on at most ``rules.sample`` rows with a grade 0, 1, 2, ..; the features of these reach the driver.
 
-    With fewer than two grades all weights are 0.
+    The fit on all rows is the model; fits without each part give its cut and the rates. With fewer than two grades all
+    weights are 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,8 +99,43 @@ def fit(rated: DataFrame, rules: OrdinalRules, *, text: str = "text", grade: str
     slots = lists.flatten().to_numpy()
     values = rows.column("values").combine_chunks().flatten().to_numpy().astype(np.float64)
     owner = np.repeat(np.arange(len(y)), n_of)
+    part = np.bincount(owner, slots, minlength=len(y)).astype(np.int64) % rules.folds     # equal texts are in one part
+    top = np.full(len(y), np.nan)
+    for i in range(rules.folds):
+        out = part == i
+        if len(np.unique(y[~out])) < 2 or not out.any():
+            continue
+        model = _descend(y, slots, values, owner, ~out, grades, rules)
+        score = np.bincount(owner, model.weights[slots] * values, minlength=len(y))
+        top[out] = model.tails(score[out])[:, -1]
+    model = _descend(y, slots, values, owner, np.ones(len(y), dtype=bool), grades, rules)
+    best = top[(y == grades - 1) & ~np.isnan(top)]
+    if not len(best):
+        return model
+    # two standard errors below the wanted place: with few rows the cut is looser, so that clean rows stay
+    lost, n = 1 - rules.stay, len(best)
+    least = float(np.sort(best)[max(0, int(n * lost - 2 * np.sqrt(n * lost * rules.stay)))])
+    judged = [top[(y == g) & ~np.isnan(top)] for g in range(grades)]
+    return replace(model, least=least, rates=tuple(float((t >= least).mean()) if len(t) else 0.0 for t in judged))
+
+
+def _descend(y: np.ndarray, slots: np.ndarray, values: np.ndarray, owner: np.ndarray, use: np.ndarray, grades: int,
+             rules: OrdinalRules) -> OrdinalModel:
+    """Fit on the rows in ``use``.
+
+    A feature is scaled by how far the shares of rows that have it differ between the highest grade and another (log of
+    their quotient), so rare strong words are not lost among the many words of a long text.
+    """
+    size = rules.buckets + 4
+    mine = use[owner]
+    slots, values, owner, y = slots[mine], values[mine], (np.cumsum(use) - 1)[owner[mine]], y[use]
     known = np.bincount(slots, minlength=size)[slots] >= rules.rows
     slots, values, owner = slots[known], values[known], owner[known]
+    share = [np.log((np.bincount(slots[y[owner] == g], minlength=size) + 1) / (np.count_nonzero(y == g) + 2))
+             for g in range(grades)]
+    scale = np.maximum(0.05, np.max([abs(x - share[-1]) for x in share[:-1]], axis=0))
+    scale[rules.buckets:] = 1
+    values = values * scale[slots]
     weight = np.full(len(y), 1 / len(y))
     w, gaps = np.zeros(size), np.log(np.expm1(np.ones(grades - 1)))
     first = -(grades - 1) / 2
@@ -115,7 +158,7 @@ def fit(rated: DataFrame, rules: OrdinalRules, *, text: str = "text", grade: str
         first -= rules.rate * 0.2 * g_first / np.sqrt(sums[1])
         gaps -= rules.rate * 0.2 * g_gaps / np.sqrt(sums[2])
     theta = first + np.concatenate(([0.0], np.cumsum(np.log1p(np.exp(gaps[1:])))))
-    return OrdinalModel(w, theta)
+    return OrdinalModel(w * scale, theta)
 
 
 def grade_texts(docs: DataFrame, model: OrdinalModel, rules: OrdinalRules = OrdinalRules(), *,
@@ -123,7 +166,7 @@ def grade_texts(docs: DataFrame, model: OrdinalModel, rules: OrdinalRules = Ordi
     """``docs`` with ``expected_grade``, ``p_top`` and ``selected``; columns of those names are replaced.
 
     expected_grade is the sum of P(grade > j), p_top the probability of the highest grade, selected says whether
-    it is ``least`` or more. NULL and empty texts are graded as a text without words. Texts are
+    it is ``model.least`` or more. NULL and empty texts are graded as a text without words. Texts are
     graded alone: repeated rows agree, an empty table stays empty. A model of one grade gives 0 and 1.
     """
     new = ("expected_grade", "p_top", "selected")
@@ -142,7 +185,7 @@ def grade_texts(docs: DataFrame, model: OrdinalModel, rules: OrdinalRules = Ordi
 
     return docs.select(*keep, graded(text).alias("_g")).select(
         *keep, F.col("_g.expected_grade").alias("expected_grade"), F.col("_g.p_top").alias("p_top"),
-        (F.col("_g.p_top") >= rules.least).alias("selected"))
+        (F.col("_g.p_top") >= model.least).alias("selected"))
 
 
 def rated_rows(docs: DataFrame, labels: DataFrame, rules: OrdinalRules, *, key: str = "doc_id",
