@@ -17,13 +17,20 @@ from .shared import folder, kept
 
 #: Kinds in the order in which spans that start together are listed. Fixed values.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "token")
-VERSION = "base3+3"
+VERSION = "base3+3, whole pem"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: From BEGIN through headers and body to the END line of the same label, with line ends also written as backslash n; where END
+#: is missing, to the end of the headers and base64 lines.
+PEM_GAP = r"(?:[\x20\t\r\n]|\\[nrt])"
+PEM = re.compile(
+    rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?)-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1-----|"
+    rf"(?:{PEM_GAP}+(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*|[A-Za-z0-9+/=]{{16,}}|[A-Za-z0-9+/]*=+[A-Za-z0-9+/]*|"
+    rf"(?<=[A-Za-z0-9+/]{{16}}\n)[A-Za-z0-9+/]+(?=[\x20\t\r]*(?:\n|\Z))))*)")
 MORE = {
-    "pem": ("PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
+    "pem": ("PRIVATE KEY", PEM),
     "jwt": ("eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     "token": ("_", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|[sr]k_live_[A-Za-z0-9]{16,}")),
 }
