@@ -50,6 +50,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def shield(df: DataFrame, new: tuple[str, ...], *roles: str) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with columns c0, c1, .. whatever they were called; the names to give back; the columns of ``roles``.
+
+    Columns that ``new`` replaces come last and have no name to give back. Names are compared without case, as
+    Spark does; among names that differ only in case a role takes the exact one. Dots and repeats do no harm.
+    """
+    names = df.columns
+    gone = {n.lower() for n in new}
+    order = [i for i, n in enumerate(names) if n.lower() not in gone]
+    inner = {i: f"c{at}" for at, i in enumerate(order + [i for i in range(len(names)) if i not in order])}
+
+    def of(role: str) -> str:
+        same = [i for i, n in enumerate(names) if n == role] or [i for i, n in enumerate(names)
+                                                                 if n.lower() == role.lower()]
+        if not same:
+            raise ValueError(f"no column {role}")
+        return inner[same[0]]
+
+    plain = df.toDF(*[inner[i] for i in range(len(names))])
+    return plain.select(*sorted(inner.values(), key=lambda c: int(c[1:]))), [names[i] for i in order], [of(r) for r in roles]
+
+
 def row_key(*columns: Column) -> Column:
     """128 bits that stand for the values of a row; NULLs count as values."""
     known = [F.coalesce(c.cast("string"), F.lit("\x00null")) for c in columns]

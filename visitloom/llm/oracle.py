@@ -22,5 +22,88 @@ fits AS (
     GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM parts LEFT JOIN fits USING (page_id)
+""",
+    "op11_window_repeats": r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cut),
+windows AS (
+    SELECT doc_id, i, w, CASE WHEN count(*) OVER next13 = 13 THEN string_agg(w, ' ') OVER next13 END AS seq
+    FROM words
+    WINDOW next13 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+first AS (SELECT seq, min(doc_id) AS lo FROM windows WHERE seq IS NOT NULL GROUP BY seq),
+marked AS (
+    SELECT doc_id, i, w, coalesce(lo < doc_id, false) AS hit FROM windows LEFT JOIN first USING (seq)),
+covered AS (
+    SELECT doc_id, i, w, bool_or(hit) OVER (
+        PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+    FROM marked),
+per AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+        coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept
+    FROM covered GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN per USING (doc_id)
+""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE parts AS (
+    SELECT doc_id, source, text,
+        concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END,
+            CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+            CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+            CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head,
+        list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+            FOR c IN string_split(doc_id::VARCHAR, '')])),
+            lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, (r & 1) * 3988292384) END) AS crc
+    FROM documents),
+leaves AS (
+    SELECT doc_id, source, head, text, xor(crc, 4294967295) % 2 = 0 AS hit,
+        sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+        CASE WHEN text IS NULL THEN NULL ELSE replace(text, chr(10), '') END AS stripped
+    FROM parts),
+numbered AS (
+    SELECT *, coalesce('g' || source, '-') AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx,
+        count(*) OVER (PARTITION BY source) AS n,
+        CASE WHEN hit THEN sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(stripped) || ':' || stripped END)
+            ELSE leaf END AS now
+    FROM leaves),
+low(level, s, idx, n, h) AS (
+    SELECT 0, s, idx, n, leaf FROM numbered
+    UNION ALL
+    SELECT level + 1, s, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx))
+    FROM low WHERE n > 1 GROUP BY level, s, idx // 3, n),
+tops AS (SELECT s, h AS subroot, row_number() OVER (ORDER BY s) - 1 AS place, count(*) OVER () AS trees FROM low WHERE n = 1),
+high(level, idx, n, h) AS (
+    SELECT 0, place, trees, subroot FROM tops
+    UNION ALL
+    SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx))
+    FROM high WHERE n > 1 GROUP BY level, idx // 3, n),
+low_steps AS (
+    SELECT d.doc_id, t.level,
+        coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx < d.idx // (3 ** t.level)::BIGINT), '') AS l,
+        coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx > d.idx // (3 ** t.level)::BIGINT), '') AS r
+    FROM numbered d JOIN low t ON t.s = d.s AND t.n > 1
+        AND t.idx // 3 = d.idx // (3 ** (t.level + 1))::BIGINT
+    GROUP BY d.doc_id, d.idx, t.level),
+high_steps AS (
+    SELECT g.s, 1000 + t.level AS level,
+        coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx < g.place // (3 ** t.level)::BIGINT), '') AS l,
+        coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx > g.place // (3 ** t.level)::BIGINT), '') AS r
+    FROM tops g JOIN high t ON t.n > 1 AND t.idx // 3 = g.place // (3 ** (t.level + 1))::BIGINT
+    GROUP BY g.s, g.place, t.level),
+steps AS (
+    SELECT doc_id, level, l, r FROM low_steps
+    UNION ALL
+    SELECT d.doc_id, level, l, r FROM numbered d JOIN high_steps USING (s)),
+proofs AS (
+    SELECT doc_id, string_agg(l || r, '' ORDER BY level) AS proof, list(l || '|' || r ORDER BY level) AS path
+    FROM steps GROUP BY doc_id),
+whole AS (
+    SELECT doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root,
+        sha256(coalesce(proof, '')) AS proof_sha256,
+        list_reduce(list_concat([now], coalesce(path, [])),
+            lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root
+    FROM numbered JOIN tops USING (s) LEFT JOIN proofs USING (doc_id))
+SELECT *, folded_root = root AS verified FROM whole
 """,
 }

@@ -11,12 +11,14 @@ from .blob_ledger import listed, scan_history
 from .common import table
 from .conflict_packing import PackRules, pack_texts
 from .language_rank import RankRules, held_out, identify, learn
+from .merkle_manifest import digest, encoded, folded, manifest, siblings
 from .ordinal_quality import OrdinalRules, fit, grade_texts, rated_rows
 from .prefix_groups import jaccard_join
 from .run_index import remove_repeats
 from .stream_pieces import decode_ids, encode_texts
 from .target_ratio import RatioRules, quality_rules
 from .url_trie import Entry, filter_urls
+from .window_repeats import remove_copied_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +114,24 @@ def op10_stream_pieces(spark, sf):
     back = decode_ids(ids, PIECES)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query
+def op11_window_repeats(spark, sf):
+    """Every document without the words of 13-word windows that a document of smaller id has too."""
+    out = remove_copied_windows(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    """Leaf, subroot, root and proof of every document, and whether it still has them after tampering."""
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    docs = table(spark, sf, "documents").select(*columns)
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    now = digest(encoded(*[F.col(c) for c in columns[:-1]], text))
+    out = manifest(docs, columns, also={"now": now})
+    back = folded(F.col("now"), F.col("path"))
+    return out.select("doc_id", "leaf", "subroot", "root", digest(siblings(F.col("path"))).alias("proof_sha256"),
+                      back.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -26,6 +26,32 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> SparkSession:
+    """Spark removes the shuffle files of every query that has ended, so only those of the running one take disk."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
+
+
+class Scratch:
+    """Intermediate tables of one job; each can be removed as soon as the tables made from it are written."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.tables = spark, folder(spark, name), 0
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        path, schema = f"{self.root}/{self.tables}", df.schema
+        self.tables += 1
+        df.write.parquet(path)
+        again = self.spark.read.schema(schema).parquet(path)
+        again._kept_in = path
+        return again
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._kept_in)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected(edges: DataFrame, rounds: int = 60, partly: bool = False) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b); root is the smallest node it reaches.
 
