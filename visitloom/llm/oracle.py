@@ -44,6 +44,44 @@ per AS (
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
     sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN per USING (doc_id)
+""",
+    "op12_phrase_graph": r"""
+WITH pieces AS (
+    SELECT lang, row_number() OVER () AS piece, p FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+cut AS (SELECT lang, piece, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+words AS (SELECT lang, piece, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM cut),
+ahead AS (
+    SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4
+    FROM words WINDOW o AS (PARTITION BY piece ORDER BY i)),
+grams AS (
+    SELECT lang, 1 AS k, w1 AS g FROM ahead
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM ahead WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM ahead WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM ahead WHERE w4 IS NOT NULL),
+counts AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g HAVING count(*) >= 30),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+phrases AS (SELECT lang, k, g, a, string_split(g, ' ') AS ws FROM counts WHERE k >= 2),
+cuts AS (
+    SELECT p.lang, p.g, p.k, p.a, c.cut, x.a AS l, y.a AS r, (2000000::HUGEINT * p.a) // (x.a + y.a) AS score
+    FROM phrases p JOIN (VALUES (1), (2), (3)) c(cut) ON c.cut < p.k
+    JOIN counts x ON x.lang = p.lang AND x.g = array_to_string(p.ws[1:c.cut], ' ')
+    JOIN counts y ON y.lang = p.lang AND y.g = array_to_string(p.ws[c.cut + 1:], ' ')),
+best AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS pick FROM cuts) WHERE pick = 1),
+subs AS (
+    SELECT p.lang, array_to_string(p.ws[s.f:s.f + s.size - 1], ' ') AS g, max(p.a) AS longer
+    FROM phrases p JOIN (VALUES (1, 2), (2, 2), (3, 2), (1, 3), (2, 3)) s(f, size)
+        ON s.size < p.k AND s.f + s.size - 1 <= p.k
+    GROUP BY ALL),
+alive AS (
+    SELECT b.* FROM best b LEFT JOIN subs s ON s.lang = b.lang AND s.g = b.g
+    WHERE s.longer IS NULL OR 100 * s.longer < 80 * b.a),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM alive)
+SELECT q.lang, rank, g AS phrase, a, q.l, q.r, n, score::BIGINT AS score
+FROM ranked q JOIN totals t ON t.lang = q.lang WHERE rank <= 2000
 """,
     "op13_merkle_manifest": r"""
 WITH RECURSIVE parts AS (

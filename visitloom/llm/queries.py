@@ -13,6 +13,7 @@ from .conflict_packing import PackRules, pack_texts
 from .language_rank import RankRules, held_out, identify, learn
 from .merkle_manifest import digest, encoded, folded, manifest, siblings
 from .ordinal_quality import OrdinalRules, fit, grade_texts, rated_rows
+from .phrase_graph import mine_phrases
 from .prefix_groups import jaccard_join
 from .run_index import remove_repeats
 from .stream_pieces import decode_ids, encode_texts
@@ -123,6 +124,12 @@ def op11_window_repeats(spark, sf):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op12_phrase_graph(spark, sf):
+    """The best phrases of two to four words of every language."""
+    return mine_phrases(table(spark, sf, "documents").select("text", "lang"))[0]
+
+
 @query
 def op13_merkle_manifest(spark, sf):
     """Leaf, subroot, root and proof of every document, and whether it still has them after tampering."""
