@@ -17,6 +17,11 @@ def require_columns(df: DataFrame, names: Iterable[str], who: str) -> None:
         raise DataError(f"{who} needs columns {absent}; found {df.columns}")
 
 
+def quoted(name: str) -> Column:
+    """A column of any name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_missing(col: Column) -> Column:
     """True for NULL and for every spelling of a missing value."""
     return col.isNull() | F.lower(F.trim(col.cast("string"))).isin(*MISSING_TOKENS)

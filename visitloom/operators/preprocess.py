@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions import missing_to_null, number_or_null
+from ..functions import missing_to_null, number_or_null, quoted
+from ..sources.session import written
 from ..spec import MISSING_LABEL, DataError, VisitSpec
-from .quantiles import exact_quantiles
+from .quantiles import column_quantiles
 
 MAX_CATEGORIES = 20_000
 
@@ -25,24 +26,25 @@ def split_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> tuple[list[st
     return numeric, [f.name for f in fields if f.name not in numeric]
 
 
-def summarise_long(long: DataFrame, feature: str = "feature", value: str = "value", *,
-                   features: list[str], **kw) -> DataFrame:
-    """Median, mean and scale per feature of a ``feature, value`` table; 0, 0, 1 without values."""
-    found = exact_quantiles(long, [feature], value, {"median": 0.5}, moments=True, **kw)
-    named = long.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    return named.join(found, "feature", "left").select(   # a row per feature on both sides
-        "feature", F.coalesce("median", F.lit(0.0)).alias("median"),
+def column_statistics(table: DataFrame, columns: list[str], **kw) -> DataFrame:
+    """``feature, median, mean, std`` per column of a stored table; 0, 0, 1 without values; std 0 becomes 1."""
+    found = column_quantiles(table, columns, {"median": 0.5}, **kw)
+    return found.select(
+        F.col("column").alias("feature"), F.coalesce("median", F.lit(0.0)).alias("median"),
         F.coalesce("mean", F.lit(0.0)).alias("mean"),
         F.when(F.col("std") > 0, F.col("std")).otherwise(1.0).alias("std"))
 
 
-def fit_numeric(train: DataFrame, columns: list[str], **kw) -> DataFrame:
-    """``feature, median, mean, std``; 0, 0, 1 for a feature without values; std 0 becomes 1."""
-    long = train.select(*[
-        (F.col(c) if c in train.columns else F.lit(None)).cast("double").alias(c) for c in columns]
-    ).unpivot([], columns, "feature", "value")
-    # A feature has at most as many distinct values as the table has rows.
-    return summarise_long(long, features=columns, at_most=train.select(F.lit(1)), **kw)
+def fit_numeric(train: DataFrame, columns: list[str], *, stored: bool = False, **kw) -> DataFrame:
+    """``feature, median, mean, std``; 0, 0, 1 for a feature without values; std 0 becomes 1.
+
+    The columns are written once, as they are read several times, unless ``train`` is ``stored`` already.
+    """
+    present = [c for c in columns if c in train.columns]
+    rows = train.select(*[quoted(c).cast("double").alias(c) for c in present])
+    rows = rows if stored or not present else written(rows, "numeric")
+    absent = {c: F.lit(None).cast("double") for c in columns if c not in present}
+    return column_statistics(rows.withColumns(absent) if absent else rows, columns, **kw)
 
 
 def fit_categories(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,7 +70,7 @@ class Preprocessor:
     def fit(cls, train: DataFrame, numeric: list[str], categorical: list[str], **kw) -> "Preprocessor":
         train = train.select(*[c for c in (*numeric, *categorical) if c in train.columns]).persist()
         try:   # read for the count, the statistics and the categories
-            stats = {r["feature"]: r for r in fit_numeric(train, numeric, **kw).collect()} if numeric else {}
+            stats = {r["feature"]: r for r in fit_numeric(train, numeric, stored=True, **kw).collect()} if numeric else {}
             rows = (fit_categories(train, categorical).limit(MAX_CATEGORIES + 1).collect()
                     if categorical else [])
         finally:
@@ -122,12 +124,10 @@ class Preprocessor:
 def fit_sequence_stats(packed: DataFrame, spec: VisitSpec, names: list[str], **kw) -> DataFrame:
     """``feature, median, mean, std`` of the numeric slots over real steps."""
     numeric = [n for n in names if n in spec.numeric]
-    long = (packed.select(F.posexplode("X").alias("_step", "_v"), "mask")
-            .filter(F.get("mask", F.col("_step")) == 1)
-            .select(*[F.get("_v", F.lit(names.index(n))).alias(n) for n in numeric])
-            .unpivot([], numeric, "feature", "value"))
-    return summarise_long(long, features=numeric, at_most=packed.select(
-        F.explode("mask").alias("real")), **kw)
+    steps = (packed.select(F.posexplode("X").alias("_step", "_v"), "mask")
+             .filter(F.get("mask", F.col("_step")) == 1)
+             .select(*[F.get("_v", F.lit(names.index(n))).alias(n) for n in numeric]))
+    return column_statistics(written(steps, "steps"), numeric, **kw)
 
 
 def apply_sequence_stats(packed: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import missing_to_null, number_or_null
+from ..sources.session import written
 from ..spec import VisitSpec
 from .ordered import first_rows
 from .quality import duplicate_groups
-from .quantiles import exact_quantiles
+from .quantiles import column_quantiles
 
 
 def visits_per_entity(df: DataFrame, spec: VisitSpec) -> DataFrame:
@@ -17,28 +18,29 @@ def visits_per_entity(df: DataFrame, spec: VisitSpec) -> DataFrame:
 
 def dataset_counts(df: DataFrame, spec: VisitSpec, **kw) -> DataFrame:
     """One row: rows, columns, entities, visits per entity, date range."""
-    per = df.groupBy(spec.entity).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(spec.time).alias("_lo"), F.max(spec.time).alias("_hi"))
+    per = written(df.groupBy(spec.entity).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(spec.time).alias("_lo"), F.max(spec.time).alias("_hi")), "per-entity")
     one = per.groupBy().agg(
         F.sum("_n").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
         F.count(F.lit(1)).alias("n_entities"), F.min("_n").alias("visits_min"),
         F.max("_n").alias("visits_max"), F.round(F.avg("_n"), 2).alias("visits_mean"),
-        F.min("_lo").alias("date_min"), F.max("_hi").alias("date_max")).withColumn("_k", F.lit(1))
-    median = exact_quantiles(per.withColumn("_k", F.lit(1)), ["_k"], "_n", {"visits_median": 0.5}, **kw)
-    return one.join(median, "_k").drop("_k")   # one row each
+        F.min("_lo").alias("date_min"), F.max("_hi").alias("date_max"))
+    median = column_quantiles(per, ["_n"], {"median": 0.5}, **kw).first()["median"]     # one row
+    return one.withColumn("visits_median", F.lit(median).cast("double"))
+
 
+def numeric_summary(df: DataFrame, spec: VisitSpec, *, stored: bool = False, **kw) -> DataFrame:
+    """Count, missing, mean, std, min, quartiles and max per numeric column that has values.
 
-def numeric_summary(df: DataFrame, spec: VisitSpec, **kw) -> DataFrame:
-    """Count, missing, mean, std, min, quartiles and max per numeric column that has values."""
+    The columns are written once, as they are read several times, unless ``df`` is ``stored`` already.
+    """
     present = [c for c in spec.numeric if c in df.columns]
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in present]).unpivot(
-        [], present, "column", "value")
-    nulls = df.groupBy().agg(F.count(F.lit(1)).alias("_n"), *[
-        F.count_if(number_or_null(F.col(c)).isNull()).alias(c) for c in present]).unpivot(["_n"], present, "column", "missing")
-    found = exact_quantiles(long, ["column"], "value", {"p25": .25, "median": .5, "p75": .75},
-                            moments=True, at_most=df.select(F.lit(1)), **kw)
-    return found.join(nulls, "column").select(   # a row per column on both sides
-        "column", "count", "missing", F.round(F.col("missing") / F.col("_n"), 4).alias("missing_rate"),
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in present])
+    rows = rows if stored or not present else written(rows, "numeric")
+    found = column_quantiles(rows, present, {"p25": .25, "median": .5, "p75": .75}, **kw).filter("count > 0")
+    missing = F.col("n_rows") - F.col("count")
+    return found.select(
+        "column", "count", missing.alias("missing"), F.round(missing / F.col("n_rows"), 4).alias("missing_rate"),
         *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "median", "p75", "max")])
 
 

@@ -1,17 +1,20 @@
-"""Exact quantiles with linear interpolation, for groups of any size.
+"""Exact quantiles with linear interpolation, for groups and columns of any size.
 
-``percentile`` keeps every distinct value of a group in one buffer.  Here the
-values are counted first (with map-side combine), the counts are summed in
-value order by :func:`running`, and the wanted ranks are picked out.
+``percentile`` keeps every distinct value of a group in one buffer.  For groups
+(:func:`exact_quantiles`) the values are counted first (with map-side combine), the counts
+are summed in value order by :func:`running`, and the wanted ranks are picked out.  For whole columns
+(:func:`column_quantiles`) the ranks are bracketed, and only values inside the brackets are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import number_or_null
+from ..functions import number_or_null, quoted
 from .ordered import ROWS_PER_TASK, running
 
 
@@ -54,3 +57,115 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     extra = [n.alias("count"), "mean", F.sqrt(F.col("_q_squares") / F.when(n > 1, n - 1)).alias("std"),
              "min", "max"] if moments else []
     return picked.select(*keys, *[blend(q, p) for q, p in probs.items()], *extra)
+
+
+@dataclass
+class _Bracket:
+    """Values ``lo`` to ``hi`` of a column, in which the wanted ranks are; ``below`` values are smaller."""
+
+    column: int
+    prob: str
+    first: int
+    last: int
+    share: float
+    lo: float
+    hi: float
+    below: int = 0
+    inside: int = 0
+
+    def holds(self) -> bool:
+        return self.below <= self.first and self.last < self.below + self.inside
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float], *, accuracy: int = 2000,
+                     enough: int = 200_000) -> DataFrame:
+    """Exact quantiles, count, mean, sample std, min and max of many columns: a row per column, NULL and NaN left out.
+
+    A selection, not a sort.  One pass makes a sketch per column, whose error bounds bracket every wanted rank between
+    two values.  The next counts what is below and inside each bracket (and sums squares around the means).  While
+    more than ``enough`` values are inside, they are sketched again and the bracket shrinks by about ``accuracy / 4``.
+    Only then are values shuffled: those inside the brackets, counted by value first.  All other passes send
+    one row per task.  ``df`` is read three times or more, so it should be a stored table.  ``accuracy`` and ``enough`` do not
+    change the answer.
+    """
+    spark, names = df.sparkSession, list(columns)
+    schema = ("column string, n_rows long, count long, mean double, std double, min double, max double, "
+              + ", ".join(f"{p} double" for p in probs))
+    x = [number_or_null(quoted(c)) for c in names]
+    slack = 2.0 / accuracy
+
+    def sketch(value: Column, shares: Sequence[float]) -> Column:
+        near = [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
+        return F.percentile_approx(value, near, accuracy)
+
+    first = df.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+        sketch(v, list(probs.values())).alias("near")).alias(f"s{i}") for i, v in enumerate(x)]).first()
+    stats = [first[f"s{i}"] for i in range(len(names))]
+    brackets = []
+    for i, s in enumerate(stats):
+        for at, (name, p) in enumerate(probs.items()):
+            if s["n"]:
+                h = (s["n"] - 1) * p
+                brackets.append(_Bracket(i, name, math.floor(h), math.ceil(h), h - math.floor(h),
+                                         s["near"][2 * at], s["near"][2 * at + 1]))
+    outer = {(b.column, b.prob): replace(b, lo=stats[b.column]["min"], hi=stats[b.column]["max"],
+                                         inside=stats[b.column]["n"]) for b in brackets}
+
+    def counted(todo: list[_Bracket], extra: list[Column]):
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *extra, *[F.struct(
+            F.count_if(x[b.column] < b.lo).alias("below"),
+            F.count_if((x[b.column] >= b.lo) & (x[b.column] <= b.hi)).alias("inside")).alias(f"b{j}")
+            for j, b in enumerate(todo)]).first()
+        for j, b in enumerate(todo):
+            b.below, b.inside = row[f"b{j}"]["below"], row[f"b{j}"]["inside"]
+        return row
+
+    squares = [F.sum(F.pow(v - F.lit(s["mean"]), 2)).alias(f"q{i}") for i, (v, s) in enumerate(zip(x, stats)) if s["n"] > 1]
+    row = counted(brackets, squares)
+    std = [math.sqrt(row[f"q{i}"] / (s["n"] - 1)) if s["n"] > 1 else None for i, s in enumerate(stats)]
+    brackets = [b if b.holds() else outer[b.column, b.prob] for b in brackets]
+    while wide := [j for j, b in enumerate(brackets) if b.inside > enough and b.lo < b.hi]:
+        near = df.agg(*[sketch(F.when((x[b.column] >= b.lo) & (x[b.column] <= b.hi), x[b.column]),
+                               [(r - b.below) / max(1, b.inside - 1) for r in (b.first, b.last)]).alias(f"b{j}")
+                        for j, b in ((j, brackets[j]) for j in wide)]).first()
+        tighter = [replace(brackets[j], lo=near[f"b{j}"][0], hi=near[f"b{j}"][-1]) for j in wide]
+        counted(tighter, [])
+        moved = False
+        for j, b in zip(wide, tighter):
+            if b.holds() and b.inside < brackets[j].inside:
+                moved |= 2 * b.inside <= brackets[j].inside
+                brackets[j] = b
+        if not moved:       # what is left inside are repeats of few values
+            break
+    found = {(b.column, b.prob): b.lo for b in brackets if b.lo == b.hi}
+    open_ = [(j, b) for j, b in enumerate(brackets) if b.lo < b.hi]
+    if open_:
+        for r in _picked(bracketed_values(df, x, open_), open_).collect():      # a row per bracket
+            b = brackets[r["bracket"]]
+            found[b.column, b.prob] = r["lo"] + (r["hi"] - r["lo"]) * b.share if r["hi"] > r["lo"] else r["lo"]
+    return spark.createDataFrame([
+        (c, first["rows"], s["n"], s["mean"], std[i], s["min"], s["max"], *[found.get((i, p)) for p in probs])
+        for i, (c, s) in enumerate(zip(names, stats))], schema)
+
+
+def bracketed_values(df: DataFrame, x: Sequence[Column], brackets: Sequence[tuple[int, _Bracket]]) -> DataFrame:
+    """``bracket, value, n``: how often each value inside a bracket occurs; the only cells that are shuffled."""
+    cells = F.array(*[F.when((x[b.column] >= b.lo) & (x[b.column] <= b.hi), F.struct(
+        F.lit(j).alias("bracket"), x[b.column].alias("value"))) for j, b in brackets])
+    inside = df.select(F.inline(F.array_compact(cells)))
+    return inside.groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _picked(values: DataFrame, brackets: Sequence[tuple[int, _Bracket]]) -> DataFrame:
+    """The values at the first and the last wanted rank of every bracket."""
+    order = Window.partitionBy("bracket").orderBy("value")      # a bracket holds few distinct values by now
+    ahead = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.broadcast(values.sparkSession.createDataFrame(     # as many rows as brackets
+        [(j, b.first - b.below, b.last - b.below) for j, b in brackets], "bracket int, first long, last long"))
+    placed = values.withColumn("ahead", ahead).join(ranks, "bracket")
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("ahead") <= F.col(rank)) & (F.col(rank) < F.col("ahead") + F.col("n")), F.col("value")))
+
+    return placed.groupBy("bracket").agg(at("first").alias("lo"), at("last").alias("hi"))

@@ -11,7 +11,9 @@ from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import quoted
 
 WIDE, SEQUENCE = "wide", "sequence"
 MAX_DEPTH = 30          # of Spark ML trees
@@ -22,10 +24,6 @@ REPRESENTATION = {
 }
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def assemble(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     """``keep`` and a dense ``features`` vector of the named columns."""
     return df.select(*keep, array_to_vector(F.array(*[quoted(n).cast("double") for n in names])).alias("features"))
