@@ -319,7 +319,19 @@ ORACLE |= {
         + """, CAST(status_latest = 'F' AS DOUBLE) AS status_latest__F, CAST(status_latest = 'O' AS DOUBLE)
         AS status_latest__O, CAST(status_latest = 'P' AS DOUBLE) AS status_latest__P FROM wide"""
         + "".join(f" CROSS JOIN f_{c}" for c in SCALED),
+    "transform_wide_full": STRATIFIED + ", " + RANKED + ", wide AS (" + RAW + ")"
+        + ", train AS (SELECT * FROM wide WHERE entity_id IN (SELECT entity_id FROM split WHERE split = 'train'))"
+        + ", f AS (" + " UNION ALL ".join(fit("train", c) for c in FEATURES) + "), cells AS ("
+        + " UNION ALL ".join(f"SELECT entity_id, '{c}' AS name, CAST({c} AS DOUBLE) AS x FROM wide" for c in FEATURES)
+        + """), scaled AS (SELECT entity_id, name, ROUND((COALESCE(x, median) - mean) / std, 6) AS value
+        FROM cells JOIN f ON f.feature = name) SELECT * FROM scaled WHERE value <> 0"""
+        + "".join(f""" UNION ALL SELECT entity_id, '{c}__' || {c}, 1.0::DOUBLE FROM wide
+        WHERE {c} IN (SELECT {c} FROM train)""" for c in ("status_latest", "priority_latest")),
     "seq_fit_stats": "WITH " + STEPS + stats(" UNION ALL ".join(fit("steps", c) for c in NUMERIC)),
+    "transform_seq_full": SEQ + ", f AS (" + " UNION ALL ".join(fit("steps", c) for c in NUMERIC) + ")"
+        + f", cells AS ({NUM_CELLS})"
+        + """ SELECT entity_id, step, feature, ROUND((COALESCE(value, median) - mean) / std, 6) AS value
+        FROM cells JOIN f USING (feature) UNION ALL SELECT * FROM (""" + one_hot(BOTH) + ")",
     "transform_seq": "WITH " + STEPS + ", f AS (" + " UNION ALL ".join(fit("steps", c) for c in NUMERIC) + ")"
         + f", cells AS ({NUM_CELLS}), n AS (SELECT DISTINCT entity_id, LEAST(nv, 4) AS length FROM ranked)"
         + """ SELECT entity_id, step, 1 AS is_real, feature, ROUND((COALESCE(value, median) - mean) / std, 6) AS value
@@ -652,3 +664,54 @@ ORACLE |= {
         + "".join(f" UNION ALL SELECT '{c}_{k}', '{c.replace('_', ' ').title()} {text}'"
                   for c in NUMERIC for k, text in NUMERIC_NAMES.items()),
 }
+
+# --- the store, the real artifact and undefined scores ----------------------------------------------
+
+WEIGHTS = {"amount_latest": 0.8, "amount_delta": -0.3, "quantity_mean": 0.5, "n_obs_visits": -0.6}
+GAPPY = "WITH " + PRED[:-1] + " WHERE l.doc_id % 10 <> 0 AND l.doc_id % 7 <> 0)"
+
+
+def artifact_score(source: str) -> str:
+    """CTEs ``fs`` (statistics of all wide rows) and ``scored`` (entity_id, n, p) of the rows of ``source``."""
+    raw = [x.replace("ROUND(", "(").replace(", 6) AS", ") AS") for c in ("amount", "quantity") for x in summaries(c)]
+    wide = grouped("{0}", raw, CATS, ["COUNT(*) AS n_obs_visits"])
+    return (", base AS (" + wide.format("ranked") + "), fs AS (SELECT * FROM ("
+            + " UNION ALL ".join(fit("base", c) for c in WEIGHTS) + ")), own AS (" + wide.format(source) + ")"
+            + ", z AS (SELECT entity_id, n_obs_visits, 0.1 " + "".join(
+                f" + {w} * (COALESCE({c}, (SELECT median FROM fs WHERE feature = '{c}')) - (SELECT mean FROM fs WHERE"
+                f" feature = '{c}')) / (SELECT std FROM fs WHERE feature = '{c}')" for c, w in WEIGHTS.items())
+            + """ + CASE status_latest WHEN 'F' THEN 0.4 WHEN 'P' THEN -0.9 ELSE 0.0 END
+            + CASE priority_latest WHEN '1-URGENT' THEN 0.25 ELSE 0.0 END AS z FROM own)
+            , scored AS (SELECT entity_id, CAST(n_obs_visits AS INTEGER) AS n_visits, 1 / (1 + EXP(-z)) AS p FROM z)""")
+
+
+ORACLE |= {
+    "store_changes": ORACLE["apply_visit_changes"],
+    "store_rejected": ORACLE["rejected_changes"],
+    "store_history": ORACLE["visit_history"],
+    "confusion_undefined_scores": GAPPY + f', m AS (SELECT source, {cells(0.3)} FROM pred GROUP BY source)'
+        + f' SELECT source, tp AS "TP", fp AS "FP", tn AS "TN", fn AS "FN", {rate_columns()} FROM m',
+    "brier_undefined_scores": GAPPY + " SELECT lang, ROUND(AVG((y - p) * (y - p)), 6) AS brier FROM pred GROUP BY lang",
+    "f1_undefined_scores": F1.format(key="lang, ").replace("WITH " + PRED, GAPPY) + """ SELECT lang, threshold, ROUND(f1, 6) AS f1
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY f1 DESC NULLS LAST, threshold) AS r FROM f) WHERE r = 1""",
+    "score_batch_fixed": "WITH " + RANKED + artifact_score("ranked") + """ SELECT entity_id, n_visits, ROUND(p, 6) AS p,
+        CAST(p >= 0.5 AS INTEGER) AS prediction FROM scored""",
+    "score_selection_fixed": "WITH " + RANKED + """, asked AS (SELECT entity_id AS request,
+            CASE entity_id % 11 WHEN 3 THEN -entity_id WHEN 4 THEN entity_id + 1 ELSE entity_id END AS who,
+            CASE entity_id % 11 WHEN 0 THEN [] WHEN 1 THEN list(-visit_id) WHEN 2 THEN list(visit_id)
+              ELSE (list(visit_id ORDER BY visit_id))[1:4] END AS ids FROM visits GROUP BY entity_id)
+        , items AS (SELECT request, who, unnest(ids) AS visit_id FROM asked)
+        , met AS (SELECT i.request, i.who, i.visit_id AS wanted, v.* FROM items i LEFT JOIN visits v ON v.visit_id = i.visit_id)
+        , per AS (SELECT request, BOOL_OR(entity_id IS NULL) AS lost, BOOL_OR(entity_id <> who) AS foreign_ FROM met GROUP BY request)
+        , judged AS (SELECT a.request, a.who, len(ids) AS n, CASE WHEN len(ids) = 0 THEN 'empty_selection'
+              WHEN who NOT IN (SELECT c_custkey FROM customer) THEN 'unknown_patient' WHEN lost THEN 'unknown_visit'
+              WHEN foreign_ THEN 'not_owner' WHEN len(ids) > 4 THEN 'too_many' ELSE 'ok' END AS status
+            FROM asked a LEFT JOIN per p ON p.request = a.request)
+        , chosen AS (SELECT m.* REPLACE (m.request AS entity_id), ROW_NUMBER() OVER (PARTITION BY m.request
+              ORDER BY visit_date, visit_id) AS rn FROM met m JOIN judged j ON j.request = m.request WHERE j.status = 'ok')
+        , listed AS (SELECT request, string_agg(visit_id, ',' ORDER BY rn) AS visit_ids,
+              string_agg(CAST(visit_date AS VARCHAR), ',' ORDER BY rn) AS dates FROM chosen GROUP BY request)"""
+        + artifact_score("chosen") + """ SELECT j.request, CAST(who AS VARCHAR) AS entity_id, CAST(n AS INTEGER) AS n_visits, status,
+        visit_ids, dates, ROUND(p, 6) AS p, CAST(p >= 0.5 AS INTEGER) AS prediction
+        FROM judged j LEFT JOIN listed l ON l.request = j.request LEFT JOIN scored s ON s.entity_id = j.request""",
+}

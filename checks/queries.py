@@ -16,11 +16,14 @@ from visitloom.operators import (
     calibration, cohort as co, guards, metrics as me, perturb as pe, preprocess as pp, profile as pr,
     quality as qu, sequence as se, splits as sp, stability as st, visit_table as vt, wide as wi,
 )
+from visitloom.operators.encode import SparseEncoder
 from visitloom.operators.names import readable_names
 from visitloom.plans import explain as ex, models as mo, search as sr, training as tr
 from visitloom.plans.robustness import robustness_sweep
+from visitloom.plans.selection import score_selection
 from visitloom.sources import readers, sinks
 from visitloom.sources.session import shared_folder, tune
+from visitloom.sources.visit_store import VisitStore
 from visitloom.spec import CohortRules, Condition
 
 from . import tables as t
@@ -384,6 +387,17 @@ def transform_wide(spark, sf):
     return rounded(p.transform(w, ["entity_id"]))
 
 
+@query
+def transform_wide_full(spark, sf):
+    """All wide columns as sparse vectors, fitted on entities of the training split; entries that are not 0."""
+    w = wide_all(spark, sf)
+    numeric = [c for c, d in w.dtypes if c != "entity_id" and d != "string"]
+    split = sp.stratified_split(observed_targets(spark, sf)[1], N).filter("split = 'train'")
+    train = w.join(split.select("entity_id"), "entity_id", "left_semi")
+    encoder = SparseEncoder.fit(train, numeric, ["status_latest", "priority_latest"])
+    return rounded(encoder.cells(encoder.vectors(w, ["entity_id"]), ["entity_id"])).filter("value <> 0")
+
+
 @query
 def seq_fit_stats(spark, sf):
     x, names = packed(spark, sf)
@@ -397,6 +411,15 @@ def transform_seq(spark, sf):
     return rounded(se.unpack(done, N, names).filter("feature IN ('amount', 'quantity', 'n_lines', 'discount')"))
 
 
+@query
+def transform_seq_full(spark, sf):
+    """Every slot of the real steps, numbers imputed and scaled, with the vocabulary left as a table."""
+    v = t.visits(spark, sf)
+    x, names = se.sequences(v, N, se.vocabulary(v, N)), se.layout(v, N, vocab_of(spark, sf, v))
+    done = pp.apply_sequence_stats(x, pp.fit_sequence_stats(x, N, names), names)
+    return rounded(se.unpack(done, N, names).filter("is_real = 1").drop("is_real"))
+
+
 # --- metrics ---------------------------------------------------------------------
 
 @query
@@ -722,6 +745,34 @@ def select_visits(spark, sf):
     return texts(vt.select_visits(wanted, v, N, 10), "visit_date")
 
 
+def stored(spark, sf):
+    """The visits as a store of 16 buckets, and the store after the change log."""
+    v = t.visits(spark, sf).select("entity_id", "visit_id", "visit_date", "amount", "status", "priority")
+    before = VisitStore.create(shared_folder(spark, "store"), v, N, buckets=16)
+    return before, *before.apply(t.change_log(spark, sf))
+
+
+@query
+def store_changes(spark, sf):
+    """The change log applied to a store by whole buckets, read back from the newest version."""
+    after = stored(spark, sf)[1]
+    return rounded(texts(VisitStore.open(spark, after.root, N).read(), "visit_date"))
+
+
+@query
+def store_history(spark, sf):
+    """Stored visits of known patients in order, as they were in the first version."""
+    after = stored(spark, sf)[1]
+    v = VisitStore.open(spark, after.root, N, 1).read().select("entity_id", "visit_id", "visit_date", "amount")
+    patients = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"))
+    return rounded(texts(vt.visit_history(v, patients, N), "visit_date"))
+
+
+@query
+def store_rejected(spark, sf):
+    return stored(spark, sf)[2]
+
+
 # --- models (no SQL counterpart: iterative fits) ------------------------------------------------
 
 SMALL = {
@@ -904,6 +955,59 @@ def explanation_records_fixed(spark, sf):
                                   "readable_name", "contribution"))
 
 
+# --- the real artifact around a model with fixed coefficients ---------------------------------------
+
+class FixedModel:
+    """A classifier with given coefficients by name of the encoded feature, as Spark ML models transform."""
+
+    def __init__(self, names: list[str], intercept: float, weights: dict[str, float]):
+        self.intercept, self.terms = intercept, [(names.index(n), w) for n, w in weights.items()]
+
+    def transform(self, df):
+        x = vector_to_array("features")
+        z = sum((F.lit(w) * F.get(x, F.lit(i)) for i, w in self.terms), F.lit(self.intercept))
+        p = 1 / (1 + F.exp(-z))
+        return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+
+FIXED_WEIGHTS = {"amount_latest": 0.8, "amount_delta": -0.3, "quantity_mean": 0.5, "n_obs_visits": -0.6,
+                 "status_latest__F": 0.4, "status_latest__P": -0.9, "priority_latest__1-URGENT": 0.25}
+
+
+def fixed_artifact(spark, sf):
+    """An artifact whose preprocessing is fitted on all wide rows."""
+    shell = tr.fit_representation(wi.wide_features(t.visits(spark, sf), N), N, tr.WIDE, 4)
+    names = shell.preprocessor.output_names
+    return replace(shell, model=mo.FittedModel("fixed", FixedModel(names, 0.1, FIXED_WEIGHTS)))
+
+
+@query
+def score_batch_fixed(spark, sf):
+    """All visits of all entities through the artifact: wide rows, fitted encoding, score and class."""
+    return rounded(fixed_artifact(spark, sf).score(t.visits(spark, sf)))
+
+
+def score_requests(spark, sf):
+    """A request per entity for its last visits, and some that have to be refused for each reason."""
+    o = t.table(spark, sf, "orders")
+    e, i = F.col("o_custkey"), F.col("o_orderkey")
+    own = o.groupBy(e.alias("entity_id")).agg(F.array_sort(F.collect_list(i)).alias("ids"))
+    k = F.col("entity_id")
+    ids = (F.when(k % 11 == 0, F.array().cast("array<bigint>")).when(k % 11 == 1, F.transform("ids", lambda x: -x))
+           .when(k % 11 == 2, F.col("ids")).otherwise(F.slice("ids", 1, 4)))
+    who = F.when(k % 11 == 3, -k).when(k % 11 == 4, k + 1).otherwise(k)
+    return own.select(k.alias("request"), who.alias("entity_id"), ids.alias("visit_ids"))
+
+
+@query
+def score_selection_fixed(spark, sf):
+    """Requests for chosen visits with all statuses, the accepted ones scored through the artifact."""
+    patients = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"))
+    out = score_selection(fixed_artifact(spark, sf), score_requests(spark, sf), patients, t.visits(spark, sf))
+    return rounded(out.select("request", "entity_id", "n_visits", "status", F.array_join("visit_ids", ",").alias("visit_ids"),
+                              F.array_join(F.col("dates").cast("array<string>"), ",").alias("dates"), "p", "prediction"))
+
+
 # --- undefined values -----------------------------------------------------------------------------
 
 def gappy_predictions(spark, sf):
@@ -920,6 +1024,22 @@ def auroc_undefined_scores(spark, sf):
     return rounded(me.auroc(p, ["lang"]).join(me.auprc(p, ["lang"]), "lang"))
 
 
+@query
+def confusion_undefined_scores(spark, sf):
+    """Confusion counts and rates over the defined scores only."""
+    return rounded(me.threshold_rates(gappy_predictions(spark, sf), 0.3, ["source"]))
+
+
+@query
+def brier_undefined_scores(spark, sf):
+    return rounded(me.brier(gappy_predictions(spark, sf), ["lang"]))
+
+
+@query
+def f1_undefined_scores(spark, sf):
+    return rounded(me.best_f1_threshold(gappy_predictions(spark, sf), by=["lang"]))
+
+
 @query
 def undefined_scores(spark, sf):
     return me.undefined_scores(gappy_predictions(spark, sf), ["lang"])

@@ -20,12 +20,17 @@ F1_CANDIDATES = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5,
                  0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 
 
+def defined(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """Rows with a score, neither NULL nor NaN, and a label 0 or 1; all metrics are over these."""
+    return df.filter(number_or_null(F.col(p)).isNotNull() & F.col(y).isin(0, 1))
+
+
 def score_counts(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
     """Positives and negatives per group and distinct score; a NULL or NaN score is no score and is left out.
 
     ``undefined_scores`` counts what is left out.
     """
-    return df.filter(number_or_null(F.col(p)).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("p")).agg(
+    return defined(df, y, p).groupBy(*by, F.col(p).cast("double").alias("p")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
 
 
@@ -121,10 +126,10 @@ def rates(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
 
 def confusion(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), y: str = "y",
               p: str = "p") -> DataFrame:
-    """TP, FP, TN and FN at ``p >= threshold``."""
+    """TP, FP, TN and FN at ``p >= threshold`` over the defined rows."""
     pos, neg = (F.col(y) == 1).cast("long"), (F.col(y) == 0).cast("long")
     counts = _confusion(threshold, pos, neg, F.col(p))
-    return df.groupBy(*by).agg(*[c.alias(n) for n, c in counts.items()])
+    return defined(df, y, p).groupBy(*by).agg(*[c.alias(n) for n, c in counts.items()])
 
 
 def threshold_rates(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), y: str = "y",
@@ -135,8 +140,8 @@ def threshold_rates(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = (
 
 
 def brier(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
-    """Mean squared error of the probabilities."""
-    return df.groupBy(*by).agg(F.avg(F.pow(F.col(y) - F.col(p), 2)).alias("brier"))
+    """Mean squared error of the probabilities over the defined rows."""
+    return defined(df, y, p).groupBy(*by).agg(F.avg(F.pow(F.col(y) - F.col(p), 2)).alias("brier"))
 
 
 def metric_row(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), y: str = "y", p: str = "p",
@@ -164,12 +169,13 @@ def f1_by_threshold(df: DataFrame, candidates: Sequence[float] = F1_CANDIDATES,
 
     A row adds to one count, the number of candidates it reaches, so the rows are
     read once and not once per candidate; the counts are then summed from the top.
+    Rows without a score or a label count nowhere.
     """
     levels = sorted(candidates)
     reached = F.lit(0)
     for c in levels:
         reached = reached + (F.col(p) >= c).cast("int")
-    per = df.groupBy(*by, reached.alias("_level")).agg(
+    per = defined(df, y, p).groupBy(*by, reached.alias("_level")).agg(
         F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
     pos, neg = F.col("_pos"), F.col("_neg")
     sums = per.groupBy(*by).agg(

@@ -133,17 +133,17 @@ def fit_sequence_stats(packed: DataFrame, spec: VisitSpec, names: list[str], **k
 def apply_sequence_stats(packed: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
     """Impute and scale numeric slots of real steps; padding becomes zero."""
     found = {r["feature"]: r for r in stats.collect()}   # one row per numeric slot
+    head = max((j + 1 for j, name in enumerate(names) if name in found), default=0)   # numbers come first
 
     def step(vector, index):
         cells = []
-        for j, name in enumerate(names):
+        for j, name in enumerate(names[:head]):
             x = F.get(vector, F.lit(j))
             if name in found:
                 r = found[name]
                 x = (F.coalesce(number_or_null(x), F.lit(r["median"])) - F.lit(r["mean"])) / F.lit(r["std"])
             cells.append(x)
-        real = F.array(*cells)
-        return F.when(F.get("mask", index) == 1, real).otherwise(
-            F.array_repeat(F.lit(0.0), len(names)))
+        real = F.concat(F.array(*cells).cast("array<double>"), F.slice(vector, head + 1, len(names)))
+        return F.when(F.get("mask", index) == 1, real).otherwise(F.transform(vector, lambda _: F.lit(0.0)))
 
     return packed.withColumn("X", F.transform("X", step))

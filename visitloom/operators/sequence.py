@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import missing_to_null, require_columns, sort_cuts
 from ..spec import MISSING_LABEL, UNKNOWN_LABEL, DataError, VisitSpec
 from .guards import refuse_leakage
 from .ordered import first_rows, positions
 
-MAX_SLOTS = 20_000   # width of one visit vector; a wider layout raises, nothing is dropped
+MAX_SLOTS = 20_000   # labels that the driver takes; a larger vocabulary stays a table
+Vocabulary = dict[str, list[str]] | DataFrame
 
 
 def vocabulary(train: DataFrame, spec: VisitSpec) -> DataFrame:
@@ -38,6 +39,16 @@ def collect_vocabulary(vocab: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+def slot_table(spark: SparkSession, vocab: Vocabulary) -> tuple[DataFrame, dict[str, int]]:
+    """``feature, slot, label`` and the number of slots of every feature (a row per feature reaches the driver)."""
+    if isinstance(vocab, dict):
+        rows = [(c, i, label) for c, labels in vocab.items() for i, label in enumerate(labels)]
+        return (spark.createDataFrame(rows, "feature string, slot int, label string"),
+                {c: len(labels) for c, labels in vocab.items()})
+    counts = vocab.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()
+    return vocab, {r["feature"]: r["n"] for r in counts}
+
+
 def layout(obs: DataFrame, spec: VisitSpec, vocab: dict[str, list[str]]) -> list[str]:
     """Feature names of one visit vector: numeric columns present, then ``cat__label`` blocks."""
     return [c for c in spec.numeric if c in obs.columns] + [
@@ -52,22 +63,28 @@ def recent_steps(obs: DataFrame, spec: VisitSpec, max_len: int) -> DataFrame:
                      sort_cuts(newest, spec.order), "step", total="length", bounded=True)
 
 
-def visit_vectors(obs: DataFrame, spec: VisitSpec, vocab: dict[str, list[str]], max_len: int = 4) -> DataFrame:
-    """``entity, step, length, vector`` for every real step; numeric NULLs stay NULL."""
+def visit_vectors(obs: DataFrame, spec: VisitSpec, vocab: Vocabulary, max_len: int = 4) -> DataFrame:
+    """``entity, step, length, vector`` for every real step; numeric NULLs stay NULL.
+
+    The slot of a label comes from a join with the vocabulary, so the plan does not grow with the labels.
+    """
     refuse_leakage(obs, spec, "visit_vectors")
     require_columns(obs, [spec.entity, *spec.order], "visit_vectors")
-    slots = [F.col(c).cast("double") for c in spec.numeric if c in obs.columns]
+    table, sizes = slot_table(obs.sparkSession, vocab)
+    parts = [F.array(*[F.col(c).cast("double") for c in spec.numeric if c in obs.columns]).cast("array<double>")]
     steps = recent_steps(obs, spec, max_len)
     for c in spec.categorical:
         if c not in obs.columns:
             continue
-        value = missing_to_null(F.col(c))
-        label = (F.when(value.isNull(), MISSING_LABEL)
-                 .when(value.isin(*vocab[c]), value).otherwise(UNKNOWN_LABEL))
-        steps = steps.withColumn(f"_label_{c}", label)
-        slots += [(F.col(f"_label_{c}") == v).cast("double") for v in vocab[c]]
+        labels = table.filter((F.col("feature") == c) & (F.col("slot") >= 2)).select(
+            F.col("label").alias(f"_label_{c}"), F.col("slot").alias(f"_slot_{c}"))
+        steps = steps.withColumn(f"_label_{c}", missing_to_null(F.col(c))).join(labels, f"_label_{c}", "left")
+        slot = F.when(F.col(f"_label_{c}").isNull(), 0).otherwise(F.coalesce(f"_slot_{c}", F.lit(1)))
+        zero = F.lit(0.0)
+        parts.append(F.concat(F.array_repeat(zero, slot), F.array(F.lit(1.0)),
+                              F.array_repeat(zero, F.lit(sizes[c] - 1) - slot)))
     return steps.select(spec.entity, F.col("step").cast("int").alias("step"),
-                        F.col("length").cast("int").alias("length"), F.array(*slots).alias("vector"))
+                        F.col("length").cast("int").alias("length"), F.concat(*parts).alias("vector"))
 
 
 def pack(vectors: DataFrame, spec: VisitSpec, width: int, max_len: int = 4) -> DataFrame:
@@ -81,9 +98,12 @@ def pack(vectors: DataFrame, spec: VisitSpec, width: int, max_len: int = 4) -> D
                  F.array_repeat(F.lit(0), F.lit(max_len) - F.col("length"))).alias("mask"), "length")
 
 
-def sequences(obs: DataFrame, spec: VisitSpec, vocab: dict[str, list[str]], max_len: int = 4) -> DataFrame:
+def sequences(obs: DataFrame, spec: VisitSpec, vocab: Vocabulary, max_len: int = 4) -> DataFrame:
     """Padded sequences of the most recent visits, left aligned in time order."""
-    return pack(visit_vectors(obs, spec, vocab, max_len), spec, len(layout(obs, spec, vocab)), max_len)
+    _, sizes = slot_table(obs.sparkSession, vocab)
+    width = sum(c in obs.columns for c in spec.numeric) + sum(
+        sizes[c] for c in spec.categorical if c in obs.columns)
+    return pack(visit_vectors(obs, spec, vocab, max_len), spec, width, max_len)
 
 
 def unpack(packed: DataFrame, spec: VisitSpec, names: list[str]) -> DataFrame:

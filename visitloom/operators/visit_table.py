@@ -106,10 +106,11 @@ def apply_changes(visits: DataFrame, log: DataFrame, spec: VisitSpec) -> Changes
     return Changes(untouched.unionByName(merged.select(*stored.columns)), rejected)
 
 
-def select_visits(selection: DataFrame, visits: DataFrame, spec: VisitSpec, window: int) -> DataFrame:
+def select_visits(selection: DataFrame, visits: DataFrame, spec: VisitSpec, window: int,
+                  patients: DataFrame | None = None) -> DataFrame:
     """Requested ``entity, visit_id`` pairs with a status per entity.
 
-    ``unknown_visit``, then ``not_owner``, then ``too_many`` when more than
+    ``unknown_patient`` where ``patients`` are given and lack the entity, ``unknown_visit``, then ``not_owner``, then ``too_many`` when more than
     ``window`` visits are asked for; a request is refused whole, never cut.
     """
     e, v = spec.entity, spec.visit_id
@@ -118,7 +119,11 @@ def select_visits(selection: DataFrame, visits: DataFrame, spec: VisitSpec, wind
     per = found.groupBy(e).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_owner").isNull()).alias("_unknown"),
         F.count_if(F.col("_owner") != F.col(e)).alias("_foreign"))
-    status = (F.when(F.col("_unknown") > 0, "unknown_visit").when(F.col("_foreign") > 0, "not_owner")
+    known = F.lit(True)
+    if patients is not None:
+        per = per.join(patients.select(F.col(e), F.lit(True).alias("_known")).distinct(), e, "left")
+        known = F.col("_known").isNotNull()
+    status = (F.when(~known, "unknown_patient").when(F.col("_unknown") > 0, "unknown_visit").when(F.col("_foreign") > 0, "not_owner")
               .when(F.col("_n") > window, "too_many").otherwise("ok"))
     return found.join(per.select(e, status.alias("status")), e).select(e, v, *[
         c for c in spec.order if c != v], "status")

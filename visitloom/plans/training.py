@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.cohort import Cohort, future_outcome_cohort
 from ..operators.metrics import best_f1_threshold, metric_row
-from ..operators.preprocess import Preprocessor, apply_sequence_stats, fit_sequence_stats
+from ..operators.encode import SparseEncoder
+from ..operators.preprocess import apply_sequence_stats, fit_sequence_stats
 from ..operators.sequence import collect_vocabulary, layout, sequences, vocabulary
 from ..operators.guards import strip_leakage
 from ..operators.splits import (
@@ -20,7 +21,7 @@ from ..sources.readers import complete_layout
 from ..sources.session import written
 from ..sources.sinks import write_best_config, write_leaderboard, write_record
 from ..spec import CohortRules, DataError, SplitSizes, VisitSpec
-from .models import REPRESENTATION, SEQUENCE, WIDE, FittedModel, assemble, fit
+from .models import REPRESENTATION, SEQUENCE, WIDE, FittedModel, fit
 from .search import SearchResult, Trial, run_search
 
 
@@ -40,7 +41,7 @@ class Artifact:
     window: int
     threshold: float
     model: FittedModel
-    preprocessor: Preprocessor | None = None
+    preprocessor: SparseEncoder | None = None
     vocab: dict[str, list[str]] | None = None
     sequence_stats: DataFrame | None = None
 
@@ -60,8 +61,7 @@ class Artifact:
         if self.representation == SEQUENCE:
             return self.features(table, bounded=True)
         keep = [self.spec.entity, "n_visits"]
-        done = self.preprocessor.transform(table.withColumn("n_visits", F.col(COUNT_COLUMN).cast("int")), keep)
-        return assemble(done, self.preprocessor.output_names, keep)
+        return self.preprocessor.vectors(table.withColumn("n_visits", F.col(COUNT_COLUMN).cast("int")), keep)
 
     def score(self, obs: DataFrame, *, bounded: bool = False) -> DataFrame:
         """``entity, n_visits, p, prediction``."""
@@ -86,7 +86,7 @@ class Artifact:
         return cls(
             spec, meta["representation"], meta["window"], meta["threshold"],
             FittedModel.load(f"{folder}/model", meta["family"], meta["params"]),
-            Preprocessor.read(spark, f"{folder}/preprocessor") if wide else None, meta["vocab"],
+            SparseEncoder.read(spark, f"{folder}/preprocessor") if wide else None, meta["vocab"],
             None if wide else spark.read.parquet(f"{folder}/sequence_stats"))
 
 
@@ -137,7 +137,7 @@ def fit_representation(table: DataFrame, spec: VisitSpec, representation: str, w
     """Fit preprocessing on training rows of :meth:`Prepared.table`; the model comes later."""
     shell = Artifact(spec, representation, window, threshold, model=None)
     if representation == WIDE:
-        return replace(shell, preprocessor=Preprocessor.fit(table, *wide_columns(spec, window)))
+        return replace(shell, preprocessor=SparseEncoder.fit(table, *wide_columns(spec, window)))
     vocab = collect_vocabulary(vocabulary(table, spec))
     seq = sequences(table, spec, vocab, window)
     return replace(shell, vocab=vocab, sequence_stats=fit_sequence_stats(seq, spec, layout(table, spec, vocab)))
