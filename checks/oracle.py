@@ -715,3 +715,49 @@ ORACLE |= {
         visit_ids, dates, ROUND(p, 6) AS p, CAST(p >= 0.5 AS INTEGER) AS prediction
         FROM judged j LEFT JOIN listed l ON l.request = j.request LEFT JOIN scored s ON s.entity_id = j.request""",
 }
+
+# --- refused records and untidy tables ----------------------------------------------------------------
+
+UNTIDY_CHECKED = "WITH " + CHECKED[:CHECKED.index(", dups AS")] + """, u AS (SELECT visit_id, target, bulk,
+  CASE WHEN visit_id % 37 = 0 THEN ' NaN ' ELSE CAST(entity_id AS VARCHAR) END AS entity_id,
+  CASE WHEN visit_id % 41 = 0 THEN 'no date' ELSE CAST(visit_date AS VARCHAR) END AS visit_date FROM checked)
+, dups AS (SELECT entity_id, visit_date, COUNT(*) AS n_rows FROM u GROUP BY ALL HAVING COUNT(*) > 1)
+, moved AS (SELECT DISTINCT entity_id FROM (SELECT entity_id, TRY_CAST(visit_date AS DATE) AS d,
+    MAX(TRY_CAST(visit_date AS DATE)) OVER (PARTITION BY entity_id ORDER BY visit_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM u) WHERE latest > d)
+, mixed AS (SELECT entity_id FROM u GROUP BY entity_id HAVING COUNT(DISTINCT target) > 1)"""
+BAD_NUMBER = "(o_orderkey % 13 = 0 OR o_orderkey % 29 = 0)"
+ORACLE |= {
+    "findings_untidy": UNTIDY_CHECKED + f""" SELECT 'warning' AS level, 'MISSING_EXPECTED_COL' AS code,
+        CAST(1 AS BIGINT) AS n, 'height' AS details
+        UNION ALL SELECT 'warning', 'LEAKAGE_CANDIDATE_COLUMNS', 2, 'target,outcome_later'
+        UNION ALL SELECT 'error', 'EMPTY_PATIENT_ID', COUNT(*), '' FROM u WHERE visit_id % 37 = 0
+        UNION ALL SELECT 'error', 'INVALID_VISIT_DATE', COUNT(*), '' FROM u WHERE visit_id % 41 = 0
+        UNION ALL SELECT 'warning', 'DUPLICATE_PATIENT_DATE', CAST(SUM(n_rows) AS BIGINT), '' FROM dups
+        UNION ALL SELECT 'warning', 'NON_CHRONOLOGICAL_ORDER', COUNT(*), {sample('moved')} FROM moved
+        UNION ALL SELECT 'error', 'NON_BINARY_TARGET', 1, '2'
+        UNION ALL SELECT 'warning', 'INCONSISTENT_TARGET', COUNT(*), {sample('mixed')} FROM mixed
+        UNION ALL SELECT 'warning', 'INVALID_BINARY_CATEGORICAL', 1, 'bulk'""",
+    "findings_missing_columns": "WITH " + CHECKED + f""" SELECT 'error' AS level, 'MISSING_REQUIRED_COL' AS code,
+        CAST(1 AS BIGINT) AS n, 'visit_date' AS details
+        UNION ALL SELECT 'warning', 'LEAKAGE_CANDIDATE_COLUMNS', 1, 'target'
+        UNION ALL SELECT 'error', 'NON_BINARY_TARGET', 1, '2'
+        UNION ALL SELECT 'error', 'INCONSISTENT_TARGET', COUNT(*), {sample('mixed')} FROM mixed
+        UNION ALL SELECT 'warning', 'INVALID_BINARY_CATEGORICAL', 1, 'bulk'""",
+    "load_csv_rejects": f"""SELECT * FROM (SELECT o_orderkey AS visit_id, concat_ws(',',
+            CASE WHEN o_orderkey % 23 = 0 THEN 'malformed' END, CASE WHEN o_orderkey % 17 = 0 THEN 'empty_id' END,
+            CASE WHEN o_orderkey % 19 = 0 THEN 'unreadable_date' END,
+            CASE WHEN {BAD_NUMBER} THEN 'unreadable_number:amount' END) AS reasons FROM orders) WHERE reasons <> ''""",
+    "load_csv_accepted": f"""SELECT o_orderkey AS visit_id, CAST(o_custkey AS VARCHAR) AS entity_id,
+        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS visit_date,
+        CASE WHEN NOT {BAD_NUMBER} THEN ROUND(o_totalprice, 6) END AS amount, o_orderstatus AS status FROM orders
+        WHERE o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AND o_orderkey % 23 <> 0""",
+    "trajectory_rejects": """SELECT * FROM (SELECT o_custkey AS entity_id, CASE WHEN o_custkey % 17 = 0 THEN 'no_visits' ELSE
+            concat_ws(',', CASE WHEN o_custkey % 7 = 0 AND BOOL_OR(o_orderkey % 2 = 0) THEN 'undated' END,
+              CASE WHEN o_custkey % 11 = 0 THEN 'forbidden' WHEN o_custkey % 13 = 0 THEN 'nobody' END) END AS reasons
+        FROM orders GROUP BY o_custkey) WHERE reasons <> ''""",
+    "trajectories_accepted": """SELECT CAST(o_custkey AS VARCHAR) AS entity_id, o_orderkey AS visit_id,
+        CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS visit_date, ROUND(o_totalprice, 6) AS amount, o_orderstatus AS status
+        FROM orders WHERE o_custkey % 17 <> 0 AND o_custkey % 11 <> 0 AND o_custkey % 13 <> 0
+        AND NOT (o_custkey % 7 = 0 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0))""",
+}

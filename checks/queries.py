@@ -577,6 +577,60 @@ def trajectories_json(spark, sf):
                                      "n_lines", "status", "priority"), "visit_date"))
 
 
+def spoiled_csv(spark, sf):
+    """Orders as CSV lines of which some lack an id, have a date that is none, a word for a number or a field too many."""
+    path, k = shared_folder(spark, "csv"), F.col("o_orderkey")
+    rows = t.table(spark, sf, "orders").select(
+        k.cast("string").alias("VISIT_ID"), F.when(k % 17 == 0, " nan ").otherwise(F.col("o_custkey").cast("string")).alias(" Entity_ID "),
+        F.when(k % 19 == 0, "31/31/1999").otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("visit_date"),
+        F.when(k % 13 == 0, "much").when(k % 29 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("amount"),
+        F.when(k % 23 == 0, "F,more").otherwise(F.col("o_orderstatus")).alias("status"))
+    rows.write.option("quote", "").csv(path, header=True)
+    return path
+
+
+@query
+def load_csv_rejects(spark, sf):
+    """Refused lines with every reason, by visit id."""
+    found = readers.read_csv_with_rejects(spark, spoiled_csv(spark, sf), N, numbers=True).rejects
+    visit = F.regexp_extract("record", r'^"?([0-9]+)', 1).cast("long")
+    return found.select(visit.alias("visit_id"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def load_csv_accepted(spark, sf):
+    """The typed rows of the other lines; words for numbers become NULL."""
+    rows = readers.read_csv_with_rejects(spark, spoiled_csv(spark, sf), N).rows
+    return rounded(texts(rows, "visit_date"))
+
+
+def spoiled_documents(spark, sf):
+    """A JSON document per entity; some are cut short, lack dates or an id, or name a future column."""
+    v, e = t.visits(spark, sf), F.col("entity_id")
+    day = F.when((e % 7 == 0) & (F.col("visit_id") % 2 == 0), "soon").otherwise(F.col("visit_date").cast("string"))
+    visit = F.struct(day.alias("visit_date"), "visit_id", "amount", "status")
+    late = F.struct(day.alias("visit_date"), "visit_id", "amount", "status", F.lit(None).cast("int").alias("target"))
+    docs = v.groupBy("entity_id").agg(F.collect_list(visit).alias("visits"), F.collect_list(late).alias("late"))
+    own = {"ignoreNullFields": "false"}
+    body = F.when(e % 11 == 0, F.to_json(F.struct("entity_id", F.col("late").alias("visits")), own)).when(
+        e % 13 == 0, F.to_json(F.struct("visits"), own)).otherwise(F.to_json(F.struct("entity_id", "visits"), own))
+    return docs.select("entity_id", F.when(e % 17 == 0, F.substring(body, 1, 30)).otherwise(body).alias("value"))
+
+
+@query
+def trajectory_rejects(spark, sf):
+    """Refused documents by entity, with every reason."""
+    found = readers.split_trajectories(spoiled_documents(spark, sf), "value", N, keep=("entity_id",)).rejects
+    return found.select("entity_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def trajectories_accepted(spark, sf):
+    """Visits of the other documents."""
+    rows = readers.split_trajectories(spoiled_documents(spark, sf), "value", N).rows
+    return rounded(texts(rows.select("entity_id", "visit_id", "visit_date", "amount", "status"), "visit_date"))
+
+
 def checked(spark, sf):
     """Visits with a target that varies and a yes/no column with other values."""
     v = t.labelled_visits(spark, sf, consistent=False)
@@ -591,6 +645,26 @@ def findings(spark, sf):
     return qu.findings(checked(spark, sf), S, expected=("amount", "height", "weight"), ordinal="visit_id")
 
 
+def untidy_checked(spark, sf):
+    """The same with empty ids, dates that are none and the name of a future column."""
+    v = F.col("visit_id")
+    return checked(spark, sf).withColumns({
+        "entity_id": F.when(v % 37 == 0, " NaN ").otherwise(F.col("entity_id").cast("string")),
+        "visit_date": F.when(v % 41 == 0, "no date").otherwise(F.col("visit_date").cast("string")),
+        "outcome_later": F.lit(1)})
+
+
+@query
+def findings_untidy(spark, sf):
+    return qu.findings(untidy_checked(spark, sf), S, expected=("amount", "height"), ordinal="visit_id",
+                       allow_duplicates=True, target_is_error=False)
+
+
+@query
+def findings_missing_columns(spark, sf):
+    return qu.findings(checked(spark, sf).drop("visit_date"), S, ordinal="visit_id")
+
+
 @query
 def duplicate_visits(spark, sf):
     return texts(qu.duplicate_groups(t.visits(spark, sf), N), "visit_date")

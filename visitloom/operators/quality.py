@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import is_missing, missing_to_null, sort_cuts, try_date
 from ..sources.session import written
@@ -58,27 +58,58 @@ def invalid_targets(df: DataFrame, spec: VisitSpec) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _listed(table: DataFrame, key: str, level: str, code: str) -> DataFrame:
-    """One finding for a table of offenders: how many, and the first few."""
-    table = written(table.select(F.col(key).cast("string").alias("k")), "offenders")   # counted and sampled
-    sample = table.orderBy("k").limit(SAMPLE)
-    joined = sample.groupBy().agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("details"))
-    count = table.groupBy().agg(F.count(F.lit(1)).alias("n"))
-    both = count.withColumn("_k", F.lit(1)).join(joined.withColumn("_k", F.lit(1)), "_k")   # one row each
-    return both.filter("n > 0").select(F.lit(level).alias("level"), F.lit(code).alias("code"), "n", "details")
+def _offences(df: DataFrame, spec: VisitSpec) -> DataFrame:
+    """``code, part, k, n`` of single rows, counted by what is wrong; only bad cells become rows, from one scan."""
+    have, cells = set(df.columns), []
 
+    def offence(bad: Column, code: str, part: str = "", k: Column | None = None) -> None:
+        value = F.lit(None).cast("string") if k is None else k.cast("string")
+        cells.append(F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(part).alias("part"), value.alias("k"))))
 
-def _counted(df: DataFrame, bad: dict[str, Column]) -> DataFrame:
-    """Errors of single rows, by code, from one pass."""
-    counts = df.groupBy().agg(*[F.count_if(c).alias(code) for code, c in bad.items()])
-    return counts.unpivot([], list(bad), "code", "n").filter("n > 0").select(
-        F.lit(ERROR).alias("level"), "code", "n", F.lit("").alias("details"))
+    if spec.entity in have:
+        offence(is_missing(F.col(spec.entity)), "EMPTY_PATIENT_ID")
+    if spec.time in have:
+        offence(_as_date(df, spec.time).isNull(), "INVALID_VISIT_DATE")
+    if spec.target in have:
+        offence(F.col(spec.target).isNotNull() & ~F.col(spec.target).isin(0, 1), "NON_BINARY_TARGET", k=F.col(spec.target))
+    for c in spec.yes_no:
+        if c in have:
+            value = F.lower(missing_to_null(F.col(c)))
+            offence(value.isNotNull() & ~value.isin("yes", "no"), "INVALID_BINARY_CATEGORICAL", c, value)
+    if not cells:
+        return df.sparkSession.createDataFrame([], "code string, part string, k string, n long")
+    return df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("code", "part", "k").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _entity_offences(df: DataFrame, spec: VisitSpec) -> DataFrame | None:
+    """The same of entities: repeated dates and targets that differ, from one scan, counted by date, then by entity."""
+    have = set(df.columns)
+    if spec.entity not in have:
+        return None
+    y = F.col(spec.target) if spec.target in have else F.lit(None).cast("int")
+    per = df.groupBy(spec.entity, *([spec.time] if spec.time in have else [])).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(y).alias("_lo"), F.max(y).alias("_hi"))
+    dups = F.sum(F.when(F.col("_n") > 1, F.col("_n"))) if spec.time in have else F.lit(None).cast("long")
+    each = per.groupBy(spec.entity).agg(dups.alias("_d"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    none = F.lit(None).cast("string")
+    return each.select(F.inline(F.array_compact(F.array(
+        F.when(F.col("_d") > 0, F.struct(F.lit("DUPLICATE_PATIENT_DATE").alias("code"), F.lit("").alias("part"),
+                                         none.alias("k"), F.col("_d").alias("n"))),
+        F.when(F.col("_lo") != F.col("_hi"), F.struct(
+            F.lit("INCONSISTENT_TARGET").alias("code"), F.lit("").alias("part"),
+            F.col(spec.entity).cast("string").alias("k"), F.lit(1).cast("long").alias("n")))))))
 
 
 def findings(df: DataFrame, spec: VisitSpec, *, expected: tuple[str, ...] = (), ordinal: str | None = None,
              allow_duplicates: bool = False, target_is_error: bool = True,
              blacklist: tuple[str, ...] = (), **kw) -> DataFrame:
-    """All failed checks.  ``ordinal`` names the arrival order; without it that check is left out."""
+    """All failed checks.  ``ordinal`` names the arrival order; without it that check is left out.
+
+    Three scans: single rows, entities, and the order of arrival (which counts the rows of a table first, and its
+    groups where the table is larger than a task).  What they find is written once as counts, and samples of the first
+    ``SAMPLE`` offenders are taken from there, at most as many per task.
+    """
     spark = df.sparkSession
     have = set(df.columns)
     fixed = [(ERROR, "MISSING_REQUIRED_COL", 1, c) for c in (spec.entity, spec.time) if c not in have]
@@ -88,33 +119,27 @@ def findings(df: DataFrame, spec: VisitSpec, *, expected: tuple[str, ...] = (),
     suspects = leakage_candidates(df.columns, spec, blacklist)
     if suspects:
         fixed.append((WARNING, "LEAKAGE_CANDIDATE_COLUMNS", len(suspects), ",".join(suspects)))
-    out = [spark.createDataFrame(fixed, FINDING)]
-    rows = {}
-    if spec.entity in have:
-        rows["EMPTY_PATIENT_ID"] = is_missing(F.col(spec.entity))
-    if spec.time in have:
-        rows["INVALID_VISIT_DATE"] = _as_date(df, spec.time).isNull()
-    if rows:
-        out.append(_counted(df, rows))
-    if {spec.entity, spec.time} <= have:
-        total = duplicate_groups(df, spec).groupBy().agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"))
-        out.append(total.filter("n > 0").select(
-            F.lit(WARNING if allow_duplicates else ERROR).alias("level"),
-            F.lit("DUPLICATE_PATIENT_DATE").alias("code"), "n", F.lit("").alias("details")))
-        if ordinal:
-            out.append(_listed(unordered_entities(df, spec, ordinal, **kw), spec.entity, WARNING,
-                               "NON_CHRONOLOGICAL_ORDER"))
-    if spec.target in have:
-        out.append(_listed(invalid_targets(df, spec), "value", ERROR, "NON_BINARY_TARGET"))
-        if spec.entity in have:
-            out.append(_listed(inconsistent_targets(df, spec), spec.entity,
-                               ERROR if target_is_error else WARNING, "INCONSISTENT_TARGET"))
-    bad = invalid_yes_no(df, spec)
-    if any(c in have for c in spec.yes_no):
-        out.append(bad.groupBy("column").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(WARNING).alias("level"), F.lit("INVALID_BINARY_CATEGORICAL").alias("code"), "n",
-            F.col("column").alias("details")))
-    return reduce(DataFrame.unionByName, out)
+    found = [_offences(df, spec), _entity_offences(df, spec)]
+    if ordinal and {spec.entity, spec.time} <= have:
+        late = unordered_entities(df, spec, ordinal, **{"at_most": df.select(F.lit(1)), **kw})
+        found.append(late.select(F.lit("NON_CHRONOLOGICAL_ORDER").alias("code"), F.lit("").alias("part"),
+                                 F.col(spec.entity).cast("string").alias("k"), F.lit(1).cast("long").alias("n")))
+    bad = written(reduce(DataFrame.unionByName, [f for f in found if f is not None]), "offences")
+    first = Window.partitionBy("code", "part").orderBy("k")
+    sample = bad.filter(F.col("k").isNotNull()).withColumn("_i", F.row_number().over(first)).filter(
+        F.col("_i") <= SAMPLE).groupBy("code", "part").agg(
+        F.array_join(F.array_sort(F.collect_list("k")), ",").alias("details"))      # at most a sample each
+    total = F.when(F.max("k").isNull(), F.sum("n")).otherwise(F.count(F.lit(1)))    # offenders, or rows without a name
+    counts = bad.groupBy("code", "part").agg(total.alias("n"))
+    level = F.create_map(*[F.lit(x) for pair in {
+        "EMPTY_PATIENT_ID": ERROR, "INVALID_VISIT_DATE": ERROR, "NON_BINARY_TARGET": ERROR,
+        "DUPLICATE_PATIENT_DATE": WARNING if allow_duplicates else ERROR, "NON_CHRONOLOGICAL_ORDER": WARNING,
+        "INCONSISTENT_TARGET": ERROR if target_is_error else WARNING,
+        "INVALID_BINARY_CATEGORICAL": WARNING}.items() for x in pair])
+    rows = counts.join(sample, ["code", "part"], "left").select(
+        F.element_at(level, F.col("code")).alias("level"), "code", "n",
+        F.when(F.col("part") != "", F.col("part")).otherwise(F.coalesce("details", F.lit(""))).alias("details"))
+    return spark.createDataFrame(fixed, FINDING).unionByName(rows)
 
 
 def passed(found: DataFrame) -> bool:
