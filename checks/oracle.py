@@ -761,3 +761,29 @@ ORACLE |= {
         FROM orders WHERE o_custkey % 17 <> 0 AND o_custkey % 11 <> 0 AND o_custkey % 13 <> 0
         AND NOT (o_custkey % 7 = 0 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0))""",
 }
+
+# --- permutation importance of the fixed scorer ---------------------------------------------------------
+
+
+def area(source: str, key: str) -> str:
+    """AUROC per ``key`` of (key, label, p), by average ranks."""
+    part = f"PARTITION BY {key} " if key else ""
+    return f"""SELECT {key + ', ' if key else ''}(SUM(rk) FILTER (label = 1) - COUNT(*) FILTER (label = 1)
+        * (COUNT(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / (COUNT(*) FILTER (label = 1) * COUNT(*) FILTER (label = 0)) AS auc
+        FROM (SELECT *, RANK() OVER ({part}ORDER BY p) + (COUNT(*) OVER (PARTITION BY {key + ', ' if key else ''}p) - 1)
+          / 2.0::DOUBLE AS rk FROM {source}) {'GROUP BY ' + key if key else ''}"""
+
+
+TURNED = [f"SELECT r, {j} AS j, label, -0.4 + " + " + ".join(
+    f"({w}::DOUBLE * {'y' if i == j else 'x'}{i})" for i, (_, _, w, _) in enumerate(FIXED_FEATURES)) + " AS z FROM met"
+    for j in range(4)]
+ORACLE["permutation_fixed"] = SCORED + f""", ring AS (SELECT *, ROW_NUMBER() OVER (ORDER BY u, entity_id) - 1 AS i,
+    COUNT(*) OVER () AS n FROM (SELECT x.*, {u(42, "'order'", 'entity_id')} AS u FROM x))
+, turns AS (SELECT r, 1 + CAST(FLOOR({u(42, "'shift'", 'r')} * GREATEST((SELECT COUNT(*) FROM ring) - 1, 1)) AS BIGINT) AS by_
+    FROM (SELECT unnest([1, 2, 3]) AS r))
+, met AS (SELECT r, a.label, a.x0, a.x1, a.x2, a.x3, b.x0 AS y0, b.x1 AS y1, b.x2 AS y2, b.x3 AS y3
+    FROM turns CROSS JOIN ring b JOIN ring a ON a.i = (b.i + by_) % b.n)
+, turned AS (SELECT r, j, label, 1 / (1 + EXP(-z)) AS p FROM ({' UNION ALL '.join(TURNED)}))
+, base AS ({area('s', '')}), after AS ({area('turned', 'r, j')})
+SELECT (['amount_latest', 'amount_std', 'quantity_mean', 'n_obs_visits'])[j + 1] AS feature,
+    ROUND(AVG((SELECT auc FROM base) - auc), 6) AS importance FROM after GROUP BY j"""

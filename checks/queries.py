@@ -1013,6 +1013,12 @@ def fixed_contributions(spark, sf):
     return ex.ablation_contributions(FIXED, data, "entity_id", FIXED_NAMES, top=4), data
 
 
+@query
+def permutation_fixed(spark, sf):
+    """Mean fall of the AUROC when one feature comes from another entity, three times."""
+    return rounded(ex.permutation_importance(FIXED, fixed_data(spark, sf), "entity_id", FIXED_NAMES, repeats=3))
+
+
 @query
 def ablation_fixed(spark, sf):
     """Change of each entity's probability without each feature."""

@@ -15,32 +15,31 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import sort_cuts, uniform
 from ..operators.metrics import auroc
 from ..operators.ordered import positions
+from ..sources.session import written
 from .models import FittedModel
 
 def permutation_importance(model: FittedModel, data: DataFrame, entity: str, names: list[str], *,
                            repeats: int = 5, seed: int = 42, **kw) -> DataFrame:
     """``feature, importance``: mean fall of AUROC when a feature is shuffled between entities.
 
-    Entities get a position in a seeded random order.  A shuffle moves the feature's
-    values along that order by a seeded random distance, so each (feature, repeat) is
-    a permutation, and one equi-join on the position delivers all of them.
+    Entities stand in a ring in a seeded random order.  A repeat turns the ring by a seeded random distance, so every
+    entity meets another one's whole vector in one equi-join on the position: entities x repeats rows are shuffled,
+    whatever the number of features.  Each feature is then swapped in the joined row.
     ``data`` is ``entity, features, label``.
     """
     rows = data.select(entity, "features", "label").withColumn("_u", uniform(seed, F.lit("order"), entity))
-    placed = positions(rows, [], [F.col("_u"), F.col(entity)], [F.col("_u"), *sort_cuts(rows, [entity])],
-                       "_i", total="_n", **kw)
-    placed = placed.select("_i", "_n", "label", vector_to_array("features").alias("_x"))
-    moves = F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(len(names) - 1)),
-        lambda j: F.transform(F.sequence(F.lit(1), F.lit(repeats)), lambda r: F.struct(
-            j.alias("j"), r.alias("r"), F.get("_x", j).alias("value"))))))
-    donors = placed.select("_i", "_n", moves.alias("m")).select("_i", "_n", "m.*")
-    u = uniform(seed, F.lit("shift"), F.col("j").cast("string"), F.col("r").cast("string"))
+    placed = written(positions(rows, [], [F.col("_u"), F.col(entity)], [F.col("_u"), *sort_cuts(rows, [entity])],
+                               "_i", total="_n", **kw).select("_i", "_n", "label", vector_to_array("features").alias("_x")),
+                     "ring")     # one side of the join and the other
+    turn = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("r")
+    u = uniform(seed, F.lit("shift"), F.col("r").cast("string"))
     shift = F.lit(1) + F.floor(u * F.greatest(F.col("_n") - 1, F.lit(1)))
-    donors = donors.select("j", "r", "value", ((F.col("_i") + shift) % F.col("_n")).alias("_i"))
-    changed = placed.select("_i", "_x", "label").join(donors, "_i").select(
-        "j", "r", "label", array_to_vector(F.transform(
-            "_x", lambda x, k: F.when(k == F.col("j"), F.col("value")).otherwise(x))).alias("features"))
+    donors = placed.select("_i", "_n", F.col("_x").alias("_y"), turn).select(
+        "r", "_y", ((F.col("_i") + shift) % F.col("_n")).alias("_i"))
+    met = placed.select("_i", "_x", "label").join(donors, "_i")
+    each = met.select("r", "label", "_x", "_y", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("j"))
+    changed = each.select("j", "r", "label", array_to_vector(F.transform(
+        "_x", lambda x, k: F.when(k == F.col("j"), F.get("_y", k)).otherwise(x))).alias("features"))
     after = auroc(model.predict_proba(changed), ["j", "r"], y="label", **kw)
     base = auroc(model.predict_proba(data), y="label", **kw).select(
         F.coalesce("auroc", F.lit(0.5)).alias("_base"), F.lit(1).alias("_k"))
