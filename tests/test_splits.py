@@ -1,5 +1,7 @@
 """Disjoint, exact, reproducible splits of entities."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,27 @@ def test_impossible_splits_raise(spark, labeled):
 def test_candidates_need_both_tables(spark, labeled):
     visits = spark.createDataFrame([("P001",), ("P001",), ("X",)], "patient_id string")
     assert [r.patient_id for r in sp.candidates(visits, labeled, SPEC).collect()] == ["P001"]
+
+
+@pytest.mark.parametrize("n, classes", [(100_000, 100_000), (4_000, 1_300)])
+def test_many_classes_are_shared_out_exactly(spark, n, classes):
+    """More classes than are planted as constants: exact sizes, and the shares of the constants' way."""
+    df = spark.range(n).select(F.col("id").cast("string").alias("patient_id"), (F.col("id") % classes).alias("target"))
+    sizes = sp.SplitSizes()
+    got = {r["split"]: r["count"] for r in sp.stratified_split(df, SPEC, sizes).groupBy("split").count().collect()}
+    n_test = math.ceil(n * sizes.test)
+    n_val = math.ceil((n - n_test) * (sizes.validation / (sizes.train + sizes.validation)))
+    assert got == {"test": n_test, "validation": n_val, "train": n - n_test - n_val}
+    inner = {r["split"]: r["count"] for r in sp.internal_split(df, SPEC, 0.2).groupBy("split").count().collect()}
+    assert inner == {"validation": round(n * 0.2), "train": n - round(n * 0.2)}
+
+
+def test_both_ways_give_one_split(spark, monkeypatch):
+    df = spark.range(500).select(F.col("id").cast("string").alias("patient_id"), F.when(
+        F.col("id") % 9 > 0, (F.col("id") * 7 % 40 % 13).cast("int")).alias("target"))
+    few = [sorted(map(tuple, f(df).collect())) for f in (lambda d: sp.stratified_split(d, SPEC),
+                                                          lambda d: sp.internal_split(d, SPEC, 0.3))]
+    monkeypatch.setattr(sp, "MAX_CLASSES", 3)
+    many = [sorted(map(tuple, f(df).collect())) for f in (lambda d: sp.stratified_split(d, SPEC, rows_per_task=6),
+                                                           lambda d: sp.internal_split(d, SPEC, 0.3))]
+    assert few == many

@@ -1,8 +1,8 @@
 """Splits of entities (never of rows) into train, validation and test.
 
 Assignment is a rank by a seeded hash inside each class.  The per-class sizes
-come from a table with one row per class, checked to be small, so exact sizes cost one
-ranking and a broadcast of two rows.
+come from a table with one row per class.  Few classes are shared out as constants, which costs one
+ranking and a broadcast of some rows; many are ranked by their remainders over ranges, and joined.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sort_cuts, uniform
+from ..sources.session import written
 from ..spec import DataError, SplitSizes, VisitSpec
 from .ordered import positions
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
-MAX_CLASSES = 1_000
+MAX_CLASSES = 1_000     # classes that are planted as constants; more are a table
 
 
 def candidates(obs: DataFrame, targets: DataFrame, spec: VisitSpec) -> DataFrame:
@@ -43,26 +44,52 @@ def _allocate(classes: DataFrame, size: Column, total: Column, share: str, name:
             .drop("_q", "_base", "_left", "_r"))
 
 
-def class_sizes(labeled: DataFrame, target: str, sizes: SplitSizes) -> DataFrame:
-    """Rows per class and how many of them go to test and validation."""
-    classes = (labeled.groupBy(F.col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_one", F.lit(1)))
+def _counted(data: DataFrame, target: str) -> tuple[DataFrame, bool]:
+    """``_class, _n`` per class, and whether the classes are few (then constants, else a stored table)."""
+    counts = data.groupBy(F.col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.limit(MAX_CLASSES + 1).collect()
+    if len(rows) <= MAX_CLASSES:
+        return data.sparkSession.createDataFrame(rows, counts.schema), True
+    return written(counts, "classes"), False
+
+
+def _ranked_allocation(classes: DataFrame, size: int, total: int, share: str, name: str, **kw) -> DataFrame:
+    """The same shares as :func:`_allocate` for any number of classes: remainders are ranked over ranges."""
+    if not total:
+        return classes.withColumn(name, F.lit(0).cast("long"))
+    quota = classes.withColumn("_q", F.col(share) * F.lit(size).cast("long") / F.lit(total).cast("long"))
+    quota = written(quota.withColumn("_base", F.floor("_q").cast("long")).withColumn(
+        "_part", F.col("_q") - F.col("_base")), "quotas")
+    left = size - quota.agg(F.sum("_base")).first()[0]
+    placed = positions(quota, [], [F.col("_part").desc(), F.col("_class")],
+                       [-F.col("_part"), *sort_cuts(quota, ["_class"])], "_r", **{"at_most": quota, **kw})
+    return placed.withColumn(name, F.col("_base") + (F.col("_r") < left).cast("long")).drop("_q", "_base", "_part", "_r")
+
+
+def class_sizes(labeled: DataFrame, target: str, sizes: SplitSizes, **kw) -> tuple[DataFrame, bool]:
+    """Rows per class and how many of them go to test and validation; and whether the classes are few."""
+    classes, few = _counted(labeled, target)
+    share = sizes.validation / (sizes.train + sizes.validation)
+    if not few:
+        total = classes.agg(F.sum("_n")).first()[0]
+        n_test = math.ceil(total * sizes.test)
+        classes = _ranked_allocation(classes, n_test, total, "_n", "_test", **kw)
+        classes = classes.withColumn("_rest", F.col("_n") - F.col("_test"))
+        rest = total - n_test
+        classes = _ranked_allocation(classes, math.ceil(rest * share), rest, "_rest", "_val", **kw)
+        return classes.select("_class", "_n", "_test", "_val"), False
+    classes = classes.withColumn("_one", F.lit(1))
     every = Window.partitionBy("_one")
     classes = classes.withColumn("_all", F.sum("_n").over(every))
     classes = _allocate(classes, F.ceil(F.col("_all") * F.lit(sizes.test)), F.col("_all"), "_n", "_test")
     classes = classes.withColumn("_rest", F.col("_n") - F.col("_test"))
     classes = classes.withColumn("_restall", F.sum("_rest").over(every))
-    share = sizes.validation / (sizes.train + sizes.validation)
     classes = _allocate(classes, F.ceil(F.col("_restall") * F.lit(share)), F.col("_restall"), "_rest", "_val")
-    return classes.select("_class", "_n", "_test", "_val")
+    return classes.select("_class", "_n", "_test", "_val"), True
 
 
-def _small(classes: DataFrame) -> DataFrame:
-    """The class table as constants, after a check that a target is not a continuous value."""
-    rows = classes.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise DataError(f"the target has more than {MAX_CLASSES} values")
-    return F.broadcast(classes.sparkSession.createDataFrame(rows, classes.schema))
+def _hinted(classes: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(classes) if few else classes      # few: at most MAX_CLASSES rows
 
 
 def stratified_split(labeled: DataFrame, spec: VisitSpec, sizes: SplitSizes = SplitSizes(), *,
@@ -75,7 +102,8 @@ def stratified_split(labeled: DataFrame, spec: VisitSpec, sizes: SplitSizes = Sp
     _enough(labeled, 3)
     data = labeled.select(e, spec.target, (F.col(spec.target) if stratify else F.lit(0)).alias("_class"))
     data = data.withColumn("_u", uniform(seed, e))
-    small = _small(class_sizes(data, "_class", sizes).withColumnRenamed("_class", "_c"))
+    classes, few = class_sizes(data, "_class", sizes, **kw)
+    small = _hinted(classes.withColumnRenamed("_class", "_c"), few)
     ranked = positions(data, ["_class"], [F.col("_u"), F.col(e)],
                        [F.col("_u"), *sort_cuts(data, [e])], "_i", **kw)
     joined = ranked.join(small, ranked["_class"].eqNullSafe(small["_c"]))
@@ -91,14 +119,15 @@ def internal_split(labeled: DataFrame, spec: VisitSpec, fraction: float, *, seed
     e = spec.entity
     _enough(labeled, 2)
     data = labeled.select(e, spec.target).withColumn("_u", uniform(seed, e))
-    classes = data.groupBy(F.col(spec.target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
-    classes = classes.withColumn("_one", F.lit(1))
-    every = Window.partitionBy("_one")
-    classes = (classes.withColumn("_all", F.sum("_n").over(every))
-               .withColumn("_mixed", (F.min("_n").over(every) >= 2) & (F.count(F.lit(1)).over(every) >= 2)))
-    n_val = F.greatest(F.lit(1), F.least(F.col("_all") - 1, F.bround(F.col("_all") * fraction).cast("long")))
-    classes = _allocate(classes.withColumn("_size", n_val), F.col("_size"), F.col("_all"), "_n", "_val")
-    small = _small(classes.select("_class", "_val", "_mixed", "_size"))
+    classes, few = _counted(data, spec.target)
+    total = classes.agg(F.sum("_n").alias("all"), F.min("_n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
+    mixed = total["least"] >= 2 and total["classes"] >= 2
+    size = max(1, min(total["all"] - 1, round(total["all"] * fraction)))
+    if few:
+        classes = _allocate(classes.withColumn("_one", F.lit(1)), F.lit(size).cast("long"), F.lit(total["all"]), "_n", "_val")
+    else:
+        classes = _ranked_allocation(classes, size, total["all"], "_n", "_val", **kw)
+    small = _hinted(classes.select("_class", "_val", F.lit(mixed).alias("_mixed"), F.lit(size).alias("_size")), few)
     data = data.join(small, data[spec.target].eqNullSafe(F.col("_class"))).withColumn(
         "_group", F.when(F.col("_mixed"), F.col("_class").cast("string")).otherwise("all"))
     ranked = positions(data, ["_group"], [F.col("_u"), F.col(e)],

@@ -17,7 +17,8 @@ from ..functions import quoted
 
 WIDE, SEQUENCE = "wide", "sequence"
 MAX_DEPTH = 30          # of Spark ML trees
-FIT_PARTITIONS = 8
+FIT_PARTITIONS = 8      # at least; a task of a fit holds about ROWS_PER_FIT_TASK rows
+ROWS_PER_FIT_TASK = 100_000
 REPRESENTATION = {
     "logistic_regression": WIDE, "random_forest": WIDE, "gradient_boosting": WIDE,
     "gradient_boosting_leafwise": WIDE, "sequence_network": SEQUENCE,
@@ -107,20 +108,28 @@ def _depth(depth: int) -> int:
     return depth
 
 
-def fit(family: str, params: dict[str, Any], train: DataFrame, partitions: int = FIT_PARTITIONS) -> FittedModel:
-    """Fit one family on ``features, label``.
+def fit_partitions(n_rows: int) -> int:
+    """Tasks of a fit over so many rows."""
+    return max(FIT_PARTITIONS, math.ceil(n_rows / ROWS_PER_FIT_TASK))
 
-    Rows are dealt by the hash of their content to ``partitions`` tasks and sorted there, so one seed gives one
-    model whatever the partitioning of ``train``; raise ``partitions`` for large training tables.
+
+def fit(family: str, params: dict[str, Any], train: DataFrame, partitions: int | None = None) -> FittedModel:
+    """Fit one family on ``features, label``; other columns, such as the entity, are the identity of a row.
+
+    Rows are dealt by the hash of their content and identity, to as many tasks as the table asks for unless
+    ``partitions`` says otherwise, and sorted there.  So rows of equal content are spread as far as they have an
+    identity, and one seed gives one model whatever the partitioning of ``train``.
     """
-    content = F.xxhash64(vector_to_array("features"), "label")
-    train = (train.select("features", "label", content.alias("_h")).repartition(partitions, "_h")
+    counts = class_counts(train)
+    if not counts:
+        raise ValueError("no training rows")
+    n = sum(counts.values())
+    identity = [quoted(c) for c in sorted(train.columns) if c not in ("features", "label", "weight")]
+    place = F.xxhash64(vector_to_array("features"), "label", *identity)
+    train = (train.select("features", "label", place.alias("_h")).repartition(partitions or fit_partitions(n), "_h")
              .sortWithinPartitions("_h").drop("_h").persist())   # iterative fits read it many times
     try:
-        counts = class_counts(train)
-        if not counts:
-            raise ValueError("no training rows")
-        n, width = sum(counts.values()), train.select("features").head()[0].size
+        width = train.select("features").head()[0].size
         est = make_estimator(family, params, n, width)
         ready = balanced_weights(train, counts=counts) if params.get("class_weight") == "balanced" else train
         return FittedModel(family, est.fit(ready), dict(params))
