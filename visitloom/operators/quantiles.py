@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import number_or_null, quoted
+from ..functions import number_or_null
 from .ordered import ROWS_PER_TASK, running
 
 
@@ -77,6 +77,16 @@ class _Bracket:
         return self.below <= self.first and self.last < self.below + self.inside
 
 
+def _number(name: str) -> str:
+    """SQL of a column as a number, NULL for NaN."""
+    cell = "CAST(`" + name.replace("`", "``") + "` AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({cell}) THEN {cell} END"
+
+
+def _inside(x: Sequence[str], b: _Bracket) -> str:
+    return f"({x[b.column]} BETWEEN double('{b.lo!r}') AND double('{b.hi!r}'))"
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float], *, accuracy: int = 2000,
                      enough: int = 200_000) -> DataFrame:
     """Exact quantiles, count, mean, sample std, min and max of many columns: a row per column, NULL and NaN left out.
@@ -91,16 +101,18 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
     spark, names = df.sparkSession, list(columns)
     schema = ("column string, n_rows long, count long, mean double, std double, min double, max double, "
               + ", ".join(f"{p} double" for p in probs))
-    x = [number_or_null(quoted(c)) for c in names]
+    x = [_number(c) for c in names]        # as text: wide tables have hundreds of aggregates
     slack = 2.0 / accuracy
 
-    def sketch(value: Column, shares: Sequence[float]) -> Column:
+    def sketch(value: str, shares: Sequence[float]) -> str:
         near = [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
-        return F.percentile_approx(value, near, accuracy)
+        return f"percentile_approx({value}, array({', '.join(f'double({str(s)!r})' for s in near)}), {accuracy})"
+
+    def aggregated(parts: Sequence[str]):
+        return df.agg(*[F.expr(p) for p in ("count(1) AS rows", *parts)]).first()
 
-    first = df.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
-        sketch(v, list(probs.values())).alias("near")).alias(f"s{i}") for i, v in enumerate(x)]).first()
+    first = aggregated([f"named_struct('n', count({v}), 'mean', avg({v}), 'min', min({v}), 'max', max({v}), 'near', "
+                        f"{sketch(v, list(probs.values()))}) AS s{i}" for i, v in enumerate(x)])
     stats = [first[f"s{i}"] for i in range(len(names))]
     brackets = []
     for i, s in enumerate(stats):
@@ -112,23 +124,22 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
     outer = {(b.column, b.prob): replace(b, lo=stats[b.column]["min"], hi=stats[b.column]["max"],
                                          inside=stats[b.column]["n"]) for b in brackets}
 
-    def counted(todo: list[_Bracket], extra: list[Column]):
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *extra, *[F.struct(
-            F.count_if(x[b.column] < b.lo).alias("below"),
-            F.count_if((x[b.column] >= b.lo) & (x[b.column] <= b.hi)).alias("inside")).alias(f"b{j}")
-            for j, b in enumerate(todo)]).first()
+    def counted(todo: list[_Bracket], extra: list[str]):
+        row = aggregated([*extra, *[
+            f"named_struct('below', count_if({x[b.column]} < double('{b.lo!r}')), 'inside', count_if({_inside(x, b)})) AS b{j}"
+            for j, b in enumerate(todo)]])
         for j, b in enumerate(todo):
             b.below, b.inside = row[f"b{j}"]["below"], row[f"b{j}"]["inside"]
         return row
 
-    squares = [F.sum(F.pow(v - F.lit(s["mean"]), 2)).alias(f"q{i}") for i, (v, s) in enumerate(zip(x, stats)) if s["n"] > 1]
+    squares = [f"sum(power({v} - double('{s['mean']!r}'), 2)) AS q{i}" for i, (v, s) in enumerate(zip(x, stats)) if s["n"] > 1]
     row = counted(brackets, squares)
     std = [math.sqrt(row[f"q{i}"] / (s["n"] - 1)) if s["n"] > 1 else None for i, s in enumerate(stats)]
     brackets = [b if b.holds() else outer[b.column, b.prob] for b in brackets]
     while wide := [j for j, b in enumerate(brackets) if b.inside > enough and b.lo < b.hi]:
-        near = df.agg(*[sketch(F.when((x[b.column] >= b.lo) & (x[b.column] <= b.hi), x[b.column]),
-                               [(r - b.below) / max(1, b.inside - 1) for r in (b.first, b.last)]).alias(f"b{j}")
-                        for j, b in ((j, brackets[j]) for j in wide)]).first()
+        near = aggregated([sketch(f"CASE WHEN {_inside(x, b)} THEN {x[b.column]} END", [
+            (r - b.below) / max(1, b.inside - 1) for r in (b.first, b.last)]) + f" AS b{j}"
+            for j, b in ((j, brackets[j]) for j in wide)])
         tighter = [replace(brackets[j], lo=near[f"b{j}"][0], hi=near[f"b{j}"][-1]) for j in wide]
         counted(tighter, [])
         moved = False
@@ -149,10 +160,10 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
         for i, (c, s) in enumerate(zip(names, stats))], schema)
 
 
-def bracketed_values(df: DataFrame, x: Sequence[Column], brackets: Sequence[tuple[int, _Bracket]]) -> DataFrame:
+def bracketed_values(df: DataFrame, x: Sequence[str], brackets: Sequence[tuple[int, _Bracket]]) -> DataFrame:
     """``bracket, value, n``: how often each value inside a bracket occurs; the only cells that are shuffled."""
-    cells = F.array(*[F.when((x[b.column] >= b.lo) & (x[b.column] <= b.hi), F.struct(
-        F.lit(j).alias("bracket"), x[b.column].alias("value"))) for j, b in brackets])
+    cells = F.expr("array(" + ", ".join(
+        f"CASE WHEN {_inside(x, b)} THEN named_struct('bracket', {j}, 'value', {x[b.column]}) END" for j, b in brackets) + ")")
     inside = df.select(F.inline(F.array_compact(cells)))
     return inside.groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
 
