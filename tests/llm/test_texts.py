@@ -1,10 +1,12 @@
 """Operators that judge or rewrite single texts."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from llm_data import SF, documents, empty, odd, odd_rows
@@ -63,6 +65,60 @@ def test_quality_weights_by_hand(spark):
     assert tr.fit_ratio(df.limit(0), F.col("good"), rules) == [0] * 8
 
 
+def grams_by_hand(text, rules):
+    """Buckets of all n-grams: 64-bit xxHash of the words, and of the hashes of an n-gram one after another."""
+    w = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    out = []
+    for n in rules.orders:
+        for i in range(len(w) - n + 1):
+            h = w[i]
+            if n > 1:
+                h = 42
+                for x in w[i:i + n]:
+                    h = xxhash.xxh64(x.to_bytes(8, "little"), seed=h).intdigest()
+            out.append((h - (1 << 64) if h >> 63 else h) % rules.buckets)
+    return out
+
+
+def test_quality_weights_ratio_and_verdict_by_brute_force(spark):
+    rules = tr.RatioRules()
+    assert max(rules.orders) > 1
+    docs = documents(spark).select("doc_id", "text").union(odd(spark).select("doc_id", "text"))
+    rated = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic")
+    trusted = {r.doc_id for r in rated.collect() if r.quality == 1 and not r.toxic}
+    rows = [(r.doc_id, r.text, grams_by_hand(r.text, rules)) for r in docs.collect()]
+    raw, good = Counter(), Counter()
+    for key, _, grams in rows:
+        raw.update(grams)
+        if key in trusted:
+            good.update(grams)
+    n_raw, n_good = sum(raw.values()), sum(good.values())
+    weights = [0] * rules.buckets
+    for b, n in raw.items():
+        p = n / n_raw
+        q = (good[b] + rules.prior * p) / (n_good + rules.prior)
+        weights[b] = round(max(-rules.clip, min(rules.clip, math.log(q / p))) * rules.unit)
+    marked = docs.withColumn("good", F.col("doc_id").isin(list(trusted)))
+    got = tr.fit_ratio(marked, F.col("good"), rules)
+    assert max(abs(a - b) for a, b in zip(got, weights, strict=True)) <= 1   # rounding of the last unit only
+    assert sum(w != 0 for w in got) > 1000
+
+    def judged(text, grams):
+        ratio = sum(got[b] for b in grams) / len(grams) / rules.unit if grams else 0.0
+        return text, round(ratio, 9), not counts(text)[-1] and ratio >= rules.min_ratio
+    out = tr.quality_rules(docs, rated, rules).collect()
+    assert sorted(map(repr, ((r.text, round(r.ratio, 9), r.kept) for r in out))) == sorted(
+        repr(judged(t, g)) for _, t, g in rows)
+    assert {r.kept for r in out if not r.base_failed} == {True, False}
+
+
+def test_quality_any_column_name(spark):
+    df = odd(spark, words="w", KEPT="k", c0=3, hashes=1).withColumnRenamed("lang", "a.b").withColumnRenamed("source", "_good")
+    got = tr.quality_rules(df, labels(spark))
+    assert got.columns == ["doc_id", "text", "a.b", "_good", "n_chars", "words", "c0", "hashes", *tr.NEW]
+    assert sorted(repr(r.text) for r in got.collect()) == sorted(repr(r[1]) for r in odd_rows())
+
+
 def test_quality_empty(spark):
     assert tr.quality_rules(empty(spark), labels(spark).limit(0)).count() == 0
 

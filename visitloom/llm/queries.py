@@ -97,8 +97,10 @@ def op7_block_max_search(spark, sf):
 @query
 def op8_target_ratio(spark, sf):
     """Base counts of every text and the verdict of the likelihood ratio."""
-    return quality_rules(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"),
-                         RatioRules())
+    judged = quality_rules(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"),
+                           RatioRules())
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "ratio")
 
 
 @query

@@ -11,23 +11,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE
+from .common import SPACE, shield
 
 SYMBOLS = "[#*$%&|<>]"
+NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
 
 
 @dataclass(frozen=True)
 class RatioRules:
     """Thresholds. ``buckets`` bounds the model: that many whole numbers reach the driver."""
     buckets: int = 1 << 15
-    orders: tuple[int, ...] = (1,)   # lengths of the n-grams
+    orders: tuple[int, ...] = (1, 2)   # lengths of the n-grams
     min_words: int = 50
     max_repeat_percent: int = 50
     prior: float = 20_000.0      # words of the raw corpus that the trusted side is taken to have seen besides its own
     unit: float = 1e4            # weights are whole numbers of 1/unit nats
     clip: float = 4.0            # a single n-gram counts that many nats at most
     trusted_rows: int = 20_000   # trusted texts: at most so many, those of least hash
-    min_ratio: float = -0.25     # mean nats per n-gram below which a text is rejected
+    min_ratio: float = -0.15     # mean nats per n-gram below which a text is rejected
 
 
 def bound(value: Column, use) -> Column:
@@ -104,7 +105,7 @@ def fit_ratio(docs: DataFrame, trusted: Column, rules: RatioRules, text: str = "
     With no trusted text, or no text, all weights are 0.
     """
     grams = docs.select(F.coalesce(trusted, F.lit(False)).alias("good"),
-                        F.explode(gram_buckets(hashes_of(words_of(F.col(text))), rules)).alias("b"))
+                        F.explode(bound(hashes_of(words_of(F.col(text))), lambda h: gram_buckets(h, rules))).alias("b"))
     rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good")).collect()
     n_raw, n_good = sum(r["raw"] for r in rows), sum(r["good"] for r in rows)
     weights = [0] * rules.buckets
@@ -122,23 +123,23 @@ def score_texts(docs: DataFrame, weights: list[int], rules: RatioRules, text: st
     ratio is the mean weight of a text's n-grams in nats, 0.0 without words. kept is false where a base
     rule fails (too few words, too many in repeated windows) or the ratio is under ``min_ratio``; a text
     exactly at it stays. NULL and empty texts have counts 0 and fail. Rows are judged alone, so ties and
-    repeated rows all get the same answer, and an empty table stays empty.
+    repeated rows all get the same answer, and an empty table stays empty. Other columns may have any name.
     """
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
-    keep = [c for c in docs.columns if c not in new]
+    plain, names, (source,) = shield(docs, NEW, text)
+    keep = plain.columns[:len(names)]
     table = F.from_json(F.lit(json.dumps(weights, separators=(",", ":"))), "array<int>")
     # one-element explodes keep a later filter from being written out in terms of the text again and again
-    rows = docs.select(*keep, F.explode(F.array(words_of(F.col(text)))).alias("_words"))
-    rows = rows.select("*", F.explode(F.array(hashes_of(F.col("_words")))).alias("_hashes"))
-    ratio = bound(gram_buckets(F.col("_hashes"), rules), lambda g: F.when(
+    rows = plain.select(*keep, F.col(source).alias("source"), F.explode(F.array(words_of(F.col(source)))).alias("words"))
+    rows = rows.select("*", F.explode(F.array(hashes_of(F.col("words")))).alias("hashes"))
+    ratio = bound(gram_buckets(F.col("hashes"), rules), lambda g: F.when(
         F.size(g) > 0, F.aggregate(g, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)) / F.size(g)
         / F.lit(rules.unit)).otherwise(F.lit(0.0)))
-    rows = rows.select(*keep, *[c.alias(n) for n, c in base_counts(F.col(text), F.col("_words"), F.col("_hashes")).items()],
+    rows = rows.select(*keep, *[c.alias(n) for n, c in base_counts(F.col("source"), F.col("words"), F.col("hashes")).items()],
                        ratio.cast("double").alias("ratio"))
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    return rows.select(*keep, *new[:5], failed.alias("base_failed"), "ratio",
-                       (~failed & (F.col("ratio") >= rules.min_ratio)).alias("kept"))
+    return rows.select(*keep, *NEW[:5], failed.alias("base_failed"), "ratio",
+                       (~failed & (F.col("ratio") >= rules.min_ratio)).alias("kept")).toDF(*names, *NEW)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, rules: RatioRules = RatioRules(), *,
@@ -146,10 +147,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rules: RatioRules = RatioR
     """Fit on ``docs`` (trusted: rated good and not toxic in ``labels``) and judge every row of it.
 
     The trusted side is a bounded sample of labelled rows, ``trusted_rows``; the raw side is all of ``docs``.
+    A row whose key is NULL is never trusted; rows that share a rated key all are.
     """
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(
         F.col(key).alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(rules.trusted_rows)
+    plain, _, (row, source) = shield(docs, (), key, text)
     # the limit bounds the broadcast, so no text moves; the raw counts still cover every row
-    marked = docs.select(key, text).join(F.broadcast(good.withColumn("_good", F.lit(True))),
-                                         F.col(key) == F.col("_key"), "left")
-    return score_texts(docs, fit_ratio(marked, F.col("_good"), rules, text), rules, text)
+    marked = plain.select(row, source).join(F.broadcast(good.withColumn("_good", F.lit(True))),
+                                            F.col(row) == F.col("_key"), "left")
+    return score_texts(docs, fit_ratio(marked, F.col("_good"), rules, source), rules, text)
