@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,23 @@ def test_stability(spark):
         st.topk_jaccard(a, b, -1)
 
 
+@pytest.mark.parametrize("rows_per_task", [20, 10_000])
+def test_large_ties_are_ranked_exactly(spark, rows_per_task):
+    rng = random.Random(11)
+    rows = [(f"k{i}", 0.0 if i % 3 == 0 else float(rng.randrange(150)), None if i == 5 else rng.random() * (i % 4))
+            for i in range(400)]
+    both = spark.createDataFrame(rows, "key string, x double, y double").repartition(5)
+    a, b = both.selectExpr("key", "x as score"), both.selectExpr("key", "y as score")
+    df = pd.DataFrame(rows, columns=["key", "x", "y"]).dropna()
+    got = st.spearman(a, b, rows_per_task=rows_per_task).first()
+    assert got.shared_keys == 399
+    assert math.isclose(got.spearman, df.x.rank().corr(df.y.rank()), abs_tol=1e-12)
+    ranks = st.average_ranks(b, "score", "rank", rows_per_task=rows_per_task).toPandas().set_index("key")["rank"]
+    assert ranks.to_dict() == dict(zip(df.key, df.y.rank()))
+    plan = st.average_ranks(a, "score", "rank", rows_per_task=20)._jdf.queryExecution().executedPlan().toString()
+    assert "_to" in plan and re.search(r"_part#\d+", plan)
+
+
 def test_ties_share_ranks(spark):
     r = st.average_ranks(scores(spark, a=1.0, b=2.0, c=2.0, d=3.0), "score", "rank")
     assert {x.key: x["rank"] for x in r.collect()} == {"a": 1.0, "b": 2.5, "c": 2.5, "d": 4.0}

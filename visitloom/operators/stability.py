@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import sort_cuts
 from ..sources.session import written
-from .ordered import running, positions
+from .ordered import ROWS_PER_TASK, positions, running
+
+SPREAD = 1024      # join keys over which the rows of one large tie are dealt
 
 
 def scores_from_ranking(df: DataFrame, key: str, order: str, **kw) -> DataFrame:
@@ -33,13 +35,35 @@ def topk_jaccard(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
         .alias("topk_jaccard"))
 
 
+def _tie_ranks(scores: DataFrame, **kw) -> DataFrame:
+    """(side, s, r, n): mean rank ``r`` of the ``n`` equal scores ``s`` of a side; a row for each different score."""
+    counts = scores.groupBy("side", "s").agg(F.count(F.lit(1)).alias("n"))
+    ranks = running(counts, ["side"], [F.col("s")], [F.col("s").cast("double")],
+                    before={"_b": ("sum", F.col("n"))}, **kw)
+    return written(ranks.select("side", "s", (F.col("_b") + (F.col("n") + 1) / 2.0).alias("r"), "n"), "tie-ranks")
+
+
+def _with_rank(df: DataFrame, ranks: DataFrame, score: str, name: str,
+               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` with the rank of its ``score``; rows without a score go.
+
+    Scores of more than ``rows_per_task`` rows are at most ``rows / rows_per_task``: they are broadcast, and
+    their rows are dealt over ``SPREAD`` keys of the join with all other ranks, which they do not match.
+    """
+    large = F.col("n") > rows_per_task
+    tied = ranks.filter(large).select(F.col("s").alias("_ts"), F.col("r").alias("_tr"))
+    rest = ranks.select(F.col("s").alias("_s"), F.col("r").alias("_r"), F.when(large, -1).otherwise(0).alias("_part"))
+    spread = F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int") + 1
+    out = df.filter(F.col(score).isNotNull()).join(F.broadcast(tied), F.col(score) == F.col("_ts"), "left")
+    out = out.withColumn("_to", F.when(F.col("_ts").isNull(), 0).otherwise(spread))
+    out = out.join(rest, (F.col(score) == F.col("_s")) & (F.col("_to") == F.col("_part")), "left")
+    return out.select(*df.columns, F.coalesce("_tr", "_r").alias(name))
+
+
 def average_ranks(df: DataFrame, score: str, name: str, **kw) -> DataFrame:
-    """1-based ranks of ``score``; equal scores share their mean rank."""
-    counts = df.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
-    ranks = running(counts, [], [F.col("_s")], [F.col("_s").cast("double")],
-                    before={"_b": ("sum", F.col("_c"))}, **kw)
-    ranks = ranks.select("_s", (F.col("_b") + (F.col("_c") + 1) / 2.0).alias(name))
-    return df.join(ranks, df[score] == ranks["_s"]).drop("_s")
+    """1-based ranks of ``score``; equal scores share their mean rank, however many they are."""
+    ranks = _tie_ranks(df.select(F.lit(0).alias("side"), F.col(score).alias("s")).filter("s is not null"), **kw)
+    return _with_rank(df, ranks, score, name, **kw)
 
 
 def shared_scores(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -49,9 +73,17 @@ def shared_scores(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def spearman(a: DataFrame, b: DataFrame, **kw) -> DataFrame:
-    """Rank correlation over shared keys; NULL below two keys or for a constant side."""
-    both = written(shared_scores(a, b), "shared-scores")   # ranked twice and joined back
-    ranked = average_ranks(average_ranks(both, "score_a", "_ra", **kw), "score_b", "_rb", **kw)
+    """Rank correlation over shared keys; NULL below two keys or for a constant side.
+
+    Both tables are read once; one count and one ranking serve both sides.
+    """
+    both = written(shared_scores(a, b).filter("score_a is not null and score_b is not null"), "shared-scores")
+    ranks = _tie_ranks(both.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("side"), F.col(c).cast("double").alias("s"))
+        for i, c in enumerate(("score_a", "score_b"))]))).select("col.*"), **kw)
+    ranked = both
+    for side, score, name in ((0, "score_a", "_ra"), (1, "score_b", "_rb")):
+        ranked = _with_rank(ranked, ranks.filter(F.col("side") == side), score, name, **kw)
     # corr() raises on a constant side in ANSI mode, so the quotient is spelled out.
     r = F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))
     stats = ranked.groupBy().agg(F.count(F.lit(1)).alias("shared_keys"), r.alias("_r"))
