@@ -433,6 +433,11 @@ ORACLE |= {
         CAST(ARG_MAX(cnt, ABS(oy - mp)) AS BIGINT) AS mce_bin_count FROM bins GROUP BY lang""",
     "class_weights": "WITH " + LABELED + """ SELECT target AS label, ROUND((SELECT COUNT(*) FROM labeled)
         / (2.0::DOUBLE * COUNT(*)), 6) AS weight, COUNT(*) AS n FROM labeled GROUP BY target""",
+    "run_round_trip": "WITH " + VISITS + """, parts AS (SELECT 'timeline' AS part, * FROM visits UNION ALL
+        SELECT 'observations', * FROM visits WHERE visit_date < DATE '1998-07-01')
+        SELECT part, CAST(SUM(COUNT(*)) OVER (PARTITION BY part) AS BIGINT) AS n_rows, status, COUNT(*) AS n_visits,
+        ROUND(MAX(amount), 6) AS highest, ROUND(SUM(n_lines), 6) AS n_lines, CAST(MAX(visit_date) AS VARCHAR) AS latest
+        FROM parts GROUP BY part, status""",
     "run_records": metric_rows("") + " " + " UNION ALL ".join(
         f"""SELECT 'run_' || lang AS run_id, '{m}' AS metric, CAST("{m}" AS DOUBLE) AS value FROM result"""
         for m in METRIC_NAMES),

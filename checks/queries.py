@@ -22,6 +22,7 @@ from visitloom.plans import explain as ex, models as mo, search as sr, training
 from visitloom.plans.robustness import robustness_sweep
 from visitloom.plans.selection import score_selection
 from visitloom.sources import readers, sinks
+from visitloom.sources.run_store import publish_run, read_run
 from visitloom.sources.session import shared_folder, tune
 from visitloom.sources.visit_store import VisitStore
 from visitloom.spec import CohortRules, Condition
@@ -517,6 +518,21 @@ def run_records(spark, sf):
     return rounded(sinks.read_runs(spark, path).select("run_id", F.explode("metrics").alias("metric", "value")))
 
 
+@query
+def run_round_trip(spark, sf):
+    """The timeline and its observations published as one run and read back: rows by manifest and by status."""
+    line = t.timeline(spark, sf)
+    folder = shared_folder(spark, "published")
+    listed = publish_run({"timeline": line, "observations": sinks.observation_rows(line, S)}, folder, "run_1")
+    rows = None
+    for part, df in read_run(spark, folder, "run_1").items():
+        some = df.groupBy(F.lit(part).alias("part"), "status").agg(
+            F.count(F.lit(1)).alias("n_visits"), F.max("amount").alias("highest"), F.sum("n_lines").alias("n_lines"),
+            F.max("visit_date").cast("string").alias("latest"))
+        rows = some if rows is None else rows.unionByName(some)
+    return rounded(rows.join(listed.select("part", "n_rows"), "part"))   # the manifest has two rows
+
+
 # --- explanation stability ---------------------------------------------------------
 
 @query
