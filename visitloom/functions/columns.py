@@ -57,6 +57,12 @@ def falling_cut(col: Column) -> Column:
             .otherwise(-number))
 
 
+def row_cuts(df: DataFrame, names: Iterable[str], *, newest: bool = False) -> list[Column]:
+    """:func:`sort_cuts` with NULL as a value of its own: first in rising order, last where the ``newest`` lead."""
+    cuts = sort_cuts(df, names)
+    return [falling_cut(c) for c in cuts] if newest else [F.coalesce(c, F.lit(float("-inf"))) for c in cuts]
+
+
 def try_date(col: Column, fmt: str | None = None) -> Column:
     """Date of a text column, NULL where it does not parse."""
     parsed = F.try_to_timestamp(col, F.lit(fmt)) if fmt else F.try_to_timestamp(col)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import as_flag, event, plus_days, require_columns
+from ..functions import as_flag, event, plus_days, require_columns, row_cuts
 from ..sources.session import written
 from ..spec import CohortRules, DataError, LeakageError, VisitSpec
 from .guards import strip_leakage
@@ -55,7 +55,7 @@ class Cohort:
         return exclusion_counts(self.status, self.spec)
 
 
-def future_outcome_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = CohortRules()) -> Cohort:
+def future_outcome_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = CohortRules(), **kw) -> Cohort:
     """Outcomes from visits in ``(cutoff, cutoff + horizon]``.
 
     With a future flag column the flag divides observation from future visits;
@@ -75,7 +75,7 @@ def future_outcome_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = C
         observed = visits.filter(~F.col("_future"))
     else:
         visits = visits.withColumn("_future", F.lit(True))   # the cutoff alone divides them
-        observed = first_rows(visits, [e], order, rules.max_visits)
+        observed = first_rows(visits, [e], order, rules.max_visits, cuts=row_cuts(visits, spec.order), **kw)
         seen = observed.groupBy(e).agg(
             F.count(F.lit(1)).alias("_n"), F.max(t).alias("_cutoff"), F.max("_event").alias("_prior"))
 
@@ -111,18 +111,20 @@ def future_outcome_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = C
         F.round("max_measure", 2).alias("max_measure"), "any_flag")
 
     if flagged:   # the most recent observation visits
-        observed = first_rows(observed, [e], [c.desc() for c in order], rules.max_visits)
+        observed = first_rows(observed, [e], [c.desc() for c in order], rules.max_visits,
+                              cuts=row_cuts(observed, spec.order, newest=True), **kw)
     return Cohort(status, audit, observed.drop("_event", "_future", "_rank"), spec, rules)
 
 
-def prelabeled_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = CohortRules()) -> Cohort:
+def prelabeled_cohort(df: DataFrame, spec: VisitSpec, rules: CohortRules = CohortRules(), **kw) -> Cohort:
     """Targets read from the table; the *first* ``max_visits`` visits are kept."""
     require_columns(df, [spec.entity, *spec.order, spec.target], "prelabeled_cohort")
     e = spec.entity
     visits = df.filter(F.col(e).isNotNull())
     labels = visits.groupBy(e).agg(
         F.count(F.lit(1)).alias("_n"), F.min(spec.target).alias("_low"), F.max(spec.target).alias("_high"))
-    first = first_rows(visits, [e], [F.col(c) for c in spec.order], rules.max_visits)
+    first = first_rows(visits, [e], [F.col(c) for c in spec.order], rules.max_visits,
+                       cuts=row_cuts(visits, spec.order), **kw)
     prior = (F.max((F.coalesce(F.col(spec.flag), F.lit(0)) == 1).cast("int"))
              if spec.flag in df.columns else F.lit(0))
     window = first.groupBy(e).agg(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import plus_days, require_columns, sort_cuts, uniform
+from ..functions import plus_days, require_columns, row_cuts, sort_cuts, uniform
 from ..spec import Condition, VisitSpec
 from .ordered import first_rows, positions, running
 
@@ -58,11 +58,12 @@ def remove_visits(obs: DataFrame, spec: VisitSpec, fraction: float, *, seed: int
     return ranked.filter(F.col("_i") >= drop).drop("_u", "_i", "_n")
 
 
-def truncate_to_recent_visits(obs: DataFrame, spec: VisitSpec, keep_last: int) -> DataFrame:
+def truncate_to_recent_visits(obs: DataFrame, spec: VisitSpec, keep_last: int, **kw) -> DataFrame:
     """The last ``keep_last`` visits of every entity."""
     if keep_last < 1:
         raise ValueError("keep_last must be at least 1")
-    return first_rows(obs, [spec.entity], [F.col(c).desc() for c in spec.order], keep_last).drop("_rank")
+    return first_rows(obs, [spec.entity], [F.col(c).desc() for c in spec.order], keep_last,
+                      cuts=row_cuts(obs, spec.order, newest=True), **kw).drop("_rank")
 
 
 def thin_followup(obs: DataFrame, spec: VisitSpec, keep_last: int, *, seed: int = 42) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import missing_to_null, require_columns, sort_cuts
+from ..functions import missing_to_null, require_columns, row_cuts, sort_cuts
 from ..spec import MISSING_LABEL, UNKNOWN_LABEL, DataError, VisitSpec
 from .guards import refuse_leakage
-from .ordered import first_rows, positions
+from .ordered import GROUP_LIMIT, first_rows, positions
 
 MAX_SLOTS = 20_000   # labels that the driver takes; a larger vocabulary stays a table
 Vocabulary = dict[str, list[str]] | DataFrame
@@ -55,12 +55,14 @@ def layout(obs: DataFrame, spec: VisitSpec, vocab: dict[str, list[str]]) -> list
         f"{c}__{label}" for c in spec.categorical if c in obs.columns for label in vocab[c]]
 
 
-def recent_steps(obs: DataFrame, spec: VisitSpec, max_len: int) -> DataFrame:
+def recent_steps(obs: DataFrame, spec: VisitSpec, max_len: int, **kw) -> DataFrame:
     """The last ``max_len`` visits with ``step`` 0.. in time order and ``length``."""
     e = spec.entity
-    newest = first_rows(obs, [e], [F.col(c).desc() for c in spec.order], max_len)
+    newest = first_rows(obs, [e], [F.col(c).desc() for c in spec.order], max_len,
+                        cuts=row_cuts(obs, spec.order, newest=True), **kw)
     return positions(newest.drop("_rank"), [e], [F.col(c) for c in spec.order],
-                     sort_cuts(newest, spec.order), "step", total="length", bounded=True)
+                     row_cuts(newest, spec.order), "step", total="length",
+                     bounded=max_len <= GROUP_LIMIT, **kw)
 
 
 def visit_vectors(obs: DataFrame, spec: VisitSpec, vocab: Vocabulary, max_len: int = 4) -> DataFrame:
