@@ -24,11 +24,11 @@ class RatioRules:
     orders: tuple[int, ...] = (1, 2)   # lengths of the n-grams
     min_words: int = 50
     max_repeat_percent: int = 50
-    prior: float = 20_000.0      # words of the raw corpus that the trusted side is taken to have seen besides its own
+    prior: float = 200_000.0     # n-grams of the raw corpus that the trusted side is taken to have seen besides its own
     unit: float = 1e4            # weights are whole numbers of 1/unit nats
     clip: float = 4.0            # a single n-gram counts that many nats at most
     trusted_rows: int = 20_000   # trusted texts: at most so many, those of least hash
-    min_ratio: float = -0.15     # mean nats per n-gram below which a text is rejected
+    min_ratio: float = -0.08     # mean nats per n-gram below which a text is rejected
 
 
 def bound(value: Column, use) -> Column:
