@@ -23,7 +23,7 @@ from visitloom.plans.robustness import robustness_sweep
 from visitloom.plans.selection import score_selection
 from visitloom.sources import readers, sinks
 from visitloom.sources.run_store import publish_run, read_run
-from visitloom.sources.session import shared_folder, tune
+from visitloom.sources.session import shared_folder, tune, written
 from visitloom.sources.visit_store import VisitStore
 from visitloom.spec import CohortRules, Condition
 
@@ -64,6 +64,11 @@ def positional(spark, sf):
     return co.future_outcome_cohort(t.visits(spark, sf), N)
 
 
+def stored_visits(spark, sf):
+    """The visits as a table, for queries that read them several times."""
+    return written(t.visits(spark, sf), "visits")
+
+
 def flagged(spark, sf):
     return co.future_outcome_cohort(t.timeline(spark, sf), N)
 
@@ -1001,12 +1006,12 @@ FIXED_NAMES = ["amount_latest", "amount_std", "quantity_mean", "n_obs_visits"]
 
 def fixed_data(spark, sf):
     """entity_id, features, label: four wide features brought near one scale, missing ones 0."""
-    cohort = positional(spark, sf)
+    cohort = co.future_outcome_cohort(stored_visits(spark, sf), N).with_written_audit()
     wide = wi.wide_features(cohort.observations, N, bounded=True)
     scale = {"amount_latest": 150000.0, "amount_std": 80000.0, "quantity_mean": 100.0, "n_obs_visits": 4.0}
     x = [F.coalesce(F.col(c).cast("double") / s, F.lit(0.0)) for c, s in scale.items()]
     rows = wide.select("entity_id", array_to_vector(F.array(*x)).alias("features"))
-    labels = cohort.status.filter("target is not null").select("entity_id", F.col("target").alias("label"))
+    labels = cohort.targets.filter("target is not null").select("entity_id", F.col("target").alias("label"))
     return rows.join(labels, "entity_id")
 
 

@@ -27,7 +27,8 @@ def permutation_importance(model: FittedModel, data: DataFrame, entity: str, nam
     whatever the number of features.  Each feature is then swapped in the joined row.
     ``data`` is ``entity, features, label``.
     """
-    rows = data.select(entity, "features", "label").withColumn("_u", uniform(seed, F.lit("order"), entity))
+    data = written(data.select(entity, "features", "label"), "explained")     # counted, ranked and scored
+    rows = data.withColumn("_u", uniform(seed, F.lit("order"), entity))
     placed = written(positions(rows, [], [F.col("_u"), F.col(entity)], [F.col("_u"), *sort_cuts(rows, [entity])],
                                "_i", total="_n", **kw).select("_i", "_n", "label", vector_to_array("features").alias("_x")),
                      "ring")     # one side of the join and the other
