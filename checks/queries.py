@@ -1075,7 +1075,7 @@ FIXED_WEIGHTS = {"amount_latest": 0.8, "amount_delta": -0.3, "quantity_mean": 0.
                  "status_latest__F": 0.4, "status_latest__P": -0.9, "priority_latest__1-URGENT": 0.25}
 
 
-def fixed_artifact(spark, sf):
+def fixed_artifact(visits):
     """An artifact whose preprocessing is fitted on all wide rows."""
     shell = tr.fit_representation(wi.wide_features(t.visits(spark, sf), N), N, tr.WIDE, 4)
     names = shell.preprocessor.output_names
@@ -1085,7 +1085,8 @@ def fixed_artifact(spark, sf):
 @query
 def score_batch_fixed(spark, sf):
     """All visits of all entities through the artifact: wide rows, fitted encoding, score and class."""
-    return rounded(fixed_artifact(spark, sf).score(t.visits(spark, sf)))
+    v = stored_visits(spark, sf)
+    return rounded(fixed_artifact(v).score(v))
 
 
 def score_requests(spark, sf):
@@ -1104,7 +1105,8 @@ def score_requests(spark, sf):
 def score_selection_fixed(spark, sf):
     """Requests for chosen visits with all statuses, the accepted ones scored through the artifact."""
     patients = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"))
-    out = score_selection(fixed_artifact(spark, sf), score_requests(spark, sf), patients, t.visits(spark, sf))
+    v = stored_visits(spark, sf)
+    out = score_selection(fixed_artifact(v), score_requests(spark, sf), patients, v)
     return rounded(out.select("request", "entity_id", "n_visits", "status", F.array_join("visit_ids", ",").alias("visit_ids"),
                               F.array_join(F.col("dates").cast("array<string>"), ",").alias("dates"), "p", "prediction"))
 
