@@ -396,7 +396,7 @@ def transform_wide(spark, sf):
 @query
 def transform_wide_full(spark, sf):
     """All wide columns as sparse vectors, fitted on entities of the training split; entries that are not 0."""
-    w = wide_all(spark, sf)
+    w = written(wi.wide_features(stored_visits(spark, sf), N), "wide")
     numeric = [c for c, d in w.dtypes if c != "entity_id" and d != "string"]
     split = sp.stratified_split(observed_targets(spark, sf)[1], N).filter("split = 'train'")
     train = w.join(split.select("entity_id"), "entity_id", "left_semi")
