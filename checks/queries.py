@@ -879,7 +879,7 @@ SMALL = {
 }
 
 
-def fitted(spark, sf, family):
+def fitted(spark, sf, family, visits=None):
     """A model fitted on the training split, and the prepared tables."""
     kind = tr.chosen_representation(family)
     ready = tr.prepare(positional(spark, sf), representations=(kind,))
@@ -905,10 +905,11 @@ for _family in SMALL:
 @query
 def score_batch(spark, sf):
     """All visits of all entities scored with a saved and reloaded model."""
-    art, _ = fitted(spark, sf, "logistic_regression")
+    v = stored_visits(spark, sf)
+    art, _ = fitted(spark, sf, "logistic_regression", v)
     path = shared_folder(spark, "artifact")
     art.save(spark, path)
-    return rounded(tr.Artifact.load(spark, path, N).score(t.visits(spark, sf)))
+    return rounded(tr.Artifact.load(spark, path, N).score(v))
 
 
 def trained(spark, sf, families=("logistic_regression", "random_forest", "sequence_network")):

@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import quoted
+from ..sources.session import written
 
 WIDE, SEQUENCE = "wide", "sequence"
 MAX_DEPTH = 30          # of Spark ML trees
@@ -120,6 +121,8 @@ def fit(family: str, params: dict[str, Any], train: DataFrame, partitions: int |
     ``partitions`` says otherwise, and sorted there.  So rows of equal content are spread as far as they have an
     identity, and one seed gives one model whatever the partitioning of ``train``.
     """
+    if not train.is_cached:     # counted first, then dealt; made once
+        train = written(train, "fit-rows")
     counts = class_counts(train)
     if not counts:
         raise ValueError("no training rows")
