@@ -882,7 +882,8 @@ SMALL = {
 def fitted(spark, sf, family, visits=None):
     """A model fitted on the training split, and the prepared tables."""
     kind = tr.chosen_representation(family)
-    ready = tr.prepare(positional(spark, sf), representations=(kind,))
+    cohort = co.future_outcome_cohort(stored_visits(spark, sf) if visits is None else visits, N)
+    ready = tr.prepare(cohort, representations=(kind,))
     train = ready.table(kind, "train")
     art = tr.fit_representation(train, N, kind, 4)
     return replace(art, model=mo.fit(family, SMALL[family], tr.labelled(art, train, ready.targets))), ready
@@ -1078,7 +1079,7 @@ FIXED_WEIGHTS = {"amount_latest": 0.8, "amount_delta": -0.3, "quantity_mean": 0.
 
 def fixed_artifact(visits):
     """An artifact whose preprocessing is fitted on all wide rows."""
-    shell = tr.fit_representation(wi.wide_features(t.visits(spark, sf), N), N, tr.WIDE, 4)
+    shell = tr.fit_representation(wi.wide_features(visits, N), N, tr.WIDE, 4)
     names = shell.preprocessor.output_names
     return replace(shell, model=mo.FittedModel("fixed", FixedModel(names, 0.1, FIXED_WEIGHTS)))
 
