@@ -111,3 +111,48 @@ def test_remove_repeats_documents(spark):
 
 def test_remove_repeats_empty(spark):
     assert ri.remove_repeats(empty(spark)).count() == 0
+
+
+def rows_made(spark, since=0):
+    """The most rows that a Python step of the queries from ``since`` on made, and the number of queries."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    done, tasks = store.executionsList(), [0]
+    for i in range(done.size()):
+        number = done.apply(i).executionId()
+        if number < since:
+            continue
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for metric in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    if "MapInArrow" in node.name():
+                        tasks.append(int(value.get().replace(",", "")))
+    return max(tasks), max((done.apply(i).executionId() for i in range(done.size())), default=-1) + 1
+
+
+def test_join_of_texts_that_share_much(spark):
+    """Copies with many changes share shingles without being alike; rounds of pivots and sketches lose no link."""
+    rng, base, rows = random.Random(8), [f"w{i}" for i in range(150)], []
+    for i in range(260):
+        text = list(base)
+        for j in rng.sample(range(150), rng.choice([1, 2, 5, 6, 7])):
+            text[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(text)))
+    got = [tuple(r)[:3] for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(components(rows))
+
+
+def test_windows_of_crowded_anchors_are_counted_in_ranges(spark):
+    """A passage between different words in many texts: its windows are not made one by one."""
+    rng = random.Random(9)
+    same = "".join(rng.choice("abcdefgh") for _ in range(260))
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(300)) + same[rng.randrange(40):][:rng.randrange(205, 220)]
+             + "".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(150)]
+    since = rows_made(spark)[1]
+    got = {r.doc_id: (bytes(r.kept), r.n_removed, [tuple(s) for s in r.spans]) for r in ri.remove_repeats(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(repeated(texts, 200)))
+    segments = sum(len(c[0]) for c in ri.text_segments(np.frombuffer("".join(texts).encode(), dtype=np.uint8), np.cumsum(
+        [0] + [len(t) for t in texts]), ri.IndexRules()))
+    assert rows_made(spark, since)[0] <= 2 * segments

@@ -20,13 +20,15 @@ from .shared import connected, kept
 
 U = np.uint64
 NONE = (1 << 63) - 1     # stands for a NULL id in comparisons
+ROUNDS = 5               # of pivots at most; each is linear in the members of the buckets
+SKETCH = [f"b{i}" for i in range(8)]
 
 
 @dataclass(frozen=True)
 class JoinRules:
     """Link when 100 * intersection >= percent * union. The other numbers change the work, not the answer:
-    the order puts at most ``frequent`` shingles last, and every member of a bucket is compared with ``pivots`` of it
-    before all pairs that are then still apart."""
+    the order puts at most ``frequent`` shingles last, and every member of a bucket is compared with ``pivots`` of it,
+    in up to ``ROUNDS`` rounds, before all pairs that are then still apart."""
     width: int = 5
     percent: int = 80
     frequent: int = 1 << 17
@@ -63,6 +65,13 @@ def signature(values: np.ndarray) -> tuple[int, int]:
     return (int(a.sum(dtype=U).view(np.int64)), int(mix(a + BASE).sum(dtype=U).view(np.int64)))
 
 
+def sketch(values: np.ndarray) -> list[int]:
+    """512 bits: whether an odd number of the set's members falls on each. Two sets differ in at least as many members
+    as their sketches in bits."""
+    hits = np.bincount((mix(values ^ U(0xB175)) >> U(55)).astype(np.int64), minlength=512)
+    return np.packbits((hits & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def frequent_shingles(docs: DataFrame, text: str, rules: JoinRules) -> np.ndarray:
     """The shingles that most texts have, most frequent first; at most ``rules.frequent`` of them.
 
@@ -99,7 +108,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, key: str, text: str, rules: JoinRules) -> DataFrame:
-    """(id, n, s1, s2, p1, p2, prefix): size, signature of the set and of the prefix, prefix shingles."""
+    """(id, n, s1, s2, p1, p2, b0 .. b7, prefix): size, signature of the set and of the prefix, sketch, prefix shingles."""
     frequent = frequent_shingles(docs, text, rules)
     order = np.argsort(frequent)
     held = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
@@ -120,14 +129,15 @@ def _sets(docs: DataFrame, key: str, text: str, rules: JoinRules) -> DataFrame:
                 else:
                     s_in_order = s
                 prefix = s_in_order[:prefix_length(n, percent)] if n else s
-                out.append((n, *signature(s), *signature(prefix), prefix.view(np.int64)))
-            cols = list(zip(*out)) if out else [()] * 6
+                out.append((n, *signature(s), *signature(prefix), *sketch(s), prefix.view(np.int64)))
+            cols = list(zip(*out)) if out else [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:5]],
-                 pa.array(list(cols[5]), pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "p1", "p2", "prefix"])
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:-1]],
+                 pa.array(list(cols[-1]), pa.list_(pa.int64()))], names=names)
 
+    names = ["id", "n", "s1", "s2", "p1", "p2", *SKETCH, "prefix"]
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(
-        run, "id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+        run, ", ".join([*(f"{c} long" for c in names[:-1]), "prefix array<long>"]))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame, rules: JoinRules) -> DataFrame:
@@ -172,8 +182,8 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     groups = full.groupBy("p1", "p2", "n").agg(F.first("prefix").alias("prefix")).select(gid, "prefix")
     # the numbers of classes are given as the table is written, and stay as written
     classes = kept(full.groupBy("s1", "s2", "n", "p1", "p2").agg(
-        F.coalesce(F.min("id"), F.lit(NONE)).alias("least")).select(
-        "s1", "s2", "n", "least", gid, F.monotonically_increasing_id().alias("cid")), "classes")
+        F.coalesce(F.min("id"), F.lit(NONE)).alias("least"), *[F.first(b).alias(b) for b in SKETCH]).select(
+        "s1", "s2", "n", "least", gid, F.monotonically_increasing_id().alias("cid"), *SKETCH), "classes")
 
     # buckets: the groups of a prefix shingle that two groups have, and each group of several classes by itself;
     # of a shingle, at: its place in the prefix, known: how many before it another group has too
@@ -185,12 +195,23 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     met = met.withColumn("known", F.row_number().over(Window.partitionBy("gid", "met").orderBy("at")) - 1)
     members = kept(met.join(classes.select("cid", "gid", "n"), "gid"), "members")
 
-    own = members.withColumn("root", F.col("cid"))
-    links = kept(_verified(_pivot_pairs(own, rules), docs, key, text, classes, rules), "links")
-    found = kept(connected(links, partly=True), "roots")
-    placed = members.join(found, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    links = links.union(kept(_verified(_open_pairs(placed, rules), docs, key, text, classes, rules), "links"))
+    sketches, prefixes = classes.select("cid", *SKETCH), classes.join(groups, "gid").select("cid", "gid", "n", "prefix")
+    links = kept(_verified(_pivot_pairs(members, rules), docs, key, text, classes, rules), "links")
     found = kept(connected(links), "roots")
+    total, before = members.count(), None
+    for turn in range(1, ROUNDS + 1):
+        open_ = _open(members, found, sketches)
+        pairs = open_.groupBy("bucket", "met").agg((F.count(F.lit(1)) * 1.0).alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0]
+        if not pairs:
+            break
+        # pivots again while the pairs are many and each round closes some
+        many = turn < ROUNDS and pairs > total and (before is None or pairs < 0.9 * before)
+        pairs, before = (_close_pivot_pairs(open_, rules, turn) if many else _open_pairs(open_, rules)), pairs
+        more = kept(_verified(_enough_prefix(kept(pairs, "close"), prefixes, rules), docs, key, text, classes, rules), "links")
+        stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = kept(connected(stars.union(more)), "roots")
+        if not many:
+            break
     roots = classes.select("cid").join(found, F.col("cid") == F.col("node"), "left").select(
         "cid", F.coalesce("root", "cid").alias("root"))
 
@@ -233,6 +254,33 @@ def _near(met: Column, a: dict[str, Column], b: dict[str, Column], percent: int)
     return (100 * small >= percent * large) & (~met | ((100 + percent) * most >= percent * (a["n"] + b["n"])))
 
 
+def _close(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Whether two members of a bucket may be similar enough, should theirs be the first common shingle.
+
+    Similar sets have ``need`` common members, all of them from the first common one on, and differ in no more than
+    the rest; so the bucket of the first common shingle passes, which is enough to find the pair.
+    """
+    need = F.ceil(percent * (a["n"] + b["n"]) / (100 + percent))
+    bits = sum((F.bit_count(a[c].bitwiseXOR(b[c])) for c in SKETCH), F.lit(0))
+    return ((100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"]))
+            & (a["n"] - a["at"] >= need) & (b["n"] - b["at"] >= need) & (bits <= a["n"] + b["n"] - 2 * need))
+
+
+def _enough_prefix(pairs: DataFrame, prefixes: DataFrame, rules: JoinRules) -> DataFrame:
+    """The pairs of classes that share enough prefix shingles, each once.
+
+    Beyond its prefix a set has ceil(t n) - 1 shingles, so c shared prefix shingles allow an overlap
+    of at most c + max(ceil(t n) - 1); members of one group share their whole prefix.
+    """
+    percent = rules.percent
+    first, second = (prefixes.select(F.col("cid").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("gid", "n", "prefix")])
+                     for i in "ab")
+    rest = F.ceil(percent * F.greatest("n_a", "n_b") / 100) - 1
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    return pairs.distinct().join(first, "a").join(second, "b").filter(
+        (F.col("gid_a") == F.col("gid_b")) | (F.size(F.array_intersect("prefix_a", "prefix_b")) + rest >= need)).select("a", "b")
+
+
 def _enough_shared(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of rows (a, b, n, n2, met) that met often enough to be similar.
 
@@ -249,7 +297,7 @@ def _enough_shared(pairs: DataFrame, percent: int) -> DataFrame:
 def _pivot_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
     """Every member with the pivots of its bucket: those of least hash, for each of several hashes.
 
-    A pair is counted only where one is the other's pivot, so some similar pairs are left to ``_open_pairs``.
+    A pair is counted only where one is the other's pivot, so some similar pairs are left to later rounds and ``_open_pairs``.
     """
     me = {c: F.col(c) for c in ("n", "at", "known")}
     pairs = []
@@ -267,16 +315,35 @@ def _pivot_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
     return _enough_shared(told.select("p.*", "met"), rules.percent)
 
 
-def _open_pairs(placed: DataFrame, rules: JoinRules) -> DataFrame:
-    """All pairs of a bucket that are in different components and share enough of their prefixes."""
-    open_ = placed.groupBy("bucket", "met").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(
+def _open(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with component and sketch."""
+    placed = members.join(found, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    placed = placed.select("bucket", "met", "cid", "root", "n", "gid", "at")
+    several = placed.groupBy("bucket", "met").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(
         "lo <> hi").select("bucket", "met")
-    columns = ("cid", "root", "n", "gid", "at", "known")
-    left = placed.join(open_, ["bucket", "met"]).select("bucket", "met", *columns)
-    right = left.select("bucket", "met", *[F.col(c).alias(f"{c}2") for c in columns])
-    me, it = ({c: F.col(c + x) for c in columns} for x in ("", "2"))
-    pairs = left.join(right, ["bucket", "met"]).filter(
-        (F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2"))
-        & (~F.col("met") | (F.col("gid") != F.col("gid2"))) & _near(F.col("met"), me, it, rules.percent))
-    return _enough_shared(pairs.select(F.col("cid").alias("a"), F.col("cid2").alias("b"), "n", "n2", "met"),
-                          rules.percent)
+    return kept(placed.join(several, ["bucket", "met"]), "open").join(sketches, "cid")
+
+
+def _close_pivot_pairs(open_: DataFrame, rules: JoinRules, turn: int) -> DataFrame:
+    """Every member with other pivots of its bucket, those in its own component left out."""
+    columns = ("cid", "root", "n", "gid", "at", *SKETCH)
+    pivots = open_.groupBy("bucket", "met").agg(*[
+        F.min(F.struct(F.xxhash64(F.lit(rules.pivots * turn + i), "cid").alias("h"), *columns)).alias(f"v{i}")
+        for i in range(rules.pivots)])
+    both, me, pairs = open_.join(pivots, ["bucket", "met"]), {c: F.col(c) for c in columns}, []
+    for i in range(rules.pivots):
+        v = {c: F.col(f"v{i}.{c}") for c in columns}
+        ok = (F.col("root") != v["root"]) & (~F.col("met") | (F.col("gid") != v["gid"])) & _close(me, v, rules.percent)
+        pairs.append(F.when(ok, F.struct(F.least("cid", v["cid"]).alias("a"), F.greatest("cid", v["cid"]).alias("b"))))
+    return both.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.*")
+
+
+def _open_pairs(open_: DataFrame, rules: JoinRules) -> DataFrame:
+    """All pairs of a bucket that are in different components and close enough."""
+    columns = ("cid", "root", "n", "gid", "at", *SKETCH)
+    right = open_.select("bucket", "met", *[F.col(c).alias(f"{c}_2") for c in columns])
+    me, it = ({c: F.col(c + x) for c in columns} for x in ("", "_2"))
+    return open_.join(right, ["bucket", "met"]).filter(
+        (F.col("cid") < F.col("cid_2")) & (F.col("root") != F.col("root_2"))
+        & (~F.col("met") | (F.col("gid") != F.col("gid_2"))) & _close(me, it, rules.percent)).select(
+        F.col("cid").alias("a"), F.col("cid_2").alias("b"))

@@ -28,8 +28,8 @@ U = np.uint64
 @dataclass(frozen=True)
 class IndexRules:
     """``length``: bytes of a match; ``anchor``: bytes of an anchor. ``batch`` bytes are indexed at once; the
-    windows of an anchor with more than ``crowd`` different segments are counted by hash instead, which many tasks
-    share. Neither changes the answer."""
+    windows of an anchor with more than ``crowd`` different segments are counted by hash instead, in ranges from coarse
+    to fine, which many tasks share. Neither changes the answer."""
     length: int = 200
     anchor: int = 24
     batch: int = 1 << 19
@@ -253,33 +253,80 @@ def _indexed(segments: DataFrame, rules: IndexRules) -> DataFrame:
         run, "k1 long, k2 long, lo long, hi long")
 
 
-def _counted(segments: DataFrame, rules: IndexRules) -> DataFrame:
-    """The same for the anchors of very many segments: every window by a 128-bit hash, counted in many tasks."""
-    length = rules.length
+def _in_cells(ranges: DataFrame, width: int, rules: IndexRules) -> DataFrame:
+    """Ranges of windows cut into cells: ``width`` neighbouring offsets of the anchor in its window.
+
+    ``first`` is the offset in the first window of a range (NULL: to be found); it falls by one from window to
+    window. All windows of a cell hold the bytes around the anchor that make its core: (c1, c2) stand for cell and core,
+    (w1, w2) for the first offset and all bytes of the range. Equal windows are in equal cells and have equal cores.
+    """
+    length, k = rules.length, rules.anchor
+    span = length - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(5))
-            out = []
-            for i in range(len(batch)):
-                part = data[offsets[i]:offsets[i + 1]]
-                total = running_hash(part, BYTE_VALUE)
-                second = running_hash(part, mix(BYTE_VALUE))
-                scale = powers(P_INVERSE, len(total))[:len(total) - length]
-                out.append([mix((t[length:] - t[:-length]) * scale).view(np.int64) for t in (total, second)])
-            sizes = [len(a) for a, _ in out]
-            at = pa.array(np.repeat(np.arange(len(batch)), sizes))
-            first = np.concatenate([np.arange(s) for s in sizes]) if sizes else np.zeros(0, dtype=np.int64)
-            start = batch.column(2).take(at).to_numpy() + first
-            h = [pa.array(np.concatenate([o[j] for o in out])) if out else pa.array([], pa.int64()) for j in (0, 1)]
+            data, offsets = text_buffer(batch.column(6))
+            data, offsets = data[offsets[0]:offsets[-1]], offsets[:-1] - offsets[0]
+            inverse = powers(P_INVERSE, len(data) + 1)
+            totals = running_hash(data, BYTE_VALUE), running_hash(data, mix(BYTE_VALUE))
+            count = batch.column(3).to_numpy()
+            if batch.column(4).null_count:
+                grams = mix((totals[0][k:] - totals[0][:-k]) * inverse[:len(data) - k + 1]) >> U(24)
+                first = grams[offsets[:, None] + np.arange(span)].argmin(axis=1)
+            else:
+                first = batch.column(4).to_numpy()
+            low = (first - count + 1) // width
+            cells = first // width - low + 1
+            row = np.repeat(np.arange(len(batch)), cells)
+            cell = (low + cells - 1)[row] - (np.arange(len(row)) - np.repeat(np.cumsum(cells) - cells, cells))
+            top = np.minimum(first[row], cell * width + width - 1)
+            size = top - np.maximum((first - count + 1)[row], cell * width) + 1
+            skip = first[row] - top                             # windows of the row before this range
+            a = offsets[row] + skip
+            b = a + size + length - 1
+            core = a + top - cell * width
+            end = a + top + length - np.minimum(cell * width + width - 1, span - 1)
+            h = []
+            for t in totals:
+                h.append(mix((t[end] - t[core]) * inverse[core] + cell.astype(U) * BASE))
+            for t in totals:
+                h.append(mix((t[b] - t[a]) * inverse[a] + (top * span + size).astype(U) * BASE))
+            at = pa.array(row)
+            view = memoryview(data)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(start), batch.column(4).take(at), *h],
-                names=["k1", "k2", "lo", "n", "h1", "h2"])
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(batch.column(2).to_numpy()[row] + skip),
+                 pa.array(size, pa.int64()), pa.array(top, pa.int64()), batch.column(5).take(at),
+                 pa.array([bytes(view[x:y]) for x, y in zip(a.tolist(), b.tolist())], pa.binary()),
+                 *[pa.array(x.view(np.int64)) for x in h]], names=names)
+
+    names = ["k1", "k2", "lo", "count", "first", "n", "bytes", "c1", "c2", "w1", "w2"]
+    return ranges.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'bytes' else 'long'}" for c in names))
+
 
-    windows = segments.select("k1", "k2", "start", "windows", "n", "bytes").mapInArrow(
-        run, "k1 long, k2 long, lo long, n long, h1 long, h2 long")
-    seen = windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1").select("h1", "h2")
-    return windows.filter("n = 1").join(seen, ["h1", "h2"]).select("k1", "k2", "lo", F.col("lo").alias("hi"))
+def _counted(segments: DataFrame, rules: IndexRules) -> list[DataFrame]:
+    """The same for the anchors of very many segments: ranges of windows are counted in many tasks, from coarse to fine.
+
+    A range whose bytes are found twice is repeated as a whole; a cell whose core has one sort of range needs no
+    finer look. What is left is cut into cells of a quarter of the width, down to single windows.
+    """
+    columns = ("k1", "k2", "lo", "count", "first", "n", "bytes")
+    left = segments.select("k1", "k2", F.col("start").alias("lo"), F.col("windows").cast("long").alias("count"),
+                           F.lit(None).cast("long").alias("first"), "n", "bytes")
+    found, width = [], rules.length - rules.anchor + 1
+    while width > 1:
+        width = -(-width // 4)
+        ranges = kept(_in_cells(left, width, rules), "ranges")
+        twice = ranges.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1").select("w1", "w2")
+        found.append(ranges.filter("n = 1").join(twice, ["w1", "w2"]).select(
+            "k1", "k2", "lo", (F.col("lo") + F.col("count") - 1).alias("hi")))
+        if width > 1:
+            mixed = ranges.groupBy("c1", "c2").agg(*[f(w).alias(f"{f.__name__}_{w}") for f in (F.min, F.max)
+                                                     for w in ("w1", "w2")]).filter(
+                "min_w1 <> max_w1 or min_w2 <> max_w2").select("c1", "c2")
+            left = ranges.join(mixed, ["c1", "c2"]).groupBy("w1", "w2").agg(
+                F.sum("n").alias("n"), F.min(F.struct(*[c for c in columns if c != "n"])).alias("at")).select("at.*", "n")
+            left = left.select(*columns)
+    return found
 
 
 def repeated_windows(keyed: DataFrame, rules: IndexRules) -> DataFrame:
@@ -296,8 +343,10 @@ def repeated_windows(keyed: DataFrame, rules: IndexRules) -> DataFrame:
         F.min(F.struct("k1", "k2", "start", "windows")).alias("at")).select("at.*", "anchor", "seg", "n", "segs")
     cut = kept(_cut_out(keyed, one, rules), "cut")
     small = _indexed(cut.filter(F.col("segs") <= rules.crowd), rules)
-    large = _counted(cut.filter(F.col("segs") > rules.crowd), rules)
-    return kept(whole.unionByName(small).unionByName(large), "windows")
+    out = whole.unionByName(small)
+    for part in _counted(cut.filter(F.col("segs") > rules.crowd), rules):
+        out = out.unionByName(part)
+    return kept(out, "windows")
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
