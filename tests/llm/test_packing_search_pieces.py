@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -263,6 +264,26 @@ def test_pieces_with_one_word_at_a_time_equal_the_whole(pieces):
         assert pieces.encode(text).tolist() == whole.encode(text).tolist()
 
 
+def test_pieces_of_new_words_are_searched_side_by_side(pieces, monkeypatch):
+    calls = [0]
+    text = " ".join(f"{i:x}w{i * 7919 % 10007}" for i in range(4000))
+    pieces.encode("warm")
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+    try:
+        ids = pieces.encode(text).tolist()
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 1000 and pieces.decode(ids) == text        # one search for each word would be 4,000
+    odd = [*texts(150, random.Random(9)), "", " ", "  a", "a  ", "▁ ▁x", "\0\0 \0", "🙂" * 70 + " b", "한é\U0010ffff the"]
+    for at_once, step, remember in ((100_000, 8192, 500_000), (7, 3, 10)):
+        for name, size in (("AT_ONCE", at_once), ("STEP", step), ("REMEMBER", remember)):
+            monkeypatch.setattr(sp, name, size)
+        fresh = sp.read_pieces(PIECES)
+        for t, ids in zip(odd, fresh.encode_all(odd), strict=True):
+            parts = re.findall("▁+[^▁]*", "▁" + t.replace(" ", "▁")) if t else []
+            assert ids.tolist() == [i for part in parts for i in fresh.ids_of(part)]
+
+
 def test_pieces_odd_rows(spark):
     df = odd(spark, ids="x", decoded=1)
     back = sp.decode_ids(sp.encode_texts(df, PIECES), PIECES)
