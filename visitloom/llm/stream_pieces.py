@@ -352,7 +352,8 @@ def decode_ids(encoded: DataFrame, model: str, *, ids: str = "ids", to: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(held)
         for batch in batches:
-            out = [None if not x.is_valid else pieces.decode(x.values.to_pylist()) for x in batch.column(at)]
+            out = [None if not x.is_valid else pieces.decode(x.values.to_numpy(zero_copy_only=False).tolist())
+                   for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.string())],
                                              names=[*keep, to])
 
