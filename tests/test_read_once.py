@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from checks import queries, tables
-from visitloom.plans import explain as ex, search as sr, training as tr
+from visitloom.plans import explain as ex, search as sr, selection as se, training as tr
 
 SF = "/root/testdata/sf0.001"
 N = tables.NARROW
@@ -39,6 +39,17 @@ def test_permutation_derives_its_rows_once(spark):
     assert made.value == 60
 
 
+def test_requests_and_patients_of_a_selection_are_derived_once(spark):
+    visits = tables.visits(spark, SF).persist()
+    requests, made = counted(queries.score_requests(spark, SF))
+    patients, read = counted(tables.table(spark, SF, "customer").select(F.col("c_custkey").alias("entity_id")))
+    out = se.score_selection(queries.fixed_artifact(visits), requests, patients, visits)
+    assert out.filter("p IS NOT NULL").count() == out.filter("status = 'ok'").count() > 0
+    assert made.value == queries.score_requests(spark, SF).count()
+    assert read.value == tables.table(spark, SF, "customer").count()
+    visits.unpersist()
+
+
 @pytest.mark.parametrize("name", ["permutation_fixed", "score_selection_fixed", "transform_wide_full", "score_batch",
                                   "temporal_occlusion"])
 def test_a_query_derives_the_visits_once(spark, monkeypatch, name):
