@@ -320,8 +320,8 @@ def encode_texts(docs: DataFrame, model: str, *, text: str = "text") -> DataFram
     """``docs`` with ``ids`` (array of int); a column of that name is replaced.
 
     NULL text has NULL ids, an empty one none. A character that no piece covers becomes its UTF-8 bytes' pieces, so
-    any text without U+2581 decodes to itself. Texts are encoded alone and whole; memory is the text, its
-    ids and the window. Repeated rows agree; an empty table stays empty.
+    any text without U+2581 decodes to itself. Each text has ids of its own, and whole; memory is
+    a batch of texts, its ids, the words looked up at once and the window. Repeated rows agree; an empty table stays empty.
     """
     keep = [c for c in docs.columns if c != "ids"]
     held = _held(docs.sparkSession, model)
