@@ -48,6 +48,16 @@ def test_large_entities_give_the_same_row(obs, rows_per_task):
             assert u == v or math.isclose(u, v, rel_tol=1e-12)
 
 
+@pytest.mark.parametrize("kw", [{}, {"bounded": True}, {"rows_per_task": 2}])
+def test_wide_rows_are_aggregated_by_hash(obs, kw):
+    hole = F.col("visit_date").isin(day(90), day(360)) | (F.col("patient_id") == "B")
+    wide = wi.wide_features(obs.withColumn("sex", F.when(hole, " none ").otherwise(F.col("sex"))), SPEC, **kw)
+    assert as_dict(wide, "patient_id", "sex_latest") == {"A": "F", "B": None, "C": "M"}
+    if not kw.get("rows_per_task"):
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_catalogue_covers_every_column(obs):
     names = [f.column for f in wi.catalogue(SPEC)]
     assert names != [] and set(names) == set(wi.wide_features(obs, SPEC).columns) - {"patient_id"}

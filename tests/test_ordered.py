@@ -43,6 +43,18 @@ def test_running_equals_window(skewed, rows_per_task, keys):
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
 
 
+@pytest.mark.parametrize("rows_per_task", [7, 10_000])
+def test_last_value_of_a_group_skips_null(spark, rows_per_task):
+    rows = [("big", i, f"v{i}" if i % 10 == 3 and i < 80 else None) for i in range(100)]
+    rows += [("small", 1, "a"), ("small", 2, "b"), ("small", 3, None), ("none", 1, None)] + [("hole", i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, i long, v string").repartition(4)
+    got = running(df, ["k"], [F.col("i")], [F.col("i").cast("double")], before={"n": ("count", None)},
+                  group={"newest": ("last", F.col("v"))}, rows_per_task=rows_per_task)
+    assert got.count() == len(rows)
+    assert {tuple(r) for r in got.select("k", "newest").distinct().collect()} == {
+        ("big", "v73"), ("small", "b"), ("none", None), ("hole", None)}
+
+
 def test_positions_on_text_order(skewed):
     df = skewed.withColumn("name", F.concat(F.lit("SYN_PATIENT_"), F.lpad("i", 6, "0")))
     got = positions(df, ["k"], [F.col("name").desc()], [-c for c in sort_cuts(df, ["name"])],

@@ -105,7 +105,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cuts: S
 
     ``before`` and ``group`` map a new column to ``(function, column)`` with function
     ``sum``, ``max`` or ``min``; ``before`` also takes ``("count", None)``, the
-    0-based position.  ``cuts`` are numbers that never decrease along ``order``,
+    0-based position, and ``group`` also ``last``, the last value that is not NULL
+    (``order`` then has plain columns, all rising).  ``cuts`` are numbers that never decrease along ``order``,
     the first for the first sort column and so on.  ``bounded=True`` says that the
     caller knows every group fits one task, and saves the count.  ``at_most`` is a
     table with at least as many rows as any group; when it is cheaper to count and
@@ -135,34 +136,49 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cuts: S
     part = Window.partitionBy(*keys, *ranges)
     ordered = part.orderBy(*order)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    unbounded = (Window.unboundedPreceding, Window.unboundedFollowing)
 
     def inside(name: str, fn: str) -> Column:
         if fn == "count":
             return (F.row_number().over(ordered) - 1).cast("long")
         return _FOLD[fn](f"_in_{name}").over(earlier)
 
+    def total(name: str, fn: str) -> Column:
+        if fn == "last":
+            return F.last(f"_in_{name}", ignorenulls=True).over(ordered.rowsBetween(*unbounded))
+        return _FOLD[fn](f"_in_{name}").over(part)
+
     if not ranges:
         new = {n: inside(n, f) for n, (f, _) in before.items()}
         new = {n: F.coalesce(c, F.lit(0)) if before[n][0] == "sum" else c for n, c in new.items()}
-        new |= {n: _FOLD[f](f"_in_{n}").over(part) for n, (f, _) in group.items()}
+        new |= {n: total(n, f) for n, (f, _) in group.items()}
         out = df.withColumns(new)
     else:
         # One row per range of the large groups; small groups have one range and need none of it.
+        def of_range(name: str, fn: str) -> Column:
+            v = F.col(f"_in_{name}")
+            return F.max_by(v, F.when(v.isNotNull(), F.struct(*order))) if fn == "last" else _FOLD[fn](v)
+
         per_range = df.filter("_large").groupBy(*keys, *ranges).agg(
             *[(F.count(F.lit(1)) if f == "count" else _FOLD[f](f"_in_{n}")).alias(f"_t_{n}")
               for n, (f, _) in before.items()],
-            *[_FOLD[f](f"_in_{n}").alias(f"_g_{n}") for n, (f, _) in group.items()])
+            *[of_range(n, f).alias(f"_g_{n}") for n, (f, _) in group.items()])
         whole = Window.partitionBy(*keys)
         prior = whole.orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
         fold = {n: "sum" if f == "count" else f for n, (f, _) in before.items()}
+
+        def of_group(name: str, fn: str) -> Column:
+            if fn == "last":
+                return F.last(f"_g_{name}", ignorenulls=True).over(whole.orderBy(*ranges).rowsBetween(*unbounded))
+            return _FOLD[fn](f"_g_{name}").over(whole)
+
         offsets = per_range.select(
             *keys, *ranges,
             *[_FOLD[f](f"_t_{n}").over(prior).alias(f"_o_{n}") for n, f in fold.items()],
-            *[_FOLD[f](f"_g_{n}").over(whole).alias(f"_w_{n}") for n, (f, _) in group.items()])
+            *[of_group(n, f).alias(f"_w_{n}") for n, (f, _) in group.items()])
         local = df.withColumns({
             **{f"_i_{n}": inside(n, f) for n, (f, _) in before.items()},
-            **{f"_p_{n}": F.when(~F.col("_large"), _FOLD[f](f"_in_{n}").over(part))
-               for n, (f, _) in group.items()}})
+            **{f"_p_{n}": F.when(~F.col("_large"), total(n, f)) for n, (f, _) in group.items()}})
         joined = _attach(local, offsets, keys + ranges)
         out = joined.withColumns({
             **{n: _MERGE[f](F.col(f"_o_{n}"), F.col(f"_i_{n}")) for n, f in fold.items()},

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import missing_to_null, number_or_null, require_columns, sort_cuts
 from ..spec import DataError, VisitSpec
 from .guards import refuse_leakage
-from .ordered import positions
+from .ordered import running
 
 SUMMARIES = ("latest", "mean", "min", "max", "std", "delta", "slope")
 COUNT_COLUMN = "n_obs_visits"
@@ -33,16 +33,18 @@ def wide_features(obs: DataFrame, spec: VisitSpec, *, max_waves: int = 4, count_
     Waves count from the oldest visit; summaries skip NULLs; the slope is over
     the visit index, which counts visits with missing values too.  Pass
     ``bounded=True`` for cohort observations, which have at most ``max_visits``
-    rows per entity.
+    rows per entity.  The newest categories are found along the ranking and are keys
+    of the aggregation: text in its buffers would make Spark aggregate by sorting.
     """
     refuse_leakage(obs, spec, "wide_features")
     require_columns(obs, [spec.entity, *spec.order], "wide_features")
     used = [c for c in (*spec.numeric, *spec.categorical) if c in obs.columns]
     rows = obs.select(spec.entity, *[F.col(c) for c in spec.order if c not in used], *used)
     rows = rows.withColumns({c: number_or_null(F.col(c)) for c in spec.numeric if c in used})
-    ranked = positions(rows, [spec.entity], [F.col(c) for c in spec.order],
-                       sort_cuts(rows, spec.order), "_i", bounded=bounded, **kw)
-    ranked = ranked.withColumns({c: missing_to_null(F.col(c)) for c in spec.categorical if c in used})
+    newest = {c: f"_newest{k}" for k, c in enumerate(spec.categorical) if c in used}
+    ranked = running(rows, [spec.entity], [F.col(c) for c in spec.order], sort_cuts(rows, spec.order),
+                     before={"_i": ("count", None)}, group={n: ("last", missing_to_null(F.col(c))) for c, n in newest.items()},
+                     bounded=bounded, **kw)
     i = F.col("_i")
     aggs = []
     for c in spec.numeric:
@@ -59,12 +61,11 @@ def wide_features(obs: DataFrame, spec: VisitSpec, *, max_waves: int = 4, count_
             F.max(v).alias(f"{c}_max"), F.stddev_samp(v).alias(f"{c}_std"),
             F.when(F.count(v) >= 2, last - first).alias(f"{c}_delta"),
             F.when(F.count(v) >= 2, F.regr_slope(v, i.cast("double"))).alias(f"{c}_slope")]
-    for c in spec.categorical:
-        aggs.append((F.max_by(F.col(c), F.when(F.col(c).isNotNull(), i)) if c in used
-                     else F.max(F.lit(None).cast("string"))).alias(f"{c}_latest"))
-    if count_visits:
-        aggs.append(F.count(F.lit(1)).cast("int").alias(COUNT_COLUMN))
-    return ranked.groupBy(spec.entity).agg(*aggs)
+    aggs.append(F.count(F.lit(1)).cast("int").alias(COUNT_COLUMN))
+    wide = ranked.groupBy(spec.entity, *newest.values()).agg(*aggs)
+    numbers = [c for c in wide.columns if c not in (spec.entity, COUNT_COLUMN, *newest.values())]
+    latest = [(F.col(newest[c]) if c in newest else F.lit(None).cast("string")).alias(f"{c}_latest") for c in spec.categorical]
+    return wide.select(spec.entity, *numbers, *latest, *([COUNT_COLUMN] if count_visits else []))
 
 
 @dataclass(frozen=True)
