@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from pyspark.sql import functions as F
+from pyspark.sql import GroupedData, functions as F
 
 from visitloom.functions import number_or_null
 from visitloom.operators import preprocess as pp, quantiles as qt
@@ -57,6 +57,25 @@ def test_few_values_are_shuffled(spark, monkeypatch):
     assert 0 < sum(seen) <= 0.05 * 6 * 60_000
 
 
+def test_columns_are_aggregated_as_rows(spark, monkeypatch):
+    """The aggregates of a pass do not grow with the columns; more columns than a part has give the same answers."""
+    rows = spark.range(400).select(*[(F.col("id") * (i % 7 + 1) % 401 + i).cast("double").alias(f"c{i}") for i in range(130)]).cache()
+    sizes, real = [], GroupedData.agg
+
+    def watched(self, *exprs):
+        sizes.append(len(exprs))
+        return real(self, *exprs)
+
+    monkeypatch.setattr(GroupedData, "agg", watched)
+    got = {r["column"]: r for r in qt.column_quantiles(rows, rows.columns, {"p25": .25, "median": .5}).collect()}
+    assert max(sizes) < 10
+    data = rows.toPandas()
+    for name in rows.columns:
+        v, r = data[name].to_numpy(), got[name]
+        assert (r["n_rows"], r["count"], r["p25"], r["median"]) == (400, 400, np.quantile(v, .25), np.quantile(v, .5))
+        assert math.isclose(r["std"], v.std(ddof=1), rel_tol=1e-9) and (r["min"], r["max"]) == (v.min(), v.max())
+
+
 def test_empty_and_absent(spark):
     empty = spark.createDataFrame([], "x double")
     assert qt.column_quantiles(empty, ["x"], PROBS).first()["count"] == 0

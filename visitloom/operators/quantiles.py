@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import number_or_null
 from .ordered import ROWS_PER_TASK, running
 
+PART = 100      # cells of a task, at most
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
                     moments: bool = False, rows_per_task: int = ROWS_PER_TASK,
@@ -95,25 +97,24 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
     two values.  The next counts what is below and inside each bracket (and sums squares around the means).  While
     more than ``enough`` values are inside, they are sketched again and the bracket shrinks by about ``accuracy / 4``.
     Only then are values shuffled: those inside the brackets, counted by value first.  All other passes send
-    one row per task.  ``df`` is read three times or more, so it should be a stored table.  ``accuracy`` and ``enough`` do not
+    a row per task and column.  ``df`` is read three times or more, so it should be a stored table.  ``accuracy`` and ``enough`` do not
     change the answer.
     """
     spark, names = df.sparkSession, list(columns)
     schema = ("column string, n_rows long, count long, mean double, std double, min double, max double, "
               + ", ".join(f"{p} double" for p in probs))
-    x = [_number(c) for c in names]        # as text: wide tables have hundreds of aggregates
+    x = [_number(c) for c in names]        # as text: wide tables have hundreds of columns
     slack = 2.0 / accuracy
 
     def sketch(value: str, shares: Sequence[float]) -> str:
         near = [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
         return f"percentile_approx({value}, array({', '.join(f'double({str(s)!r})' for s in near)}), {accuracy})"
 
-    def aggregated(parts: Sequence[str]):
-        return df.agg(*[F.expr(p) for p in ("count(1) AS rows", *parts)]).first()
-
-    first = aggregated([f"named_struct('n', count({v}), 'mean', avg({v}), 'min', min({v}), 'max', max({v}), 'near', "
-                        f"{sketch(v, list(probs.values()))}) AS s{i}" for i, v in enumerate(x)])
-    stats = [first[f"s{i}"] for i in range(len(names))]
+    seen = {r["cell"]: r for r in _cells(df, x, range(len(x))).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"),
+        F.max("value").alias("max"), F.expr(sketch("value", list(probs.values()))).alias("near")).collect()} if x else {}
+    none = {"rows": 0, "n": 0, "mean": None, "min": None, "max": None, "near": None}
+    stats = [seen.get(i, none) for i in range(len(names))]
     brackets = []
     for i, s in enumerate(stats):
         for at, (name, p) in enumerate(probs.items()):
@@ -124,24 +125,29 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
     outer = {(b.column, b.prob): replace(b, lo=stats[b.column]["min"], hi=stats[b.column]["max"],
                                          inside=stats[b.column]["n"]) for b in brackets}
 
-    def counted(todo: list[_Bracket], extra: list[str]):
-        row = aggregated([*extra, *[
-            f"named_struct('below', count_if({x[b.column]} < double('{b.lo!r}')), 'inside', count_if({_inside(x, b)})) AS b{j}"
-            for j, b in enumerate(todo)]])
+    def counted(todo: list[_Bracket], means: dict[int, float]) -> dict[int, float]:
+        """Counts below and inside the brackets; for every column with a mean, its squares around it."""
+        rest = dict(means)      # a column's first cell has its mean
+        cells = [(b.column, b.lo, b.hi, rest.pop(b.column, None)) for b in todo]
+        cells += [(i, None, None, m) for i, m in rest.items()]
+        if not cells:
+            return {}
+        rows = {r["cell"]: r for r in _compared(df, x, cells).groupBy("cell").agg(
+            F.count_if("below").alias("below"), F.count_if("inside").alias("inside"),
+            F.sum(F.expr("power(value - mean, 2)")).alias("squares")).collect()}       # a row per cell
         for j, b in enumerate(todo):
-            b.below, b.inside = row[f"b{j}"]["below"], row[f"b{j}"]["inside"]
-        return row
+            b.below, b.inside = (rows[j]["below"], rows[j]["inside"]) if j in rows else (0, 0)
+        return {cells[j][0]: r["squares"] for j, r in rows.items() if cells[j][3] is not None}
 
-    squares = [f"sum(power({v} - double('{s['mean']!r}'), 2)) AS q{i}" for i, (v, s) in enumerate(zip(x, stats)) if s["n"] > 1]
-    row = counted(brackets, squares)
-    std = [math.sqrt(row[f"q{i}"] / (s["n"] - 1)) if s["n"] > 1 else None for i, s in enumerate(stats)]
+    squares = counted(brackets, {i: s["mean"] for i, s in enumerate(stats) if s["n"] > 1})
+    std = [math.sqrt(squares[i] / (s["n"] - 1)) if s["n"] > 1 else None for i, s in enumerate(stats)]
     brackets = [b if b.holds() else outer[b.column, b.prob] for b in brackets]
     while wide := [j for j, b in enumerate(brackets) if b.inside > enough and b.lo < b.hi]:
-        near = aggregated([sketch(f"CASE WHEN {_inside(x, b)} THEN {x[b.column]} END", [
-            (r - b.below) / max(1, b.inside - 1) for r in (b.first, b.last)]) + f" AS b{j}"
-            for j, b in ((j, brackets[j]) for j in wide)])
+        near = df.agg(*[F.expr(sketch(f"CASE WHEN {_inside(x, b)} THEN {x[b.column]} END", [
+            (r - b.below) / max(1, b.inside - 1) for r in (b.first, b.last)])).alias(f"b{j}")
+            for j, b in ((j, brackets[j]) for j in wide)]).first()
         tighter = [replace(brackets[j], lo=near[f"b{j}"][0], hi=near[f"b{j}"][-1]) for j in wide]
-        counted(tighter, [])
+        counted(tighter, {})
         moved = False
         for j, b in zip(wide, tighter):
             if b.holds() and b.inside < brackets[j].inside:
@@ -156,16 +162,39 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
             b = brackets[r["bracket"]]
             found[b.column, b.prob] = r["lo"] + (r["hi"] - r["lo"]) * b.share if r["hi"] > r["lo"] else r["lo"]
     return spark.createDataFrame([
-        (c, first["rows"], s["n"], s["mean"], std[i], s["min"], s["max"], *[found.get((i, p)) for p in probs])
+        (c, s["rows"], s["n"], s["mean"], std[i], s["min"], s["max"], *[found.get((i, p)) for p in probs])
         for i, (c, s) in enumerate(zip(names, stats))], schema)
 
 
+def _cells(df: DataFrame, x: Sequence[str], columns: Sequence[int]) -> DataFrame:
+    """``cell, value``: columns as rows, numbered in the given order.
+
+    A few aggregates by cell take a fraction of the time of several per column side by side.  A task has the cells
+    of one part only, as Spark aggregates objects (sketches) by sorting above 128 keys.
+    """
+    parts, columns = [], list(columns)
+    for at in range(0, len(columns), PART):
+        values = F.expr("array(" + ", ".join(x[c] for c in columns[at:at + PART]) + ")")
+        parts.append(df.select(F.posexplode(values).alias("cell", "value")).withColumn("cell", F.col("cell") + at))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _compared(df: DataFrame, x: Sequence[str], cells: Sequence[tuple[int, float | None, float | None, float | None]]) -> DataFrame:
+    """``cell, value, below, inside, mean`` of every value of the column of a cell ``(column, lo, hi, mean)``."""
+    def listed(numbers) -> str:
+        return "array(" + ", ".join("CAST(NULL AS DOUBLE)" if v is None else f"double('{v!r}')" for v in numbers) + ")"
+
+    lo, hi, mean = (F.expr(f"get({listed(part)}, cell)") for part in zip(*[c[1:] for c in cells]))
+    v = F.col("value")
+    return _cells(df, x, [c for c, *_ in cells]).filter(v.isNotNull()).select(
+        "cell", "value", (v < lo).alias("below"), v.between(lo, hi).alias("inside"), mean.alias("mean"))
+
+
 def bracketed_values(df: DataFrame, x: Sequence[str], brackets: Sequence[tuple[int, _Bracket]]) -> DataFrame:
     """``bracket, value, n``: how often each value inside a bracket occurs; the only cells that are shuffled."""
-    cells = F.expr("array(" + ", ".join(
-        f"CASE WHEN {_inside(x, b)} THEN named_struct('bracket', {j}, 'value', {x[b.column]}) END" for j, b in brackets) + ")")
-    inside = df.select(F.inline(F.array_compact(cells)))
-    return inside.groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
+    inside = _compared(df, x, [(b.column, b.lo, b.hi, None) for _, b in brackets]).filter("inside")
+    number = F.expr(f"get(array({', '.join(str(j) for j, _ in brackets)}), cell)")
+    return inside.groupBy(number.alias("bracket"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _picked(values: DataFrame, brackets: Sequence[tuple[int, _Bracket]]) -> DataFrame:
